@@ -27,7 +27,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, range_size: int =
     to batches, and each pair of a range and a batch is one bounded task: its blocks are
     visited by their summed term maxima, for each query from the highest, until that bound
     falls below the query's kth score. The tasks' k best are then merged. Ties go to the
-    smaller id. Vectors may differ in length; missing components count as zero. Repeated
+    smaller id. Vectors may differ in length; missing components count as zero. Scores beyond a long
+    are clamped to it. Repeated
     rows are candidates, and queries, of their own: repeated queries share their ranks'
     numbering only if they are equal, and equal queries are answered once. An empty table gives no rows.
     """

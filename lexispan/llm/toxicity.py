@@ -34,7 +34,7 @@ IDENTITY_TERMS = (
 SWAPS = {term: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, term in enumerate(line)}
 SWAPPED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(SWAPS, key=len, reverse=True)) + r")(?!\w)")
 #: Besides whole words, their first so many bytes are features: inflected forms share them.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 @dataclass
@@ -92,11 +92,12 @@ def learning(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string")) % 4 != 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_features: int = 4096, least_z: float = 4.0, swap_penalty: float = 1.0, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_features: int = 4096, least_z: float = 6.0, swap_penalty: float = 1.0, balance: float = 0.5, seed: int = 5) -> Model:
     """A model of `labels.toxic`, from learning rows only.
 
     Bound: about `per_class` labelled documents of each class are used, chosen by a hash of
-    doc_id; the classes are weighted back to their true shares. Features are the words and
+    doc_id; the classes are weighted by their true shares (`balance` 0), by equal ones (1), or
+    between, so that rare toxic texts with a single mark still count. Features are the words and
     prefixes whose document frequencies differ most between the classes. Each sampled text
     that holds identity terms is paired with its swapped text, and squared differences of
     the two log-odds are penalised. Several labels of a document count as toxic if one is;
@@ -127,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_features
     picked = np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64)
     model = Model(np.union1d(picked, features_of(identity)[1]), np.zeros(0), 0.0)
     rows = sample.mapInArrow(lambda it: _pairs(it, model), "toxic int, own array<int>, swapped array<int>").collect()
-    weight = {1: sizes[1] / total / a, 0: sizes[0] / total / b}
+    share = sizes[1] / total
+    share += (0.5 - share) * balance
+    weight = {1: share / a, 0: (1 - share) / b}
     model.weights, model.bias = train([r["own"] for r in rows], [r["swapped"] for r in rows], np.array([r["toxic"] for r in rows], float), np.array([weight[r["toxic"]] for r in rows]), len(model.features), swap_penalty)
     return model
 
@@ -162,7 +165,7 @@ def _lists(model: Model, column: pa.StringArray) -> list[np.ndarray]:
     return np.split(places.astype(np.int32), np.searchsorted(rows, np.arange(1, len(column))))
 
 
-def train(own: list, swapped: list, labels: np.ndarray, weights: np.ndarray, n: int, swap_penalty: float, rounds: int = 400, step: float = 0.1, shrink: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(own: list, swapped: list, labels: np.ndarray, weights: np.ndarray, n: int, swap_penalty: float, rounds: int = 1000, step: float = 0.1, shrink: float = 1e-5) -> tuple[np.ndarray, float]:
     """Adam on weighted logistic loss, plus the penalty on the pairs' squared differences of log-odds."""
     weights = weights / weights.sum()
     row = np.repeat(np.arange(len(own)), [len(x) for x in own])
