@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, linking, parsing, profiling, reading, searching, sessions  # noqa: F401
+from . import cleaning, extras, linking, parsing, profiling, reading, searching, sessions  # noqa: F401
 from .registration import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -75,3 +75,10 @@ def write_entries(rows: DataFrame, path: str, order: list[str]) -> None:
 def report(rows: DataFrame) -> Column:
     """A row's columns as one JSON document."""
     return F.to_json(F.struct(*rows.columns))
+
+
+def html_report(sample: DataFrame, totals: DataFrame, order: list[str], title: str = "Report") -> DataFrame:
+    """One row: a page with the total count and a table of a sample, which must be of a display's size."""
+    cells = F.array_join(F.transform(F.array(*[F.col(c).cast("string") for c in sample.columns]), lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), "")
+    table = sample.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, cells.alias("__cells")))), lambda r: F.concat(F.lit("<tr>"), r["__cells"], F.lit("</tr>"))), "").alias("rows"))
+    return table.crossJoin(totals).select(F.concat(F.lit(f"<h1>{title}</h1><p>"), F.col("n").cast("string"), F.lit(" rows</p><table>"), F.col("rows"), F.lit("</table>")).alias("html"))
