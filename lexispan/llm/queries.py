@@ -92,4 +92,5 @@ ORACLE_SQL = {
     "op3_source_mixing": mixing.mix_sql(),
     "op4_license_scan": license_scan.recognise_sql(),
     "op6_block_topk": topk.top_k_sql(),
+    "op9_spotsigs": spotsigs.compare_edited_sql(),
 }

@@ -21,6 +21,11 @@ RANGE, MOST_RANGES = 1024, 8192
 LOWEST = -(1 << 63)
 
 
+def spot_hash(spot: F.Column) -> F.Column:
+    """60 bits of a spot's MD5, which any SQL engine can compute."""
+    return F.conv(F.substring(F.md5(spot), 1, 15), 16, 10).cast("long")
+
+
 def with_signatures(rows: DataFrame, text: str, into: str, anchors: list[str] = ANCHORS) -> DataFrame:
     """The input with the sorted distinct spot hashes of a text column, an array of longs.
 
@@ -42,13 +47,13 @@ def with_signatures(rows: DataFrame, text: str, into: str, anchors: list[str] =
             F.get("__content", i + 1).isNotNull() & (F.instr(s, " ") < F.length(s)),
             F.transform(
                 F.split(F.rtrim(s), " "),
-                lambda w: F.when(w != F.get("__content", i), F.xxhash64(w, F.get("__content", i), F.get("__content", i + 1))),
+                lambda w: F.when(w != F.get("__content", i), spot_hash(F.concat_ws(":", w, F.get("__content", i), F.get("__content", i + 1)))),
             ),
         ),
     )
     found = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array_compact(spots)))))
     out = out.withColumn("__spots", found)
-    return out.withColumn(into, F.when(F.size("__spots") > 0, F.col("__spots")).otherwise(F.array(F.xxhash64("__words")))).drop("__words", "__steps", "__content", "__spots")
+    return out.withColumn(into, F.when(F.size("__spots") > 0, F.col("__spots")).otherwise(F.array(spot_hash(F.col("__words"))))).drop("__words", "__steps", "__content", "__spots")
 
 
 def set_key(column: str) -> F.Column:
@@ -124,6 +129,27 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
 
 
+def compare_edited_sql() -> str:
+    """DuckDB SQL for `compare_edited` over `documents`."""
+    anchors = ", ".join(f"'{a}'" for a in sorted(set(ANCHORS)))
+    number = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) AS n, count(*) OVER () AS total FROM documents),
+e AS (SELECT a.doc_id, b.doc_id AS next_id, a.text, length(a.text) AS n_chars, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited FROM d a JOIN d b ON b.n = a.n % a.total + 1),
+t AS (SELECT doc_id, 0 AS kind, text AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+w AS (SELECT doc_id, kind, trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words FROM t),
+u AS (SELECT doc_id, kind, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT *, string_split(words, ' ') AS ws FROM w)),
+c AS (SELECT *, word IN ({anchors}) AS anchor, sum(CASE WHEN word IN ({anchors}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, kind ORDER BY i) AS k FROM u),
+s AS (SELECT DISTINCT a.doc_id, a.kind, {number.format("a.word || ':' || b.word || ':' || f.word")} AS sig FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.kind = b.kind AND NOT b.anchor AND b.k = a.k + 1
+  JOIN c f ON a.doc_id = f.doc_id AND a.kind = f.kind AND NOT f.anchor AND f.k = a.k + 2 WHERE a.anchor),
+l AS (SELECT doc_id, kind, list(sig ORDER BY sig) AS sigs FROM s GROUP BY ALL),
+f AS (SELECT w.doc_id, w.kind, coalesce(sigs, [{number.format("words || ' '")}]) AS sigs FROM w LEFT JOIN l ON w.doc_id = l.doc_id AND w.kind = l.kind),
+p AS (SELECT e.doc_id, n_chars, edited, a.sigs AS x, b.sigs AS y, c.sigs AS z, len(list_intersect(a.sigs, b.sigs)) AS xy, len(list_intersect(a.sigs, c.sigs)) AS xz FROM e
+  JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN f c ON c.doc_id = e.next_id AND c.kind = 0)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, md5(array_to_string(x, ',')) AS fingerprint, md5(array_to_string(y, ',')) AS edited_fingerprint,
+  xy / (len(x) + len(y) - xy) AS near_edited, xz / (len(x) + len(z) - xz) AS near_next, CAST(len(x) AS INTEGER) AS n_signatures FROM p"""
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs, members): (a, b, likeness) of classes whose signature sets are at least `least` alike, and (id, class).
 

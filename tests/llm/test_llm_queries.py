@@ -70,3 +70,49 @@ def test_pipeline_stages_take_effect(spark):
     assert kept.where("doc_id >= 1000000").count() == 0
     assert corpus_pipeline.redact_secrets(spark, docs, SF).where("text like '%[SECRET]%'").count() > 0
     assert labels.count() > 0
+
+
+def test_pipeline_equals_brute_force(spark):
+    import hashlib
+
+    import corpus_pipeline
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    import tiktoken
+    from test_mixing import brute_count
+    from test_simhash import brute_components, brute_fingerprint
+
+    from lexispan.llm import bpe, secret_scan, toxicity
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text", "source").collect()
+    scores = toxicity.fit(docs, labels).scores(pa.array([r["text"].lower() for r in rows]))
+    rows = [r for r, s in zip(rows, scores) if s < 0.3]
+    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
+    roots = brute_components(sorted(set(prints.values())))
+    first = {}
+    for r in rows:
+        root = roots[prints[r["doc_id"]]]
+        first[root] = min(first.get(root, r["doc_id"]), r["doc_id"])
+    rows = [r for r in rows if r["doc_id"] in first.values()]
+
+    def redacted(text):
+        out, at = "", 0
+        for _, a, b in secret_scan.spans_of(text):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:]
+
+    sources = [r["source"] for r in rows]
+    means = {s: len(rows) / len(set(sources)) / sources.count(s) for s in set(sources)}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    expected = []
+    for r in rows:
+        text = redacted(r["text"])
+        ids = encoder.encode_ordinary(text)
+        row = (r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        expected += [row] * brute_count(17, r["doc_id"], means[r["source"]])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(expected)
