@@ -209,7 +209,8 @@ def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: st
     their component has no id at all, one for each such component.
     """
     found = SharedTable(simhash_components(docs, id_col, text, shingle, distance), "components").read()
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    # a written table: the planner knows its size, and broadcasts it only where it is small
+    gone = SharedTable(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone").read()
     kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
     repeated = SharedTable(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated").read()
     if not repeated.isEmpty():
