@@ -47,6 +47,15 @@ def decomposed(x) -> Column:
     return F.array_join(F.transform(F.split(col(x), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
 
 
+def composed(x) -> Column:
+    """Canonical composition of Latin letters and their marks; texts without marks are left as they are."""
+    out = col(x)
+    pairs = [(unicodedata.normalize("NFD", c), c) for c in DECOMPOSED if ord(c) < 0x180]
+    for apart, whole in sorted(pairs, key=lambda p: -len(p[0])):
+        out = F.replace(out, F.lit(apart), F.lit(whole))
+    return F.when(col(x).rlike("[\u0300-\u036F]"), out).otherwise(col(x))
+
+
 def strip(x) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")

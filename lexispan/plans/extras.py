@@ -165,3 +165,24 @@ def s15_glyph_shapes(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     near = rules.band_pairs(rows.where("event_type = 'view'"), rows.where("event_type = 'click'"), ["user_id"], "value", 0.2)
     return near.select("user_id", F.col("event_id").alias("glyph"), F.col("other_event_id").alias("shape"))
+
+
+@query("SELECT doc_id, nfc_normalize(split_part(text, ' ', 1)) AS word, strlen(nfc_normalize(split_part(text, ' ', 1))) AS bytes FROM documents")
+def n4_composed(spark, sf_dir):
+    """Words taken apart and put together again."""
+    word = text.composed(text.decomposed(F.get(F.split("text", " "), 0)))
+    return load(spark, sf_dir, "documents").select("doc_id", word.alias("word")).withColumn("bytes", F.octet_length("word").cast("long"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(text, ' ', chr(9) || ' '), 'a', chr(7) || 'a'), '[\\x00-\\x09\\x0B-\\x1F\\x7F]', '', 'g'), '[ ]+', ' ', 'g')) AS cleaned FROM documents")
+def n3_without_controls(spark, sf_dir):
+    """Control characters, tabs among them, go before blanks collapse."""
+    dirty = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("\t ")), F.lit("a"), F.lit("\x07a"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.without_controls(dirty).alias("cleaned"))
+
+
+@query("SELECT doc_id, translate(lower(split_part(text, ' ', 1)), 'åâà', 'aaa') AS wide, translate(lower(split_part(text, ' ', 1)), 'å', 'a') AS narrow, regexp_matches(split_part(text, ' ', 1), '[âôûîèêëœæ]') AS accented FROM documents")
+def n6_ring_keys(spark, sf_dir):
+    """Keys of rule tables, and words with local accents."""
+    word = F.get(F.split("text", " "), 0)
+    return load(spark, sf_dir, "documents").select("doc_id", text.ring_key(word, wide=True).alias("wide"), text.ring_key(word).alias("narrow"), word.rlike("[âôûîèêëœæ]").alias("accented"))

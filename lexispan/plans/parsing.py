@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import layout, parsing, restructure
+from ..operators import layout, parsing, ranking, restructure
 from .registration import load, query
 
 
@@ -167,12 +167,12 @@ def f1_text_area(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", (kept & (F.col("value") <= 420)).alias("kept"))
 
 
-@query("SELECT conv_id, string_agg(x, '') AS text FROM (SELECT conv_id, CASE WHEN turn % 2 = 1 THEN ' ' ELSE '' END || role AS x, turn FROM conversations WHERE turn < 4 ORDER BY conv_id, turn) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(x, '' ORDER BY turn) AS text FROM (SELECT conv_id, CASE WHEN turn % 2 = 1 THEN ' ' ELSE '' END || role AS x, turn FROM conversations) GROUP BY conv_id")
 def p4_line_text(spark, sf_dir):
     """Spans of a line joined with spaces at gaps: odd turns stand apart from the turn before."""
     turn = F.col("turn")
     x0 = turn * 10 + F.when(turn % 2 == 1, 5).otherwise(0)
-    rows = load(spark, sf_dir, "conversations").where("turn < 4").select("conv_id", F.struct(turn.alias("n"), F.col("role").alias("text"), x0.cast("double").alias("x0"), F.when(turn % 2 == 1, turn * 10 + 10).otherwise(turn * 10 + 10).cast("double").alias("x1")).alias("span"))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", F.struct(turn.alias("n"), F.col("role").alias("text"), x0.cast("double").alias("x0"), F.when(turn % 2 == 1, turn * 10 + 10).otherwise(turn * 10 + 10).cast("double").alias("x1")).alias("span"))
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("span")).alias("spans")).select("conv_id", layout.line_text("spans").alias("text"))
 
 
@@ -190,8 +190,15 @@ def n14_letters_only(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower(F.translate(first, "é", "e")), "[^a-z]", "").alias("stripped"))
 
 
-@query("SELECT doc_id, nfc_normalize(k) AS word FROM (SELECT doc_id, split_part(text, ' ', 1) AS k FROM documents ORDER BY 1 LIMIT 100)")
+def _sql_decomposed(x: str) -> str:
+    for letter, parts in text.DECOMPOSED.items():
+        if letter.islower() and ord(letter) < 0x100:
+            x = f"replace({x}, '{letter}', '{parts}')"
+    return x
+
+
+@query(f"""SELECT * FROM (SELECT doc_id, word, CAST(row_number() OVER (ORDER BY {_sql_decomposed('lower(word)')}, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, split_part(text, ' ', 1) AS word FROM documents)) WHERE rank <= 50""")
 def o2_decomposed_order(spark, sf_dir):
-    """The first hundred documents' headwords; sorted by their decomposed form they keep accents next to their base letters."""
-    rows = load(spark, sf_dir, "documents").orderBy("doc_id").limit(100).select("doc_id", F.get(F.split("text", " "), 0).alias("word"))
-    return rows.orderBy(text.decomposed(F.lower("word")), "doc_id")
+    """The first page of headwords by their decomposed form, which keeps accents next to their base letters."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", " "), 0).alias("word"))
+    return ranking.page(rows, [text.decomposed(F.lower("word")).asc(), F.col("doc_id").asc()], 50)
