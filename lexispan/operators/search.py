@@ -54,3 +54,25 @@ def entry_html(word, category, definitions, examples) -> Column:
     item = lambda e: F.concat(F.lit("<li>"), F.replace(e["wallon"], F.lit("~"), F.concat(F.lit("<b>"), word, F.lit("</b>"))), F.when(e["francais"] != "", F.concat(F.lit(" : "), e["francais"])).otherwise(""), F.lit("</li>"))
     shown = F.when(F.size(examples) > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(examples, item), ""), F.lit("</ul>"))).otherwise("")
     return F.concat(head, kind, body, shown)
+
+
+def _grams(text: Column, n: int) -> Column:
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def search_many(index: DataFrame, queries: DataFrame, query: str, n: int = 3) -> DataFrame:
+    """All matches of many queries at once: the index's columns, the query, and the score.
+
+    A text that holds a query holds its first n letters, so an equi-join on runs of n letters
+    finds the candidates, and the tiers are checked on these alone. Queries of fewer than n
+    letters have none and are left out: they match too much to be searched in bulk.
+    """
+    folded = queries.select(query).distinct().withColumn("__q", fold(strip(F.col(query))))
+    wanted = folded.where(F.length("__q") >= n).withColumn("__gram", F.left("__q", F.lit(n)))
+    texts = F.concat_ws("\n", "norm_word", "norm_body")
+    rows = index.withColumn("__gram", F.explode(_grams(texts, n)))
+    hits = rows.join(wanted, "__gram")
+    w, b, q = F.col("norm_word"), F.col("norm_body"), F.col("__q")
+    score = F.when(w == q, EQUAL).when(F.startswith(w, q), PREFIX).when(F.contains(w, q), INSIDE).when(F.contains(b, q), BODY).otherwise(0)
+    return hits.withColumn("score", score).where("score > 0").drop("__gram", "__q")

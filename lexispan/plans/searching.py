@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking, search
@@ -113,3 +114,16 @@ def p9_entry_html(spark, sf_dir):
         F.when(size % 5 == 0, F.slice(pair, 1, 0)).otherwise(pair).alias("examples"),
     )
     return rows.select("p_partkey", search.entry_html("p_name", "category", "definitions", "examples").alias("html"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS q FROM part UNION SELECT DISTINCT lower(p_type) FROM part), i AS (SELECT p_partkey, p_name, {SQL_FOLD.format('p_name')} AS w, {SQL_FOLD.format("(p_type || ' ' || p_brand)")} AS b FROM part),
+s AS (SELECT q, p_partkey, p_name, CASE WHEN w = q THEN 100 WHEN starts_with(w, q) THEN 80 WHEN contains(w, q) THEN 50 WHEN contains(b, q) THEN 20 ELSE 0 END AS score FROM i JOIN q ON contains(w, q) OR contains(b, q)),
+r AS (SELECT q, p_partkey, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, length(p_name), p_name, p_partkey) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 5""")
+def q1_search_many(spark, sf_dir):
+    """The five best hits of each of many queries, in one job."""
+    parts = load(spark, sf_dir, "part")
+    wanted = parts.select(F.get(F.split("p_name", " "), 1).alias("q")).union(parts.select(F.lower("p_type")))
+    hits = search.search_many(_parts(spark, sf_dir).select("p_partkey", "p_name", "norm_word", "norm_body"), wanted, "q")
+    order = Window.partitionBy("q").orderBy(*search.search_order("p_name", "p_partkey"))
+    return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("q", "p_partkey", "score", "rank")
