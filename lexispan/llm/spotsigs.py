@@ -137,7 +137,7 @@ def compare_edited_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) AS n, count(*) OVER () AS total FROM documents),
 e AS (SELECT a.doc_id, b.doc_id AS next_id, a.text, length(a.text) AS n_chars, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited FROM d a JOIN d b ON b.n = a.n % a.total + 1),
 t AS (SELECT doc_id, 0 AS kind, text AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
-w AS (SELECT doc_id, kind, trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words FROM t),
+w AS (SELECT doc_id, kind, trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS words FROM t),
 u AS (SELECT doc_id, kind, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT *, string_split(words, ' ') AS ws FROM w)),
 c AS (SELECT *, word IN ({anchors}) AS anchor, sum(CASE WHEN word IN ({anchors}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, kind ORDER BY i) AS k FROM u),
 s AS (SELECT DISTINCT a.doc_id, a.kind, {number.format("a.word || ':' || b.word || ':' || f.word")} AS sig FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.kind = b.kind AND NOT b.anchor AND b.k = a.k + 1
