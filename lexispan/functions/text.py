@@ -27,6 +27,8 @@ def _tables() -> tuple[str, str, dict[str, str]]:
 
 
 ACCENTED, PLAIN, DECOMPOSED = _tables()
+#: Characters with the White_Space property.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Ligatures of printed text and their letters.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 
@@ -58,7 +60,7 @@ def composed(x) -> Column:
 
 def strip(x) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(x), F.lit(WHITE))
 
 
 def strip_chars(x, chars: str) -> Column:
