@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispan.llm import bpe, mixing, queries, secret_scan, simhash, toxicity
+from lexispan.llm import bpe, mixing, near_copies, queries, secret_scan, toxicity
 from lexispan.llm._spark import SharedTable, load
 
 #: Fixed value: documents that score this or more are rejected.
@@ -18,8 +18,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies stays: five-word shingles with a Jaccard likeness of 0.8 or more."""
+    return near_copies.deduplicate(docs, least=0.8, shingle=5)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,8 +190,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows are returned as often as they occur. An empty table gives no rows.
     """
     marked = SharedTable(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle), "fingerprints").read()
+    return with_components(marked, lambda values: links(values, distance), id_col)
+
+
+def with_components(marked: DataFrame, edges, id_col: str) -> DataFrame:
+    """(id, fp, root, component_id) for every row of (id, fp); `edges` are links of `fp`, or give them for the distinct ones."""
     values = SharedTable(marked.groupBy("fp").agg(F.min("id").alias("first")), "values").read()
-    roots = connected_components(links(values.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
+    found = edges(values.select("fp")) if callable(edges) else edges
+    roots = connected_components(found).select(F.col("node").alias("fp"), "root")
     tied = values.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     tied = SharedTable(tied, "tied").read()
     classes = tied.join(tied.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -209,6 +215,11 @@ def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: st
     their component has no id at all, one for each such component.
     """
     found = SharedTable(simhash_components(docs, id_col, text, shingle, distance), "components").read()
+    return survivors(docs, found, lambda x: fingerprints(x, "__text", shingle, "__fp"), id_col, text)
+
+
+def survivors(docs: DataFrame, found: DataFrame, mark, id_col: str, text: str) -> DataFrame:
+    """The documents that stay of the components; `mark` turns `__text` into `__fp`."""
     # a written table: the planner knows its size, and broadcasts it only where it is small
     gone = SharedTable(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone").read()
     kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
@@ -217,7 +228,7 @@ def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: st
         kept = kept.join(repeated, id_col, "left_anti").union(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
     if not found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).isEmpty():
         alone = docs.where(F.col(id_col).isNull())
-        marked = fingerprints(alone.withColumn("__text", F.col(text)), "__text", shingle, "__fp")
+        marked = mark(alone.withColumn("__text", F.col(text)))
         free = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
         kept = kept.unionByName(marked.join(free, "__fp").dropDuplicates(["__root"]).select(*docs.columns))
     return kept.select(*docs.columns)
