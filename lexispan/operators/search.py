@@ -64,14 +64,14 @@ def _grams(text: Column, n: int) -> Column:
 def search_many(index: DataFrame, queries: DataFrame, query: str, n: int = 3) -> DataFrame:
     """All matches of many queries at once: the index's columns, the query, and the score.
 
-    A text that holds a query holds its first n letters, so an equi-join on runs of n letters
-    finds the candidates, and the tiers are checked on these alone. Queries of fewer than n
-    letters have none and are left out: they match too much to be searched in bulk.
+    A text that holds a query holds its first n letters, or all of a shorter one, so an equi-join
+    on runs of up to n letters finds the candidates, and the tiers are checked on these alone.
+    Empty queries have no letters and no hits.
     """
     folded = queries.select(query).distinct().withColumn("__q", fold(strip(F.col(query))))
-    wanted = folded.where(F.length("__q") >= n).withColumn("__gram", F.left("__q", F.lit(n)))
+    wanted = folded.where(F.length("__q") >= 1).withColumn("__gram", F.left("__q", F.lit(n)))
     texts = F.concat_ws("\n", "norm_word", "norm_body")
-    rows = index.withColumn("__gram", F.explode(_grams(texts, n)))
+    rows = index.withColumn("__gram", F.explode(F.concat(*[_grams(texts, k) for k in range(1, n + 1)])))
     hits = rows.join(wanted, "__gram")
     w, b, q = F.col("norm_word"), F.col("norm_body"), F.col("__q")
     score = F.when(w == q, EQUAL).when(F.startswith(w, q), PREFIX).when(F.contains(w, q), INSIDE).when(F.contains(b, q), BODY).otherwise(0)

@@ -55,3 +55,13 @@ def test_history_keeps_the_last_casing(spark):
 def test_toggles(spark):
     log = spark.createDataFrame([("x",)] * 3 + [("y",)] * 2, "k string")
     assert [tuple(r) for r in session.toggled_on(log, "k").collect()] == [("x",)]
+
+
+def test_search_many_answers_short_queries(spark):
+    rows = spark.createDataFrame([("eau", "water"), ("on", "one"), ("île", "an island")], "w string, b string")
+    index = search.search_index(rows, F.col("w"), F.col("b"))
+    queries = ["a", "on", "EA", "î", "isl", "zz"]
+    found = search.search_many(index, spark.createDataFrame([(q,) for q in queries], "q string"), "q")
+    expected = {(q, r["w"], r["score"]) for q in queries for r in search.scored(index, q).collect()}
+    assert {(r["q"], r["w"], r["score"]) for r in found.collect()} == expected and len(expected) == 6
+    assert found.count() == len(expected)
