@@ -7,7 +7,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,13 +93,13 @@ def links(marked: DataFrame, least: float) -> list[DataFrame]:
     """
     sets = marked.groupBy("fp").agg(F.first("__n").alias("n"), F.first("__prefix").alias("prefix"))
     rows = sets.select("fp", "n", F.explode("prefix").alias("sig"))
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-    index = SharedTable(rows.join(sizes, "sig").select("sig", "fp", "n", "size"), "index").read()
+    index = SharedTable(rows.withColumn("size", F.count("*").over(Window.partitionBy("sig"))).where("size > 1"), "index").read()
     large = index.where(F.col("size") > SMALL).withColumn("root", F.col("fp"))
 
     def verified(pairs):
         pairs = SharedTable(pairs.distinct(), "candidates").read()
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        # a written table: the sets are only shuffled where many are wanted
+        wanted = SharedTable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "wanted").read()
         held = SharedTable(marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("__set").alias("set")), "sets").read()
         one, two = (held.select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
         near = pairs.join(one, "a").join(two, "b").select("a", "b", (pruned_jaccard("a_set", "b_set", least) >= least).alias("near"))
