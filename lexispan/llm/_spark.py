@@ -13,11 +13,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one key are dealt over so many salts before they meet in a join.
+SALTS = 32
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one only where none is set."""
+    """The checkpoint folder that the cluster names. Without one, a temporary folder serves a local master; a cluster raises ValueError."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexispan-"))
     return context.getCheckpointDir()
 
@@ -54,12 +60,30 @@ def unit_hash(*cols, seed: int) -> F.Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def with_least(rows: DataFrame, key: str, value: str, into: str) -> DataFrame:
+    """The rows with the least value of their key.
+
+    Values are first reduced by key and salt, then by key; the least one is passed down by key
+    and salt, so rows of a hot key meet it in as many tasks as there are salts.
+    """
+    salted = rows.withColumn("__salt", salt(value))
+    parts = salted.groupBy(key, "__salt").agg(F.min(value).alias("__least"))
+    whole = parts.groupBy(key).agg(F.min("__least").alias(into))
+    return salted.join(parts.join(whole, key).select(key, "__salt", into), [key, "__salt"]).drop("__salt")
+
+
+def salt(value: str) -> F.Column:
+    return F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each is two joins on a partially
     aggregated minimum, and each round is a table in the shared folder, so neither
-    the driver nor one task ever holds a component. An empty input gives no rows.
+    the driver nor one task ever holds a component or the neighbours of a hub. An empty
+    input gives no rows. Rounds grow with the logarithm of the longest path; if `max_rounds`
+    aren't enough, RuntimeError is raised and no result is returned.
     """
     state = None
     table = SharedTable(_ordered(edges).distinct(), "edges")
@@ -84,13 +108,11 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung on the least of the node and its neighbours."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    both = with_least(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b", "m")
+    return _ordered(both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are hung on the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _ordered(moved.union(least.select("a", F.col("m").alias("b"))))
+    moved = with_least(edges, "a", "b", "m")
+    return _ordered(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b"))))

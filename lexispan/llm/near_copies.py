@@ -1,46 +1,107 @@
-"""Near copies by the exact Jaccard likeness of word shingles, found through prefixes of ordered shingle sets."""
+"""Near copies by word shingles: SimHash blocks first, then every other pair whose exact Jaccard likeness reaches the bound."""
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from ._spark import SharedTable, connected_components
-from ._text import chunks, text_of
+from ._spark import SharedTable, connected_components, with_least
+from ._text import RangeHash, byte_view, chunks, mixed, runs, text_of
 from .spotsigs import pruned_jaccard
 
-#: Documents in expectation that show which shingles are common; the choice changes the work, never the result.
+#: Documents in expectation that show which shingles are common, and most of those that are kept: the choice changes the work, never the result.
 SAMPLE, COMMON, MOST_COMMON = 4_000, 4, 100_000
-#: All pairs of groups of up to so many sets are compared; larger ones are first compared with pivots.
-SMALL, PIVOT_ROUNDS = 16, 2
-
-
-def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
-    """The distinct XXH64 values of the shingles in order; words as in `simhash.fingerprint_of`, fewer of them are one shingle."""
-    words = text.encode().lower().split()
-    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))}
-    return np.array(sorted(found), np.uint64)
-
-
-def set_name(values: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh64_intdigest(values.tobytes(), 7), np.uint64).view(np.int64))
-
-
-def prefix_length(n: int, least: float) -> int:
-    """Two sets that are `least` alike share one of so many first shingles, whatever the common order."""
-    return n - ceil(least * n - 1e-9) + 1
+#: A shingle that more prefixes share counts as common, and prefixes are chosen anew, so many times at most.
+LIMIT, REORDERS = 1024, 2
+#: Rounds in which groups are compared with one of their sets, before what is left of them is compared in full; groups of up to FULL sets take one such round.
+PIVOT_ROUNDS, FULL = 2, 64
+#: Buckets of a set's histogram: two sets share at most the sum of their lesser counts.
+BUCKETS = 128
+#: Odd multipliers of the words of a shingle.
+STEP = 0xD6E8FEB86659FD93
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def shingles(column: pa.StringArray, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all word shingles, repeats included, of texts with A-Z lower-cased; fewer words, or none, are one shingle."""
+    data, offsets = byte_view(column)
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    starts, ends, rows = runs(~_WHITE[data], offsets)
+    words, n = RangeHash(data)(starts, ends), len(starts)
+    counts = np.bincount(rows, minlength=len(column))
+    found, length = np.zeros(n, np.uint64), np.minimum(counts, shingle)
+    for k in range(min(shingle, n)):
+        same = rows[k:] == rows[: n - k]
+        found[: n - k] += np.where(same, words[k:] * np.uint64(pow(STEP, k + 1, 1 << 64)), np.uint64(0))
+    place = np.arange(n) - (np.cumsum(counts) - counts)[rows]
+    whole = place + length[rows] <= counts[rows]
+    none = np.flatnonzero(counts == 0)
+    hashes = mixed(found + length[rows].astype(np.uint64))[whole]
+    return np.concatenate([rows[whole], none]), np.concatenate([hashes, np.zeros(len(none), np.uint64)])
+
+
+class Sets:
+    """The distinct shingles of each row, common ones last, and what is derived from them."""
+
+    def __init__(self, column: pa.StringArray, shingle: int, common: dict[int, int] | None = None):
+        rows, hashes = shingles(column, shingle)
+        items = sorted((common or {}).items())
+        keys, counts = (np.array([x[i] for x in items] + [0], np.int64) for i in (0, 1))
+        signed = hashes.view(np.int64)
+        at = np.searchsorted(keys[:-1], signed)
+        order = np.lexsort((signed, np.where(keys[at] == signed, counts[at], 0) if items else np.zeros(len(rows)), rows))
+        rows, hashes = rows[order], hashes[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+        self.all_rows, self.all_hashes = rows, hashes
+        self.rows, self.hashes = rows[new], hashes[new]
+        self.sizes = np.bincount(self.rows, minlength=len(column))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def names(self) -> np.ndarray:
+        """A 64-bit name of each set, whatever its order."""
+        if not len(self.sizes):
+            return np.zeros(0, np.int64)
+        total = np.add.reduceat(mixed(self.hashes ^ np.uint64(STEP)), self.starts)
+        return mixed(total + self.sizes.astype(np.uint64)).view(np.int64)
+
+    def fingerprints(self) -> np.ndarray:
+        """SimHash: the 64 majority bits of the shingles, repeats included."""
+        counts = np.bincount(self.all_rows, minlength=len(self.sizes))
+        ones = np.zeros((len(counts), 64), np.int64)
+        for a in range(0, len(self.all_rows), 1 << 18):  # slices bound the unpacked bits
+            rows = self.all_rows[a : a + (1 << 18)]
+            bits = np.unpackbits(self.all_hashes[a : a + (1 << 18)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            ones[rows[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<i8").ravel()
+
+    def histograms(self) -> np.ndarray:
+        """How many shingles of each set fall in each bucket, as rows of one array."""
+        bucket = (self.hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        return np.bincount(self.rows * BUCKETS + bucket, minlength=len(self.sizes) * BUCKETS)
+
+    def lists(self, least: float | None = None) -> pa.ListArray:
+        """The whole sets, or their prefixes: two sets that are `least` alike share one of these first shingles."""
+        taken = self.sizes if least is None else prefix_length(self.sizes, least)
+        chosen = np.arange(len(self.rows)) - self.starts[self.rows] < taken[self.rows]
+        offsets = np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.hashes[chosen].view(np.int64)))
+
+
+def prefix_length(n, least: float):
+    return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
 
 def named(docs: DataFrame, text: str = "text", shingle: int = 5, into: str = "fp") -> DataFrame:
     """The input's columns without the text, and the name of its shingle set. Null text counts as empty."""
-    return _sets(docs, text, shingle, into).drop("__n", "__set", "__prefix")
+    return _sets(docs, text, shingle, into).drop("__n", "__sim", "__buckets", "__sigs")
 
 
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> dict[int, int]:
@@ -50,107 +111,135 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> dict[int, int]:
 
     def apply(batches):
         for batch in chunks(batches, text):
-            for x in text_of(batch, text).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, shingle).view(np.int64))], ["sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(Sets(text_of(batch, text), shingle).hashes.view(np.int64))], ["sig"])
 
     often = drawn.select(text).mapInArrow(apply, "sig long").groupBy("sig").count().where(F.col("count") >= COMMON)
     return {r["sig"]: r["count"] for r in often.orderBy(F.desc("count"), "sig").limit(MOST_COMMON).collect()}
 
 
-def _sets(docs: DataFrame, text: str, shingle: int, into: str, least: float | None = None, common: dict[int, int] | None = None) -> DataFrame:
-    """Without the text, with `into`, and `__n`, `__set` and `__prefix` (rare shingles first) where `least` is given."""
+def _sets(docs: DataFrame, text: str, shingle: int, into: str, keep: str = "", least: float = 0.8, common: dict[int, int] | None = None) -> DataFrame:
+    """Without the text, with `into`, `__n`, and as `__sigs` the whole set, or its prefix along with `__sim` and `__buckets`, or nothing."""
     others = [c for c in docs.columns if c not in (text, into)]
     schema = T.StructType(
         [docs.schema[c] for c in others]
-        + [T.StructField(into, T.LongType()), T.StructField("__n", T.IntegerType())]
-        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("__set", "__prefix")]
+        + [T.StructField(into, T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__sim", T.LongType()), T.StructField("__buckets", T.ArrayType(T.IntegerType())), T.StructField("__sigs", T.ArrayType(T.LongType()))]
     )
-    items = sorted((common or {}).items())
-    keys, counts = (np.array([x[i] for x in items] + [0], np.int64) for i in (0, 1))
-
-    def prefix(values):
-        at = np.searchsorted(keys[:-1], values)
-        order = np.lexsort((values, np.where(keys[at] == values, counts[at], 0)))
-        return values[order[: prefix_length(len(values), least)]]
 
     def apply(batches):
         for batch in chunks(batches, text):
-            found = [shingle_set(x, shingle) for x in text_of(batch, text).to_pylist()]
-            signed = [x.view(np.int64) for x in found] if least else [np.zeros(0, np.int64)] * len(found)
-            lists = [pa.array(v, pa.list_(pa.int64())) for v in (signed, [prefix(x) if least else x for x in signed])]
-            columns = [batch.column(c) for c in others] + [pa.array([set_name(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, [*others, into, "__n", "__set", "__prefix"])
+            sets = Sets(text_of(batch, text), shingle, common)
+            n = batch.num_rows
+            sims = sets.fingerprints() if keep == "prefix" else np.zeros(n, np.int64)
+            buckets = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BUCKETS), pa.array(sets.histograms(), pa.int32())) if keep == "prefix" else pa.nulls(n, pa.list_(pa.int32()))
+            sigs = sets.lists(None if keep == "set" else least) if keep else pa.nulls(n, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sets.names()), pa.array(sets.sizes, pa.int32()), pa.array(sims), buckets, sigs], schema.names)
 
     return docs.select(*others, text).mapInArrow(apply, schema)
 
 
-def links(marked: DataFrame, least: float) -> list[DataFrame]:
-    """Edges (a, b) over set names whose components are those of all pairs of sets that are `least` alike.
+def simhash_pairs(sets: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of sets whose SimHash fingerprints lie within the distance: those of each fingerprint in a star, and one pair for each link."""
+    stars = with_least(sets.select("sim", "fp"), "sim", "fp", "one")
+    first = sets.groupBy("sim").agg(F.min("fp").alias("fp"))
+    near = simhash.links(first.select(F.col("sim").alias("fp")), distance)
+    one, two = (first.select(F.col("sim").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "ab")
+    return _ordered(stars.select("one", "fp")).union(_ordered(near.join(one, "a").join(two, "b").select("a_fp", "b_fp")))
 
-    Sets that share a shingle of their prefixes are candidates, and each is verified on the
-    whole sets. In a large group a pivot is compared with all others first; sets that are
-    linked by then aren't compared with each other, all remaining pairs are.
-    """
-    sets = marked.groupBy("fp").agg(F.first("__n").alias("n"), F.first("__prefix").alias("prefix"))
-    rows = sets.select("fp", "n", F.explode("prefix").alias("sig"))
-    index = SharedTable(rows.withColumn("size", F.count("*").over(Window.partitionBy("sig"))).where("size > 1"), "index").read()
-    large = index.where(F.col("size") > SMALL).withColumn("root", F.col("fp"))
-
-    def verified(pairs):
-        pairs = SharedTable(pairs.distinct(), "candidates").read()
-        # a written table: the sets are only shuffled where many are wanted
-        wanted = SharedTable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "wanted").read()
-        held = SharedTable(marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("__set").alias("set")), "sets").read()
-        one, two = (held.select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-        near = pairs.join(one, "a").join(two, "b").select("a", "b", (pruned_jaccard("a_set", "b_set", least) >= least).alias("near"))
-        return SharedTable(near, "tested").read()
-
-    def all_pairs(groups):
-        other = groups.select("sig", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        return _pairs(groups.join(other, "sig").where("fp < fp2 and root != root2"), least)
-
-    def pivot_pairs(groups, turn):
-        pivots = groups.groupBy("sig").agg(F.min_by(F.struct("fp", "n", "root"), F.xxhash64("fp", F.lit(turn))).alias("p"))
-        other = pivots.select("sig", F.col("p.fp").alias("fp2"), F.col("p.n").alias("n2"), F.col("p.root").alias("root2"))
-        return _pairs(groups.join(other, "sig").where("root != root2"), least)
-
-    small = index.where(F.col("size") <= SMALL).withColumn("root", F.col("fp"))
-    tested = [verified(all_pairs(small).union(pivot_pairs(large, 0)))]
-    if large.isEmpty():
-        return [x.where("near").select("a", "b") for x in tested]
-    for turn in range(1, PIVOT_ROUNDS + 1):
-        done = _union(tested)
-        roots = SharedTable(connected_components(done.where("near").select("a", "b")), "roots").read()
-        groups = large.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = groups.groupBy("sig").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("sig")
-        groups = SharedTable(groups.join(mixed, "sig"), "open").read()
-        if groups.isEmpty():
-            break
-        more = all_pairs(groups) if turn == PIVOT_ROUNDS else pivot_pairs(groups, turn)
-        tested.append(verified(more.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")))
-    return [x.where("near").select("a", "b") for x in tested]
-
-
-def _pairs(joined: DataFrame, least: float) -> DataFrame:
-    fits = F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - 1e-6
-    return joined.where(fits).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    x, y = pairs.columns
+    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.union(more)
-    return out
 
+def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: float, shingle: int, distance: int) -> DataFrame:
+    """(node, root) of the components that all pairs of sets make that are `least` alike; sets without such a pair have no row.
 
-def components(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp, root, component_id) as `simhash.simhash_components`; `fp` names the shingle set, and sets that are `least` alike are linked."""
+    Candidates are the SimHash links, and sets that share a shingle of their prefixes at places
+    that allow the likeness. Histograms rule out most of those that are too unlike, and the
+    rest is verified on the whole sets. A group that shares a shingle is compared with one
+    of its sets first. Sets that are linked by then aren't compared with each other; all pairs
+    that remain open are.
+    """
+    need = lambda m, n: (F.col(m) + F.col(n)) * F.lit(least / (1 + least)) - 1e-6
+
+    def likely(pairs):
+        one, two = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"{c}_n"), F.col("buckets").alias(f"{c}_buckets")) for c in "ab")
+        shared = F.aggregate(F.zip_with("a_buckets", "b_buckets", F.least), F.lit(0), lambda x, y: x + y)
+        return pairs.join(one, "a").join(two, "b").where(shared >= need("a_n", "b_n")).select("a", "b")
+
+    def near(pairs):
+        pairs = SharedTable(likely(pairs), "candidates").read()
+        ends = SharedTable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "ends").read()
+        # written tables: the planner knows their sizes, and texts are only shuffled where many are wanted
+        wanted = SharedTable(sets.join(ends, "fp", "left_semi").select(F.col("first").alias("id")).distinct(), "wanted").read()
+        texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi")
+        held = _sets(texts, "text", shingle, "fp", "set").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("__sigs").alias("set"))
+        held = SharedTable(held, "sets")
+        one, two = (held.read().select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+        found = SharedTable(pairs.join(one, "a").join(two, "b").where(pruned_jaccard("a_set", "b_set", least) >= least).select("a", "b"), "near").read()
+        held.drop()
+        return found
+
+    def pairs_of(groups, other):
+        x, y = groups.select("sig", member.alias("x")), other.select("sig", F.col("p").alias("y"))
+        size, rest = (lambda s: F.col(s)["n"]), (lambda s: F.col(s)["n"] - F.col(s)["pos"])
+        fits = (F.least(size("x"), size("y")) >= F.greatest(size("x"), size("y")) * F.lit(least) - 1e-6) & (F.least(rest("x"), rest("y")) >= (size("x") + size("y")) * F.lit(least / (1 + least)) - 1e-6)
+        return _ordered(x.join(y, "sig").where((F.col("x")["root"] != F.col("y")["root"]) & fits).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
+
+    def with_pivot(groups, turn):
+        return pairs_of(groups, groups.groupBy("sig").agg(F.min_by(member, F.xxhash64("fp", F.lit(turn))).alias("p")))
+
+    def in_full(groups):
+        return pairs_of(groups, groups.select("sig", member.alias("p")))
+
+    member = F.struct("fp", "n", "pos", "root")
+    first = with_pivot(index.withColumn("root", F.col("fp")), 0).union(simhash_pairs(sets, distance))
+    edges = near(first.distinct())
+    for turn in range(1, PIVOT_ROUNDS + 1):
+        roots = SharedTable(connected_components(edges), "roots").read()
+        rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        large = F.count("*") > FULL
+        still = rooted.groupBy("sig").agg((F.min("root") != F.max("root")).alias("open"), large.alias("large")).where("open and large" if turn > 1 else "open")
+        still = SharedTable(still.select("sig", "large"), "open").read()
+        if still.isEmpty():
+            return roots
+        groups = SharedTable(rooted.join(still, "sig"), "groups").read()
+        last = turn == PIVOT_ROUNDS
+        more = in_full(groups if last else groups.where("not large"))
+        more = more if last else more.union(with_pivot(groups.where("large"), turn))
+        # the roots stand for all links so far
+        edges = near(more.distinct()).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return connected_components(edges)
+
+
+def components(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fp, root, component_id) as `simhash.simhash_components`; `fp` names the shingle set, and sets that are `least` alike are linked.
+
+    SimHash fingerprints within `distance` bits give the first candidates. At a likeness of 0.8 most
+    pairs differ in more bits than blocks can bridge, so the others share a shingle of
+    their sets' prefixes, rare shingles first, which misses no pair.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    marked = SharedTable(_sets(rows, "text", shingle, "fp", least, common_shingles(rows, "text", shingle)), "shingles").read()
-    return simhash.with_components(marked.select("id", "fp"), _union(links(marked, least)), id_col)
+    common = common_shingles(rows, "text", shingle)
+    for turn in range(REORDERS + 1):
+        marked = SharedTable(_sets(rows, "text", shingle, "fp", "prefix", least, common), "prefixes")
+        whole = marked.read().groupBy("fp").agg(F.first("__n").alias("n"), F.first("__sigs").alias("sigs"))
+        exploded = whole.select("fp", "n", F.posexplode("sigs").alias("pos", "sig"))
+        index = SharedTable(exploded.withColumn("size", F.count("*").over(Window.partitionBy("sig"))).where("size > 1"), "index")
+        crowded = index.read().where(F.col("size") > LIMIT).select("sig", "size").distinct().orderBy(F.desc("size"), "sig").limit(MOST_COMMON)
+        more = {r["sig"]: r["size"] for r in crowded.collect()} if turn < REORDERS else {}
+        if not more:
+            break
+        common |= {s: common.get(s, 0) + n for s, n in more.items()}
+        marked.drop()
+        index.drop()
+    sets = marked.read().groupBy("fp").agg(F.min("id").alias("first"), F.first("__n").alias("n"), F.first("__sim").alias("sim"), F.first("__buckets").alias("buckets"))
+    sets = SharedTable(sets, "values").read()
+    roots = likeness_roots(rows, sets, index.read().drop("size"), least, shingle, distance)
+    return simhash.with_components(marked.read().select("id", "fp"), lambda _: roots, id_col)
 
 
-def deduplicate(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """As `simhash.deduplicate`, with documents linked by the exact likeness of their shingles."""
-    found = SharedTable(components(docs, least, shingle, id_col, text), "components").read()
+    found = SharedTable(components(docs, least, shingle, distance, id_col, text), "components").read()
     return simhash.survivors(docs, found, lambda x: named(x, "__text", shingle, "__fp"), id_col, text)

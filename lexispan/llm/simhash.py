@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import SharedTable, connected_components
-from ._text import text_of
+from ._spark import SharedTable, connected_components, salt, with_least
+from ._text import chunks, text_of
 
 #: Larger groups of one block key are split by further blocks instead of being compared in one task.
 GROUP_LIMIT = 4096
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, into: st
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField(into, T.LongType())])
 
     def apply(batches):
-        for batch in batches:
+        for batch in chunks(batches, text):
             found = [fingerprint_of(x, shingle) for x in text_of(batch, text).to_pylist()]
             values = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [values], [*others, into])
@@ -190,18 +190,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows are returned as often as they occur. An empty table gives no rows.
     """
     marked = SharedTable(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle), "fingerprints").read()
-    return with_components(marked, lambda values: links(values, distance), id_col)
+    return with_components(marked, lambda values: connected_components(links(values, distance)), id_col)
 
 
-def with_components(marked: DataFrame, edges, id_col: str) -> DataFrame:
-    """(id, fp, root, component_id) for every row of (id, fp); `edges` are links of `fp`, or give them for the distinct ones."""
-    values = SharedTable(marked.groupBy("fp").agg(F.min("id").alias("first")), "values").read()
-    found = edges(values.select("fp")) if callable(edges) else edges
-    roots = connected_components(found).select(F.col("node").alias("fp"), "root")
+def with_components(marked: DataFrame, roots_of, id_col: str) -> DataFrame:
+    """(id, fp, root, component_id) for every row of (id, fp); `roots_of` gives (node, root) for the linked ones of a table of distinct `fp`.
+
+    Copies of one fingerprint, and fingerprints of one component, are dealt over salts where they are joined.
+    """
+    salted = marked.withColumn("__salt", salt("id"))
+    parts = SharedTable(salted.groupBy("fp", "__salt").agg(F.min("id").alias("first")), "parts")
+    values = SharedTable(parts.read().groupBy("fp").agg(F.min("first").alias("first")), "values").read()
+    roots = roots_of(values.select("fp")).select(F.col("node").alias("fp"), "root")
     tied = values.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     tied = SharedTable(tied, "tied").read()
-    classes = tied.join(tied.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    classes = with_least(tied, "root", "first", "component_id").select("fp", "root", "component_id")
+    down = parts.read().select("fp", "__salt").join(classes, "fp")
+    return salted.join(down, ["fp", "__salt"]).select(F.col("id").alias(id_col), "fp", "root", "component_id")
 
 
 def hexadecimal(column: str) -> F.Column:

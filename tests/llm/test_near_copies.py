@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexispan.llm import near_copies
@@ -21,7 +23,7 @@ def brute_components(rows, least=0.8):
 
 
 def edited_copies(seed=5):
-    """Texts with copies of one to six edited words, texts that share a passage, and a group larger than SMALL."""
+    """Texts with copies of one to six edited words, texts that share a passage, and a large group."""
     rng, rows = random.Random(seed), []
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(60)]
@@ -38,9 +40,11 @@ def edited_copies(seed=5):
     return [(i, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_components_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(near_copies, "SMALL", small)
+@pytest.mark.parametrize("limit, rounds, full", [(1024, 2, 64), (8, 1, 2), (1024, 2, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, limit, rounds, full):
+    monkeypatch.setattr(near_copies, "LIMIT", limit)
+    monkeypatch.setattr(near_copies, "FULL", full)
+    monkeypatch.setattr(near_copies, "PIVOT_ROUNDS", rounds)
     rows = edited_copies()
     expected = brute_components(rows)
     assert 30 < len(set(expected.values())) < len(rows) - 30
@@ -48,6 +52,29 @@ def test_components_equal_brute_force(spark, monkeypatch, small):
     assert {r["doc_id"]: r["component_id"] for r in near_copies.components(docs).collect()} == expected
 
 
+def test_shingles_sets_and_names():
+    texts = ["a b c d e f", "A\tb  c d e f ", "a b", "", "  ", "b a", "x y z u v " * 3000, "é É w1 w2 w3"]
+    rows, hashes = near_copies.shingles(pa.array(texts))
+    found = [list(hashes[rows == i]) for i in range(len(texts))]
+    assert found[0] == found[1] and len(found[0]) == 2 and len(found[2]) == 1 and found[2] != found[5]
+    assert found[3] == found[4] == [0] and len(found[6]) == 14996 and len(set(found[6])) == 5
+    sets = near_copies.Sets(pa.array(texts), 5)
+    names = sets.names()
+    assert names[0] == names[1] and names[3] == names[4] and len(set(names)) == len(texts) - 2
+    for i, mark in enumerate(sets.fingerprints()):
+        bits = [2 * sum(int(h) >> k & 1 for h in found[i]) > len(found[i]) for k in range(64)]
+        assert int(mark) & (1 << 64) - 1 == sum(1 << k for k, b in enumerate(bits) if b)
+
+
+def test_common_shingles_come_last():
+    column = pa.array([" ".join(f"w{i}" for i in range(104))])
+    values = near_copies.Sets(column, 5).hashes.view(np.int64)
+    common = {int(values[0]): 9, int(values[1]): 5}
+    ordered = near_copies.Sets(column, 5, common)
+    assert list(ordered.hashes.view(np.int64)) == [*values[2:], values[1], values[0]]
+    assert len(ordered.lists(0.8)[0]) == 100 - 80 + 1 and list(ordered.names()) == list(near_copies.Sets(column, 5).names())
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline
 
