@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ ACCENTED, PLAIN, DECOMPOSED = _tables()
 WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Ligatures of printed text and their letters.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
+DIGRAPHS = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE"}
+#: Small letters before which a hyphen at a line end joins a word.
+SMALL_LETTERS = "a-záàâéèêëîïôùûüœæç"
+#: What is kept of a reply that is one word.
+REPLY_LETTERS = "a-zA-ZåÅàâéèêëîïôùûüçœæ\\-'"
+#: What ends a line, white space that doesn't, and control characters that count as white space.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+BLANKS = " \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+CONTROL_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def col(x) -> Column:
@@ -43,19 +54,42 @@ def fold(x) -> Column:
     return F.lower(F.replace(F.replace(bare, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")))
 
 
+def _changing(form: str) -> str:
+    """A pattern of the characters that may change or move in a canonical form: marks, what the form rewrites, and parts of Hangul syllables."""
+    codes = [c for c in range(0x80, 0x30000) if unicodedata.combining(chr(c)) or unicodedata.normalize(form, chr(c)) != chr(c) or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2]
+    spans = []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+@cache
+def _canonical(form: str):
+    """The pattern of texts that may change, and the function of those; all others never leave the JVM."""
+
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
+
+    return _changing(form), F.pandas_udf(apply, "string")
+
+
+def _in_form(x, form: str) -> Column:
+    pattern, apply = _canonical(form)
+    x = col(x)
+    return F.coalesce(apply(F.when(x.rlike(pattern), x)), x)
+
+
 def decomposed(x) -> Column:
-    """Canonical decomposition of composed letters: its order puts an accented letter right behind its base letter."""
-    table = F.create_map(*[F.lit(v) for c, d in DECOMPOSED.items() if ord(c) < 0x250 for v in (c, d)])
-    return F.array_join(F.transform(F.split(col(x), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    """Canonical decomposition (NFD): its order puts an accented letter right behind its base letter."""
+    return _in_form(x, "NFD")
 
 
 def composed(x) -> Column:
-    """Canonical composition of Latin letters and their marks; texts without marks are left as they are."""
-    out = col(x)
-    pairs = [(unicodedata.normalize("NFD", c), c) for c in DECOMPOSED if ord(c) < 0x180]
-    for apart, whole in sorted(pairs, key=lambda p: -len(p[0])):
-        out = F.replace(out, F.lit(apart), F.lit(whole))
-    return F.when(col(x).rlike("[\u0300-\u036F]"), out).otherwise(col(x))
+    """Canonical composition (NFC)."""
+    return _in_form(x, "NFC")
 
 
 def strip(x) -> Column:
@@ -71,20 +105,32 @@ def collapse(x) -> Column:
     return strip(F.regexp_replace(col(x), r"\s+", " "))
 
 
-def clean(x, ligatures: dict[str, str] = LIGATURES, oe: bool = False) -> Column:
-    """Ligatures spelt out (œ and æ on demand), words joined over line ends, spaces collapsed, lines stripped, at most one blank line."""
-    out = F.coalesce(col(x), F.lit(""))
-    for a, b in (ligatures | ({"œ": "oe", "æ": "ae"} if oe else {})).items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, r"-\n(\p{L})", "$1")
+def _without_ligatures(x: Column, ligatures: dict[str, str]) -> Column:
+    for a, b in ligatures.items():
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def clean(x) -> Column:
+    """Composed, ligatures and digraphs spelt out, words joined over line ends before small letters, blanks collapsed, lines stripped, at most one blank line."""
+    out = _without_ligatures(composed(F.coalesce(col(x), F.lit(""))), LIGATURES | DIGRAPHS)
+    out = F.regexp_replace(out, f"-\n([{SMALL_LETTERS}])", "$1")
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r" *\n *", "\n")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    out = F.regexp_replace(out, LINE_END, "\n")
+    out = F.regexp_replace(out, f"[{BLANKS}]*\n[{BLANKS}]*", "\n")
+    return F.btrim(F.regexp_replace(out, r"\n{3,}", "\n\n"), F.lit(WHITE + CONTROL_BLANKS))
+
+
+def normalized(x) -> Column:
+    """Composed, printed ligatures spelt out, words joined over line ends between letters, no control characters but line ends, blanks collapsed; the ends are kept."""
+    out = _without_ligatures(composed(F.coalesce(col(x), F.lit(""))), LIGATURES)
+    out = F.regexp_replace(out, f"([A-Z{SMALL_LETTERS}])-\n([{SMALL_LETTERS}])", "$1$2")
+    return F.regexp_replace(F.regexp_replace(out, r"[\x00-\x09\x0B-\x1F\x7F]", ""), r"[ \t]+", " ")
 
 
-def without_controls(x) -> Column:
-    """Control characters but line ends go (tabs, too), then blanks collapse."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col(x), r"[\x00-\x09\x0B-\x1F\x7F]", ""), r"[ ]+", " "))
+def reply_letters(x) -> Column:
+    """A reply's letters, hyphens and apostrophes alone."""
+    return strip(F.regexp_replace(col(x), f"[^{REPLY_LETTERS}]", ""))
 
 
 def ring_key(x, wide: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, collapse, strip
+from ..functions.text import col, composed, strip
 
 #: A headword and a definition on one line, and what a definition must hold.
 ENTRY_LINE = r"^([A-Za-zÀ-ÿœæåÅ][A-Za-zÀ-ÿœæåÅ'\- ]{1,60}?)\s*[;:]\s*(.+)$"
@@ -21,8 +21,8 @@ def filled_from_name(rows: DataFrame, name: str, tome: str = "tome", page: str =
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
-    """Words and definitions without control characters and with single blanks; defaults for what is missing."""
-    bare = lambda c: collapse(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    """Words and definitions stripped, composed, without any control character (line ends and tabs, too), with single blanks; defaults for what is missing."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(composed(strip(F.coalesce(F.col(c), F.lit("")))), r"[\x00-\x1F\x7F]", ""), r"(?U)\s+", " ")
     return rows.withColumns({"word": bare("word"), "definition": bare("definition"), "type": F.coalesce("type", F.lit("wallon-francais")), "tome": F.coalesce("tome", F.lit(0)), "slice": F.coalesce("slice", F.lit(""))})
 
 

@@ -33,11 +33,14 @@ QUICK_ANY_CASE = (r"^(table|index|bibliographie|avant-propos|introduction|correc
 LOCAL_ACCENT, BAD_START = r"[âôûîèêëœæ]", r"^[(\[\-—*#\d]"
 
 
-def _any(x: Column, patterns, prefix: str = "") -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | x.rlike(prefix + p)
-    return out
+def _any(x: Column, patterns, flags: str = "") -> Column:
+    """Whether one of the patterns fits, as one alternation."""
+    return x.rlike(f"{flags}(?:{'|'.join(patterns)})")
+
+
+def _same(word: Column, text: Column) -> Column:
+    """Equality in any case; lower-casing never shortens a text, so a longer one is told by its length alone."""
+    return (F.length(text) <= F.length(F.lower(word))) & (F.lower(word) == F.lower(text))
 
 
 def noise_line(line) -> Column:
@@ -47,12 +50,12 @@ def noise_line(line) -> Column:
 
 def noise_entry(word, definition) -> Column:
     w, d = (strip(F.coalesce(col(c), F.lit(""))) for c in (word, definition))
-    return (w == "") | (F.length(d) < 3) | _any(w, NOISE_WORD, "(?i)") | (F.lower(w) == F.lower(d))
+    return (w == "") | (F.length(d) < 3) | _any(w, NOISE_WORD, "(?i)") | _same(w, d)
 
 
 def quick_keep(word, definition) -> Column:
     w, d = (strip(F.coalesce(col(c), F.lit(""))) for c in (word, definition))
-    return F.length(w).between(2, 100) & (F.length(d) >= 3) & (F.lower(w) != F.lower(d)) & ~_any(w, QUICK_EXACT) & ~_any(w, QUICK_ANY_CASE, "(?i)")
+    return F.length(w).between(2, 100) & (F.length(d) >= 3) & ~_same(w, d) & ~_any(w, QUICK_EXACT) & ~_any(w, QUICK_ANY_CASE, "(?i)")
 
 
 def post_clean(rows: DataFrame, word: str = "word", definition: str = "definition", kind: str = "type") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, strip
+from ..functions.text import clean, col, strip
 from .layout import line_text
 
 #: Grammar marks; the order matters, as the first that fits is taken.
@@ -150,6 +150,48 @@ def paragraphs(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return out.where(F.length("word").between(2, 80) & F.col("definition").rlike("[a-záàâéèêëîïôùûüœæçDJ]"))
 
 
+#: Patterns of a headword and a definition (a colon or dash behind a capital, capitals, a dash), and headwords that are table heads.
+CAPITALS = "A-ZÁÀÂÉÈÊËÎÏÔÙÛÜŒ"
+ENTRY_PATTERNS = (
+    rf"^([{CAPITALS}][^:\n]{{1,50}}?)\s*[:—]\s*(.+)",
+    rf"^([{CAPITALS}]{{2,}}(?:\s+[a-záàâéèêëîïôùûüœæ.]+)?)\s+(.+)",
+    r"^([^\-—\n]{2,40})\s*[—\-]\s*(.+)",
+)
+TABLE_HEADS = ("page", "liégeois", "français", "wallon", "traduction")
+PAGE_BREAK = r"\n\n--- PAGE \d+ ---\n\n"
+BLOCK_LETTER = "[a-záàâéèêëîïôùûüœæçDJ]"
+
+
+def heuristic_entries(text) -> Column:
+    """(word, definition) of a cleaned text, as an array: by the pattern with the most matches, the first of equals."""
+    text = col(text)
+    found = []
+    for p in ENTRY_PATTERNS:
+        word, definition = (F.regexp_extract_all(text, F.lit("(?md)" + p), i) for i in (1, 2))
+        found.append(F.arrays_zip(word.alias("word"), definition.alias("definition")))
+    best = found[2]
+    for other in reversed(found[:2]):
+        best = F.when(F.size(other) >= F.size(best), other).otherwise(best)
+    tidy = F.transform(best, lambda x: F.struct(F.rtrim(strip(x["word"]), F.lit(".,;:")).alias("word"), strip(x["definition"]).alias("definition")))
+    return F.filter(tidy, lambda x: F.length(x["word"]).between(2, 80) & (F.length(x["definition"]) >= 2) & ~x["word"].rlike(r"^\d+$") & ~F.lower(x["word"]).isin(*TABLE_HEADS))
+
+
+def block_entries(text) -> Column:
+    """(word, definition) of a cleaned text's blocks, as an array: the first line of a block of two or more, and the others."""
+    lines = F.transform(F.split(col(text), r"\n\n+"), lambda b: F.filter(F.transform(F.split(b, "\n"), strip), lambda x: x != ""))
+    pairs = F.transform(F.filter(lines, lambda x: F.size(x) >= 2), lambda x: F.struct(F.rtrim(F.get(x, 0), F.lit(".,;:")).alias("word"), F.array_join(F.slice(x, F.lit(2), F.size(x)), " ").alias("definition")))
+    return F.filter(pairs, lambda x: F.length(x["word"]).between(2, 80) & x["definition"].rlike(BLOCK_LETTER))
+
+
+def file_entries(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, parser, place, word, definition): of each file's two parses the one with more entries, the patterns' one of equals."""
+    whole = files.select(*keys, clean(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), PAGE_BREAK, "\n\n")).alias("__text"))
+    both = whole.select(*keys, heuristic_entries("__text").alias("__a"), block_entries("__text").alias("__b"))
+    first = F.size("__a") >= F.size("__b")
+    chosen = both.select(*keys, F.when(first, "patterns").otherwise("blocks").alias("parser"), F.posexplode(F.when(first, F.col("__a")).otherwise(F.col("__b"))).alias("place", "__e"))
+    return chosen.select(*keys, "parser", "place", "__e.word", "__e.definition")
+
+
 def best_pattern(text, patterns: list[str]) -> Column:
     """The number of the pattern with the most matches, from 0; the first of equals."""
     counts = [F.regexp_count(col(text), F.lit(p)) for p in patterns]

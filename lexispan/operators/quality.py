@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,19 @@ def code_point(ch) -> Column:
     return F.format_string("U+%04X", F.ascii(col(ch)))
 
 
+def with_names(characters: DataFrame) -> DataFrame:
+    """Characters (ch) with their code points and Unicode names; one without a name gets its code point.
+
+    There are at most as many rows as characters, so the names are looked up on distinct values alone.
+    """
+
+    @F.pandas_udf("string")
+    def name(found: pd.Series) -> pd.Series:
+        return found.map(lambda c: unicodedata.name(c, f"U+{ord(c):04X}"), na_action="ignore")
+
+    return characters.withColumns({"code_point": code_point("ch"), "name": name("ch")})
+
+
 def ordered_text(rows: DataFrame, keys: list[str], seq: str, text: str, into: str) -> DataFrame:
     """The texts of each key joined by spaces in row order."""
     lines = F.array_sort(F.collect_list(F.struct(seq, text)))

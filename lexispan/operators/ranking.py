@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the key; each is numbered on its own, and only so many counts are put in order.
-RANGES = 1024
+#: Rows of a range of the key; each range is numbered on its own, and only the ranges' counts are put in order.
+RANGE = 100_000
 
 
 def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0, into: str = "rank") -> DataFrame:
@@ -15,23 +15,46 @@ def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0, into:
     return top.withColumn(into, F.row_number().over(Window.orderBy(*order))).where(F.col(into) > offset)
 
 
+def _ranges(rows: DataFrame, key: str) -> tuple[list[int], DataFrame]:
+    """Upper ends of ranges of about RANGE rows each, and the input with the number of its range."""
+    n = rows.count()
+    parts = -(-n // RANGE)
+    uppers = sorted(set(rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
+    bounds = F.array(*[F.lit(x).cast("long") for x in uppers]).cast("array<long>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((len(uppers) + 1).bit_length()))])
+    # how many upper ends lie below the key, by binary search
+    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) < F.col(key), at + s).otherwise(at))
+    return uppers, rows.withColumn("__part", below)
+
+
 def numbered(rows: DataFrame, key: str, into: str = "number") -> DataFrame:
-    """Rows numbered from 0 in the order of an integer key that has no repeats.
+    """Rows numbered from 0 in the order of an integer key that has no repeats and no nulls.
 
-    The key's span is cut in ranges; a range's first number is the sum of the counts of
-    those before it, and rows are numbered within their range alone.
+    The order is cut in ranges of about RANGE rows at quantiles of the key, so outlying keys
+    don't crowd a range; a range's first number is the sum of the counts of those before
+    it, and rows are numbered within their range alone.
     """
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows.withColumn(into, F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // RANGES))
-    part = F.expr(f"cast(({key} - {low}L) div {width}L as int)")
-    counts = rows.groupBy(part.alias("__part")).count()
+    uppers, parted = _ranges(rows, key)
+    if not uppers:
+        return rows.withColumn(into, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    counts = parted.groupBy("__part").count()
     before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    # at most RANGES rows
-    starts = F.broadcast(counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before")))
+    # a row for each RANGE of the input
+    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return rows.withColumn("__part", part).join(starts, "__part").withColumn(into, (F.col("__before") + inside).cast("long")).drop("__part", "__before")
+    return parted.join(starts, "__part").withColumn(into, (F.col("__before") + inside).cast("long")).drop("__part", "__before")
+
+
+def at_place(rows: DataFrame, key: str, place: int, into: str = "number") -> DataFrame:
+    """The row that `numbered` gives the number `place`: only the range that holds it is put in order."""
+    _, parted = _ranges(rows, key)
+    before = 0
+    for part, n in sorted(map(tuple, parted.groupBy("__part").count().collect())):
+        if before + n > place:
+            inside = page(parted.where(F.col("__part") == part), [F.col(key).asc()], 1, place - before, "__rank")
+            return inside.withColumn(into, F.lit(place).cast("long")).drop("__part", "__rank")
+        before += n
+    return rows.where(F.lit(False)).withColumn(into, F.lit(place).cast("long"))
 
 
 def head_and_tail(rows: DataFrame, key: str, n: int, above: int) -> DataFrame:

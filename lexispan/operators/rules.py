@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, first_token
 
-#: Letters that a plain vowel of a rule's key stands for.
-VOWELS = {"a": "[aàâäåAÀÂÄÅ�]", "e": "[eéèêëEÉÈÊË]", "i": "[iîïIÎÏ]", "o": "[oôöOÔÖ]", "u": "[uûùüUÛÙÜ]"}
-#: Letters at which a rule's match may not border; the strict class holds marks inside words, too.
+#: Letters that a plain vowel of a rule's key stands for; with damaged letters, and for typed entries.
+VOWELS = {"a": "[aàâäå\ufffd]", "e": "[eéèêë]", "i": "[iîï]", "o": "[oô]", "u": "[uûù]"}
+TYPED_VOWELS = {"a": "[aàâå]", "e": "[eéèêë]", "i": "[iîï]", "o": "[oô]", "u": "[uûù]"}
+#: Letters at which a rule's match may not border; the other two go with the vowels above and hold marks inside words.
 LETTERS = "a-zA-Zàâäáéèêëîïíôöóûùüúçœæå"
-STRICT = LETTERS + "'\\-�"
+STRICT = "a-zàâéèêëîïôùûüçœæåÅ'\\-\ufffd"
+TYPED_STRICT = "a-zA-ZàâéèêëîïôùûüœæçåÅ\\-'"
 #: Most rules that are unrolled as literal patterns; more are folded from an array.
 UNROLLED = 200
 #: Most rows of a rule table that is broadcast.
@@ -32,18 +34,21 @@ def fix_first_token(rows: DataFrame, rules: DataFrame, word: str, separators: st
     return joined.withColumn(word, fixed).withColumn("matched", F.col("val").isNotNull()).drop("__token", "val")
 
 
-def rule_pattern(key: str, boundary: str = LETTERS, fold_vowels: bool = False) -> str:
-    body = "".join(VOWELS.get(c, c) if fold_vowels else c for c in key) if key.isalnum() else r"\Q" + key + r"\E"
+def rule_pattern(key: str, boundary: str = LETTERS, vowels: dict[str, str] | None = None) -> str:
+    """A key between borders; `vowels` says which letters a plain vowel stands for."""
+    quoted = lambda c: c if c.isalnum() else r"\Q" + c + r"\E"
+    body = "".join((vowels or {}).get(c) or quoted(c) for c in (key.lower() if vowels else key))
     return f"(?iu)(?<![{boundary}]){body}(?![{boundary}])"
 
 
-def rewrite(text, rules: list[tuple[str, str]], boundary: str = LETTERS, fold_vowels: bool = False) -> Column:
+def rewrite(text, rules: list[tuple[str, str]], boundary: str = LETTERS, vowels: dict[str, str] | None = None) -> Column:
     """Every rule in turn, longest keys first and then in list order; a rule sees what earlier ones wrote.
 
-    The replacement is the rule's form in its own case. Rows that no key matches skip the fold.
+    The replacement is the rule's form in its own case. With `vowels`, rules whose form is
+    their key are left out. Rows that no key matches skip the fold.
     """
-    ordered = sorted(rules, key=lambda r: -len(r[0]))
-    patterns = [(rule_pattern(k, boundary, fold_vowels), v.replace("\\", "\\\\").replace("$", "\\$")) for k, v in ordered]
+    ordered = sorted((r for r in rules if not vowels or r[0] != r[1].lower()), key=lambda r: -len(r[0]))
+    patterns = [(rule_pattern(k, boundary, vowels), v.replace("\\", "\\\\").replace("$", "\\$")) for k, v in ordered]
     text = col(text)
     if len(patterns) <= UNROLLED:
         out = text
@@ -56,18 +61,37 @@ def rewrite(text, rules: list[tuple[str, str]], boundary: str = LETTERS, fold_vo
     return F.when(text.rlike(touched), out).otherwise(text) if patterns else text
 
 
-def first_contained(rows: DataFrame, rules: DataFrame, word: str, key_length: int) -> DataFrame:
-    """Each row with the first rule (by `ord`) whose key is inside the word but doesn't begin it.
+def rewrite_typed(rows: DataFrame, rules: list[tuple[str, str]], word: str = "word", definition: str = "definition", kind: str = "type", marked: str = "a_ring_corrected") -> DataFrame:
+    """Entries with rewritten definitions, and headwords in the forward direction alone; `marked` is set where one of them changes."""
+    fixed = lambda c: rewrite(c, rules, TYPED_STRICT, TYPED_VOWELS)
+    forward = F.col(kind) == "wallon-francais"
+    new = rows.withColumns({"__word": F.when(forward, fixed(word)).otherwise(F.col(word)), "__definition": fixed(definition)})
+    changed = ~F.col("__word").eqNullSafe(F.col(word)) | ~F.col("__definition").eqNullSafe(F.col(definition))
+    before = F.col(marked) if marked in rows.columns else F.lit(False)
+    new = new.withColumn(marked, F.coalesce(before, F.lit(False)) | changed)
+    return new.withColumns({word: F.col("__word"), definition: F.col("__definition")}).drop("__word", "__definition")
 
-    Keys of one length are joined on the word's substrings of that length, so no row meets every rule.
+
+def rewrite_contained(rows: DataFrame, rules: DataFrame, word: str) -> DataFrame:
+    """Every row, with `key` and `fixed`: the first rule (by `ord`) that is inside the word, doesn't begin it, and changes it.
+
+    A word begins with a key if they agree up to its length once å counts as a. The first
+    occurrence is replaced, in any case. Keys are joined on the word's substrings of their
+    lengths, once for each distinct word, so no word meets every rule; rows without a rule
+    stay as they are, with a null key, and repeated rows stay repeated.
     """
-    low = F.lower(F.col(word))
-    starts = F.sequence(F.lit(2), F.greatest(F.length(low) - key_length + 1, F.lit(2)))
-    pieces = rows.withColumn("key", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(key_length))))))
-    hits = pieces.join(small(rules.where(F.length("key") == key_length)), "key").where(~F.startswith(low, F.col("key")))
-    names = rows.columns
-    best = hits.groupBy(*names).agg(F.min_by(F.struct("key", "val"), "ord").alias("__rule"))
-    return best.select(*names, F.col("__rule.key").alias("key"), F.col("__rule.val").alias("val"))
+    lengths = sorted(r[0] for r in rules.select(F.length("key")).distinct().collect() if r[0])
+    words = rows.select(F.col(word).alias("__word")).where("__word is not null").distinct()
+    low = F.lower("__word")
+    pieces = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = words.withColumn("key", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[pieces(n) for n in lengths]))))
+    at = F.instr(low, F.col("key"))
+    fixed = F.concat(F.substr("__word", F.lit(1), at - 1), F.col("val"), F.substr("__word", at + F.length("key")))
+    inside = F.substr(F.translate(low, "å", "a"), F.lit(1), F.length("key")) != F.col("key")
+    hits = parts.join(small(rules), "key").withColumn("fixed", fixed).where(inside & (F.col("fixed") != F.col("__word")))
+    best = hits.groupBy("__word").agg(F.min_by(F.struct("key", "fixed"), "ord").alias("__rule"))
+    out = rows.join(best, F.col(word) == F.col("__word"), "left")
+    return out.select(*rows.columns, F.col("__rule.key").alias("key"), F.coalesce("__rule.fixed", word).alias("fixed"))
 
 
 def band_pairs(left: DataFrame, right: DataFrame, on: list[str], x: str, width: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def search_index(rows: DataFrame, word: Column, body: Column) -> DataFrame:
 
 
 def scored(index: DataFrame, query: str) -> DataFrame:
-    """Rows of an index that match a folded query, with their score; the first tier that holds counts."""
+    """Rows of an index that match a folded query, with their score; the first tier that holds counts. For empty queries see `results`."""
     q = fold(strip(F.lit(query)))
     w, b = F.col("norm_word"), F.col("norm_body")
     score = F.when(w == q, EQUAL).when(F.startswith(w, q), PREFIX).when(F.contains(w, q), INSIDE).when(F.contains(b, q), BODY).otherwise(0)
@@ -26,7 +28,26 @@ def scored(index: DataFrame, query: str) -> DataFrame:
 
 def search_order(word: str, tie: str, collation: str = "UNICODE") -> list[Column]:
     """Score, then shorter headwords, then their collation, then the browsing order."""
-    return [F.desc("score"), F.length(word).asc(), F.collate(F.col(word), collation).asc(), F.col(tie).asc()]
+    return [F.desc("score"), F.length(word).asc(), *browse_order(word, tie, collation)]
+
+
+def browse_order(word: str, tie: str, collation: str = "UNICODE") -> list[Column]:
+    return [F.collate(F.col(word), collation).asc(), F.col(tie).asc()]
+
+
+def is_empty(query: str) -> bool:
+    """Whether nothing of a query is left once white space and marks are gone."""
+    marks = unicodedata.normalize("NFD", query.strip())
+    return all("\u0300" <= c <= "\u036f" for c in marks)
+
+
+def results(index: DataFrame, query: str, word: str, tie: str, kind: str | None = None, wanted: str = "all") -> tuple[DataFrame, list[Column]]:
+    """The rows that a search shows, and their order: an empty query browses all rows (score 0), both under the filter of one kind."""
+    if wanted != "all":
+        index = index.where(F.col(kind) == wanted)
+    if is_empty(query):
+        return index.withColumn("score", F.lit(0)), browse_order(word, tie)
+    return scored(index, query), search_order(word, tie)
 
 
 def entry_body(definitions, examples, synonyms, references) -> Column:
@@ -61,18 +82,19 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def search_many(index: DataFrame, queries: DataFrame, query: str, n: int = 3) -> DataFrame:
+def search_many(index: DataFrame, queries: DataFrame, query: str, key: str, n: int = 3) -> DataFrame:
     """All matches of many queries at once: the index's columns, the query, and the score.
 
     A text that holds a query holds its first n letters, or all of a shorter one, so an equi-join
-    on runs of up to n letters finds the candidates, and the tiers are checked on these alone.
-    Empty queries have no letters and no hits.
+    on runs of up to n letters finds the candidates. Only the unique `key` of a row is repeated for
+    its runs; texts are joined to the candidates, and the tiers are checked on these alone.
+    Empty queries have no letters and no hits: what they show isn't a search but `results`.
     """
     folded = queries.select(query).distinct().withColumn("__q", fold(strip(F.col(query))))
     wanted = folded.where(F.length("__q") >= 1).withColumn("__gram", F.left("__q", F.lit(n)))
     texts = F.concat_ws("\n", "norm_word", "norm_body")
-    rows = index.withColumn("__gram", F.explode(F.concat(*[_grams(texts, k) for k in range(1, n + 1)])))
-    hits = rows.join(wanted, "__gram")
+    grams = index.select(key, F.explode(F.concat(*[_grams(texts, k) for k in range(1, n + 1)])).alias("__gram"))
+    hits = grams.join(wanted, "__gram").drop("__gram").join(index, key)
     w, b, q = F.col("norm_word"), F.col("norm_body"), F.col("__q")
     score = F.when(w == q, EQUAL).when(F.startswith(w, q), PREFIX).when(F.contains(w, q), INSIDE).when(F.contains(b, q), BODY).otherwise(0)
-    return hits.withColumn("score", score).where("score > 0").drop("__gram", "__q")
+    return hits.withColumn("score", score).where("score > 0").select(*index.columns, query, "score")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import noise, quality
-from .registration import load, query
+from .registration import load, query, sql_clean
 
 HEAD = "split_part(text, ' ', 1)"
 LINES = "SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
@@ -95,8 +95,26 @@ def n1_fold(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.fold("text").alias("folded"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '-' || chr(10)), '-\\n(\\p{L})', '\\1', 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS cleaned FROM documents""")
+BROKEN = "replace(replace(replace(replace(text, '. ', '-' || chr(10)), ' the ', ' \u0153uvr\ufb01e' || chr(769) || chr(13) || chr(10) || ' '), ', ', chr(160) || chr(10) || chr(10) || chr(9) || chr(10) || chr(10)), 'to ', 'A-' || chr(10) || 'B o' || chr(795))"
+
+
+def _broken():
+    out = F.col("text")
+    for a, b in ((". ", "-\n"), (" the ", " \u0153uvr\ufb01e\u0301\r\n "), (", ", "\u00a0\n\n\t\n\n"), ("to ", "A-\nB o\u031b")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+@query(f"SELECT doc_id, {sql_clean(BROKEN)} AS cleaned FROM documents")
 def n2_clean(spark, sf_dir):
-    """Words joined over line ends, blanks collapsed; documents get such line ends first."""
-    broken = F.replace(F.col("text"), F.lit(". "), F.lit("-\n"))
-    return load(spark, sf_dir, "documents").select("doc_id", text.clean(broken).alias("cleaned"))
+    """Texts with broken words, ligatures, parted letters, line ends of both kinds and blank lines, cleaned."""
+    return load(spark, sf_dir, "documents").select("doc_id", text.clean(_broken()).alias("cleaned"))
+
+
+N3_LETTERS = "a-z\u00e1\u00e0\u00e2\u00e9\u00e8\u00ea\u00eb\u00ee\u00ef\u00f4\u00f9\u00fb\u00fc\u0153\u00e6\u00e7"
+
+
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize(' ' || chr(7) || chr(9) || {BROKEN}), '\ufb01', 'fi'), '([A-Z{N3_LETTERS}])-\\n([{N3_LETTERS}])', '\\1\\2', 'g'), '[\\x00-\\x09\\x0B-\\x1F\\x7F]', '', 'g'), '[ \\t]+', ' ', 'g') AS cleaned FROM documents""")
+def n3_normalized(spark, sf_dir):
+    """The same texts in the lighter normal form: ends and digraphs are kept, control characters aren't."""
+    return load(spark, sf_dir, "documents").select("doc_id", text.normalized(F.concat(F.lit(" \x07\t"), _broken())).alias("cleaned"))

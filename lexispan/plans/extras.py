@@ -19,10 +19,13 @@ def p2_fill_from_name(spark, sf_dir):
     return entries.filled_from_name(rows, "source").select("p_partkey", "p_name", "tome", "page")
 
 
-@query("SELECT p_partkey, p_name || ' x' AS word, p_type AS definition, 'wallon-francais' AS type, 0 AS tome, '' AS slice FROM part")
+@query("""SELECT p_partkey, ' ' || p_name || CASE WHEN p_size % 2 = 0 THEN 'ab élan ệ' ELSE ' x' END AS word, p_type || ' ơ' AS definition, CASE WHEN p_size % 3 = 0 THEN 'francais-wallon' ELSE 'wallon-francais' END AS type, CASE WHEN p_size % 3 = 0 THEN 3 ELSE 0 END AS tome, '' AS slice FROM part""")
 def p12_clean_entries(spark, sf_dir):
-    """Normal form, control characters, blanks and defaults of flat entries."""
-    rows = load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("\x07 "), F.col("p_name"), F.lit("  \n x ")).alias("word"), F.concat(F.col("p_type"), F.lit("\x00")).alias("definition"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("int").alias("tome"), F.lit(None).cast("string").alias("slice"))
+    """Normal form, control characters (line ends and tabs, too), blanks and defaults of flat entries."""
+    size = F.col("p_size")
+    word = F.concat(F.lit("\x07 "), F.col("p_name"), F.when(size % 2 == 0, F.lit("\na\tb e\u0301lan  e\u0302\u0323\u00a0")).otherwise(F.lit(" \u2003 \n x  ")))
+    third = lambda x, t: F.when(size % 3 == 0, F.lit(x)).cast(t)
+    rows = load(spark, sf_dir, "part").select("p_partkey", word.alias("word"), F.concat(F.col("p_type"), F.lit("\x00 o\u031b")).alias("definition"), third("francais-wallon", "string").alias("type"), third(3, "int").alias("tome"), F.lit(None).cast("string").alias("slice"))
     return entries.cleaned(rows).select("p_partkey", "word", "definition", "type", "tome", "slice")
 
 
@@ -167,18 +170,15 @@ def s15_glyph_shapes(spark, sf_dir):
     return near.select("user_id", F.col("event_id").alias("glyph"), F.col("other_event_id").alias("shape"))
 
 
-@query("SELECT doc_id, nfc_normalize(split_part(text, ' ', 1)) AS word, strlen(nfc_normalize(split_part(text, ' ', 1))) AS bytes FROM documents")
-def n4_composed(spark, sf_dir):
-    """Words taken apart and put together again."""
-    word = text.composed(text.decomposed(F.get(F.split("text", " "), 0)))
-    return load(spark, sf_dir, "documents").select("doc_id", word.alias("word")).withColumn("bytes", F.octet_length("word").cast("long"))
+#: Parted letters of several scripts, some with their marks out of order, and a Hangul syllable in parts.
+PARTED = "e\u0323\u0302 o\u031b\u0301 a\u0315\u0300\u05ae \u03b1\u0301 \u0438\u0306 \u1112\u1161\u11ab \u212b s\u0307\u0323 "
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(text, ' ', chr(9) || ' '), 'a', chr(7) || 'a'), '[\\x00-\\x09\\x0B-\\x1F\\x7F]', '', 'g'), '[ ]+', ' ', 'g')) AS cleaned FROM documents")
-def n3_without_controls(spark, sf_dir):
-    """Control characters, tabs among them, go before blanks collapse."""
-    dirty = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("\t ")), F.lit("a"), F.lit("\x07a"))
-    return load(spark, sf_dir, "documents").select("doc_id", text.without_controls(dirty).alias("cleaned"))
+@query(f"SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), ' the ', ' {PARTED}')) AS composed, strlen(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), ' the ', ' {PARTED}'))) AS bytes FROM documents")
+def n4_composed(spark, sf_dir):
+    """Whole texts with parted letters, put together."""
+    parted = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit(" the "), F.lit(f" {PARTED}"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.composed(parted).alias("composed")).withColumn("bytes", F.octet_length("composed").cast("long"))
 
 
 @query("SELECT doc_id, translate(lower(split_part(text, ' ', 1)), 'åâà', 'aaa') AS wide, translate(lower(split_part(text, ' ', 1)), 'å', 'a') AS narrow, regexp_matches(split_part(text, ' ', 1), '[âôûîèêëœæ]') AS accented FROM documents")

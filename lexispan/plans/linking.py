@@ -20,18 +20,27 @@ def _rules(spark, rows=RULES):
 
 
 @query(f"""WITH r(ord, key, val) AS (VALUES {VALUES}), t AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[\\s,;:()\\[\\]]')[1] AS token FROM documents)
-SELECT doc_id, left(CASE WHEN val IS NULL THEN text ELSE val || substr(text, length(token) + 1) END, 40) AS fixed, val IS NOT NULL AS matched FROM t LEFT JOIN r ON token = key""")
+SELECT doc_id, CASE WHEN val IS NULL THEN text ELSE val || substr(text, length(token) + 1) END AS fixed, val IS NOT NULL AS matched FROM t LEFT JOIN r ON token = key""")
 def j1_token_fix(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return rules.fix_first_token(docs, _rules(spark), "text").select("doc_id", F.left("text", F.lit(40)).alias("fixed"), "matched")
+    return rules.fix_first_token(docs, _rules(spark), "text").select("doc_id", F.col("text").alias("fixed"), "matched")
 
 
-@query("""WITH r(ord, key, val) AS (VALUES (0, 'rin', 'rîn'), (1, 'old', 'ôld'), (2, 'ing', 'îng'), (3, 'red', 'rêd')), h AS (SELECT p_partkey, p_name, key, val, row_number() OVER (PARTITION BY p_partkey ORDER BY ord) AS n FROM part JOIN r ON contains(lower(p_name), key) AND NOT starts_with(lower(p_name), key))
-SELECT p_partkey, key, replace(p_name, key, val) AS fixed FROM h WHERE n = 1""")
+#: Rules of two to six letters, in order.
+INNER_RULES = [("rin", "rîn"), ("oldie", "ôldie"), ("old", "ôld"), ("steel", "ståel"), ("ed", "êd"), ("copper", "côpper"), ("ing", "ing")]
+INNER_VALUES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(INNER_RULES))
+
+
+@query(f"""WITH r(ord, key, val) AS (VALUES {INNER_VALUES}), w AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'a ' || p_name || 'ie goldie' ELSE p_name END AS word FROM part),
+f AS (SELECT p_partkey, ord, key, word, left(word, strpos(lower(word), key) - 1) || val || substr(word, strpos(lower(word), key) + length(key)) AS fixed FROM w JOIN r ON contains(lower(word), key) AND left(translate(lower(word), 'å', 'a'), length(key)) <> key),
+h AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY ord) AS n FROM f WHERE fixed <> word)
+SELECT w.p_partkey, h.key, coalesce(h.fixed, w.word) AS fixed FROM w LEFT JOIN h ON w.p_partkey = h.p_partkey AND h.n = 1""")
 def j2_contained_rule(spark, sf_dir):
-    table = _rules(spark, [("rin", "rîn"), ("old", "ôld"), ("ing", "îng"), ("red", "rêd")])
-    hits = rules.first_contained(load(spark, sf_dir, "part").select("p_partkey", "p_name"), table, "p_name", 3)
-    return hits.select("p_partkey", "key", F.replace(F.col("p_name"), F.col("key"), F.col("val")).alias("fixed"))
+    """The first rule inside each word replaces its first occurrence, in any case; keys have two to six letters, and rows without a rule stay."""
+    size, name = F.col("p_size"), F.col("p_name")
+    word = F.when(size % 4 == 0, F.upper(name)).when(size % 4 == 1, F.concat(F.lit("a "), name, F.lit("ie goldie"))).otherwise(name)
+    rows = load(spark, sf_dir, "part").select("p_partkey", word.alias("word"))
+    return rules.rewrite_contained(rows, _rules(spark, INNER_RULES), "word").select("p_partkey", "key", "fixed")
 
 
 def _sql_rewrite(column: str) -> str:
@@ -49,6 +58,46 @@ def j3_rule_rewrite(spark, sf_dir):
     return docs.select("doc_id", "fixed", (F.col("fixed") != F.col("text")).alias("changed"))
 
 
+def _sql_folding(column: str, border: str, vowels: dict[str, str], flags: str = "gi") -> str:
+    for k, v in sorted((r for r in RULES if r[0] != r[1].lower()), key=lambda r: -len(r[0])):
+        body = "".join(vowels.get(c, c) for c in k).replace("\ufffd", "\\x{FFFD}")
+        for _ in range(2):  # neighbouring matches share a border; what is replaced would match again, so a sign stands for it
+            column = f"regexp_replace({column}, '(^|[^{border}])({body})($|[^{border}])', '\\1@@\\3', '{flags}')"
+        column = f"replace({column}, '@@', '{v}')"
+    return column
+
+
+SQL_STRICT = rules.STRICT.replace("'", "''").replace("\ufffd", "\\x{FFFD}")
+SQL_TYPED = rules.TYPED_STRICT.replace("'", "''")
+VARIED = "replace(replace(text, ' the ', CASE doc_id % 4 WHEN 0 THEN ' thë ' WHEN 1 THEN ' THÊ ' WHEN 2 THEN ' th'' ' ELSE ' th\ufffd ' END), ' and ', CASE doc_id % 3 WHEN 0 THEN ' änd ' WHEN 1 THEN ' -and ' ELSE ' ånd ' END)"
+
+
+def _varied():
+    """Documents whose common words have other accents, so that each border and letter class is met."""
+    the = F.get(F.array(*[F.lit(f" {x} ") for x in ("thë", "THÊ", "th'", "th\ufffd")]), (F.col("doc_id") % 4).cast("int"))
+    both = F.get(F.array(*[F.lit(f" {x} ") for x in ("änd", "-and", "ånd")]), (F.col("doc_id") % 3).cast("int"))
+    return F.replace(F.replace(F.col("text"), F.lit(" the "), the), F.lit(" and "), both)
+
+
+@query(f"SELECT doc_id, fixed, fixed <> text AS a_ring_corrected FROM (SELECT doc_id, t AS text, {_sql_folding('t', SQL_STRICT, rules.VOWELS)} AS fixed FROM (SELECT doc_id, {VARIED} AS t FROM documents))")
+def j3_folding_rewrite(spark, sf_dir):
+    """Rules whose plain vowels stand for accented and damaged ones, between strict borders."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", _varied().alias("text"))
+    docs = docs.withColumn("fixed", rules.rewrite("text", RULES, rules.STRICT, rules.VOWELS))
+    return docs.select("doc_id", "fixed", (F.col("fixed") != F.col("text")).alias("a_ring_corrected"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, 'the ' || split_part(text, ' ', 1) AS word, {VARIED} AS definition, CASE WHEN doc_id % 2 = 0 THEN 'wallon-francais' ELSE 'francais-wallon' END AS type FROM documents),
+f AS (SELECT *, CASE WHEN type = 'wallon-francais' THEN {_sql_folding('word', SQL_TYPED, rules.TYPED_VOWELS)} ELSE word END AS w, {_sql_folding('definition', SQL_TYPED, rules.TYPED_VOWELS)} AS d FROM e)
+SELECT doc_id, w AS word, d AS definition, type, w <> word OR d <> definition AS a_ring_corrected FROM f""")
+def j3_typed_rewrite(spark, sf_dir):
+    """Headwords of the forward direction and all definitions are rewritten."""
+    docs = load(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 2 == 0, "wallon-francais").otherwise("francais-wallon")
+    rows = docs.select("doc_id", F.concat(F.lit("the "), F.get(F.split("text", " "), 0)).alias("word"), _varied().alias("definition"), kind.alias("type"))
+    return rules.rewrite_typed(rows, RULES).select("doc_id", "word", "definition", "type", "a_ring_corrected")
+
+
 @query(f"SELECT count_if(fixed <> text) AS texts, count_if(split_part(fixed, ' ', 1) <> {HEAD}) AS words FROM (SELECT text, {_sql_rewrite('text')} AS fixed FROM documents)")
 def a19_correction_totals(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").withColumn("fixed", rules.rewrite("text", RULES))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import layout, parsing, ranking, restructure
-from .registration import load, query
+from ..operators import flow, layout, parsing, ranking, restructure
+from .registration import load, query, sql_clean
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, value, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value, event_id) AS n FROM events),
@@ -138,11 +138,131 @@ def p3_direction(spark, sf_dir):
 
 @query("""WITH b AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS t FROM documents), u AS (SELECT doc_id, CAST(generate_subscripts(bs, 1) - 1 AS INTEGER) AS block, unnest(bs) AS b FROM (SELECT doc_id, regexp_split_to_array(t, '\\n\\n+') AS bs FROM b)),
 l AS (SELECT doc_id, block, list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM u)
-SELECT doc_id, block, rtrim(ls[1], '.,;:') AS word, length(array_to_string(ls[2:], ' ')) AS chars FROM l WHERE len(ls) >= 2 AND length(rtrim(ls[1], '.,;:')) BETWEEN 2 AND 80 AND regexp_matches(array_to_string(ls[2:], ' '), '[a-záàâéèêëîïôùûüœæçDJ]')""")
+SELECT doc_id, block, rtrim(ls[1], '.,;:') AS word, array_to_string(ls[2:], ' ') AS definition FROM l WHERE len(ls) >= 2 AND length(rtrim(ls[1], '.,;:')) BETWEEN 2 AND 80 AND regexp_matches(array_to_string(ls[2:], ' '), '[a-záàâéèêëîïôùûüœæçDJ]')""")
 def p15_paragraphs(spark, sf_dir):
     """Blocks whose first line is the headword."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")).alias("text"))
-    return parsing.paragraphs(rows, ["doc_id"], "text").select("doc_id", "block", "word", F.length("definition").cast("long").alias("chars"))
+    return parsing.paragraphs(rows, ["doc_id"], "text").select("doc_id", "block", "word", "definition")
+
+
+#: Documents as files: of some the patterns find most entries, of others the blocks; digits, short words and table heads are among the headwords.
+RAW_FILE = """CASE doc_id % 4 WHEN 0 THEN replace(replace(text, '. ', chr(10)), ', ', ' : ') WHEN 1 THEN replace(text, '. ', '.' || chr(10) || chr(10) || '--- PAGE ' || doc_id || ' ---' || chr(10) || chr(10) || 'Page : x' || chr(10) || '12 - y' || chr(10))
+ WHEN 2 THEN replace(text, ', ', chr(10) || 'ÉTÉ de ') ELSE replace(text, '. ', ' — ') END"""
+SQL_FILE_ENTRIES = f"""WITH f AS (SELECT doc_id, {sql_clean(f"regexp_replace({RAW_FILE}, '{parsing.PAGE_BREAK}', chr(10) || chr(10), 'g')")} AS t FROM documents),
+m AS (SELECT doc_id, t, {', '.join(f"regexp_extract_all(t, '(?m){p}', {i}) AS {'abc'[n]}{i}" for n, p in enumerate(parsing.ENTRY_PATTERNS) for i in (1, 2))} FROM f),
+h AS (SELECT doc_id, t, CASE WHEN len(a1) >= len(b1) AND len(a1) >= len(c1) THEN list_zip(a1, a2) WHEN len(b1) >= len(c1) THEN list_zip(b1, b2) ELSE list_zip(c1, c2) END AS found FROM m),
+e AS (SELECT doc_id, t, list_filter(list_transform(found, lambda x: {{'word': rtrim(trim(x[1]), '.,;:'), 'definition': trim(x[2])}}), lambda x: length(x.word) BETWEEN 2 AND 80 AND length(x.definition) >= 2 AND NOT regexp_full_match(x.word, '[0-9]+') AND lower(x.word) NOT IN ('page', 'liégeois', 'français', 'wallon', 'traduction')) AS a,
+ list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(t, '\\n\\n+'), lambda b: list_filter(list_transform(string_split(b, chr(10)), lambda y: trim(y)), lambda y: y <> '')), lambda ls: len(ls) >= 2), lambda ls: {{'word': rtrim(ls[1], '.,;:'), 'definition': array_to_string(ls[2:], ' ')}}),
+  lambda x: length(x.word) BETWEEN 2 AND 80 AND regexp_matches(x.definition, '{parsing.BLOCK_LETTER}')) AS b FROM h)"""
+
+
+def _files(spark, sf_dir):
+    text_, number = F.col("text"), F.col("doc_id").cast("string")
+    put = lambda x, a, b: F.replace(x, F.lit(a), b if not isinstance(b, str) else F.lit(b))
+    body = (
+        F.when(F.col("doc_id") % 4 == 0, put(put(text_, ". ", "\n"), ", ", " : "))
+        .when(F.col("doc_id") % 4 == 1, put(text_, ". ", F.concat(F.lit(".\n\n--- PAGE "), number, F.lit(" ---\n\nPage : x\n12 - y\n"))))
+        .when(F.col("doc_id") % 4 == 2, put(text_, ", ", "\nÉTÉ de "))
+        .otherwise(put(text_, ". ", " — "))
+    )
+    return load(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
+
+
+@query(SQL_FILE_ENTRIES + ", u AS (SELECT doc_id, unnest(a) AS x, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS place FROM e) SELECT doc_id, place, x.word AS word, x.definition AS definition FROM u")
+def p14_pattern_entries(spark, sf_dir):
+    """Headwords and definitions of whole files by the pattern that fits most."""
+    whole = _files(spark, sf_dir).select("doc_id", text.clean(F.regexp_replace("text", parsing.PAGE_BREAK, "\n\n")).alias("text"))
+    return whole.select("doc_id", F.posexplode(parsing.heuristic_entries("text")).alias("place", "e")).select("doc_id", "place", "e.word", "e.definition")
+
+
+@query(SQL_FILE_ENTRIES + """, c AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN 'patterns' ELSE 'blocks' END AS parser, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS es FROM e),
+u AS (SELECT doc_id, parser, unnest(es) AS x, CAST(generate_subscripts(es, 1) - 1 AS INTEGER) AS place FROM c) SELECT doc_id, parser, place, x.word AS word, x.definition AS definition FROM u""")
+def p16_file_entries(spark, sf_dir):
+    """The entries of whichever parser finds more in a file."""
+    return parsing.file_entries(_files(spark, sf_dir), ["doc_id"], "text")
+
+
+#: One first line for each way to split an entry, and the parts that it must give.
+def _first_lines():
+    name, brand = F.col("p_name"), F.col("p_brand")
+    make = lambda text_, italic=False, bold=False, x0=10.0, font="Times": F.struct(text_.alias("text"), F.lit(bold).alias("bold"), F.lit(italic).alias("italic"), F.lit(font).alias("font"), F.lit(x0).alias("x0"), F.lit(x0 + 80).alias("x1"))
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    return [
+        (2, F.array(make(say("3. ", name, ", seul dans li cas, adj. : ", brand)))),
+        (2, F.array(make(say(name, ", seul* dans li cas ; ", brand)))),
+        (2, F.array(make(say("2. ", name), italic=True), make(say(brand, " tot"), x0=95.0))),
+        (2, F.array(make(say("bwès, ", brand), font="Times"))),
+        (2, F.array(make(say(brand, " ", name), font="Times"))),
+        (3, F.array(make(say(name, ", ")), make(brand, bold=True, x0=95.0), make(say("plain"), x0=180.0))),
+        (3, F.array(make(say(name, ".")), make(brand, font="Times-Bold", x0=95.0))),
+        (9, F.array(make(name))),
+    ]
+
+
+@query("""SELECT p_partkey, CASE p_size % 8 WHEN 3 THEN 'bwès' WHEN 4 THEN p_brand ELSE p_name END AS word, CASE p_size % 8 WHEN 0 THEN 'adj' ELSE '' END AS grammar,
+ CASE p_size % 8 WHEN 0 THEN ', seul dans li cas : ' || p_brand WHEN 1 THEN ', seul* dans li cas : ' || p_brand WHEN 2 THEN p_brand || ' tot' WHEN 4 THEN p_name WHEN 5 THEN p_brand || ' plain' WHEN 7 THEN '' ELSE p_brand END AS definition FROM part""")
+def p6_split_branches(spark, sf_dir):
+    """Entries split by a mark or colon with a limited use, by style, by a short word, by the first token, and in the other direction by bold type."""
+    cases = _first_lines()
+    at = F.col("p_size") % len(cases)
+    spans, tome = F.get(F.array(*[x for _, x in cases]), at), F.get(F.array(*[F.lit(t) for t, _ in cases]), at)
+    out = load(spark, sf_dir, "part").withColumn("e", parsing.split_entry(spans, tome))
+    return out.select("p_partkey", "e.word", "e.grammar", "e.definition")
+
+
+@query("SELECT p_partkey, p_size % 12 IN (0, 2, 4, 7, 8, 11) AS starts FROM part")
+def f2_start_branches(spark, sf_dir):
+    """First lines by style, mark, colon and short word, and lines that are none: bold or plain ones, captions, page numbers, marks."""
+    name = F.col("p_name")
+    make = lambda text_, italic=False, bold=False, font="Times", x0=142.0: F.struct(text_.alias("text"), F.lit(bold).alias("bold"), F.lit(italic).alias("italic"), F.lit(font).alias("font"), F.lit(x0).alias("x0"), F.lit(x0 + 50).alias("x1"))
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    cases = [
+        (2, F.array(make(name, italic=True))),
+        (2, F.array(make(name))),
+        (2, F.array(make(say(name, " : x")))),
+        (2, F.array(make(say("Fig. 3 : ", name), italic=True))),
+        (2, F.array(make(say("1. ", name), font="Times-Italic"))),
+        (2, F.array(make(say("— ", name), italic=True))),
+        (2, F.array(make(say("XIV ", name), italic=True))),
+        (3, F.array(make(name), make(name, bold=True, x0=200.0))),
+        (3, F.array(make(name), make(name, font="Arial-BOLD", x0=200.0))),
+        (3, F.array(make(name, bold=True), make(name, bold=True, x0=200.0))),
+        (3, F.array(make(name), make(name, x0=200.0))),
+        (2, F.array(make(say("bwès, ", name)))),
+    ]
+    at = F.col("p_size") % len(cases)
+    spans, tome = F.get(F.array(*[x for _, x in cases]), at), F.get(F.array(*[F.lit(t) for t, _ in cases]), at)
+    return load(spark, sf_dir, "part").select("p_partkey", parsing.entry_start(spans, F.lit(130.0), tome).alias("starts"))
+
+
+def _dictionary_lines(spark, sf_dir):
+    """Parts as first lines with a second line each, in two columns of a page."""
+    rows = load(spark, sf_dir, "part")
+    mark = F.get(F.array(F.lit("m."), F.lit("f."), F.lit("adj.")), F.col("p_partkey") % 3)
+    span = lambda x, x0: F.array(F.struct(x.alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("Times").alias("font"), F.lit(x0).alias("x0"), F.lit(x0 + 90).alias("x1")))
+    first = span(F.concat(F.when(F.col("p_partkey") % 5 == 0, F.initcap("p_name")).otherwise(F.col("p_name")), F.lit(", "), mark, F.lit(", awe "), F.lower("p_type")), 140.0)
+    both = F.array(F.struct(F.lit(0).alias("part"), first.alias("spans")), F.struct(F.lit(1).alias("part"), span(F.lower("p_brand"), 130.0).alias("spans")))
+    lines = rows.select("p_partkey", F.lit("tome2-08.pdf").alias("slice"), F.lit(2).alias("tome"), F.col("p_size").alias("page"), F.when(F.col("p_partkey") % 2 == 0, "left").otherwise("right").alias("column"), F.explode(both).alias("l"))
+    return lines.select("slice", "tome", "page", "column", (F.col("p_partkey") * 2 + F.col("l.part")).alias("line_no"), "l.spans", F.lit(130.0).alias("margin"))
+
+
+SQL_DICTIONARY = """WITH e AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') ELSE p_name END AS word, CASE WHEN p_partkey % 2 = 0 THEN 'left' ELSE 'right' END AS col FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY lower(word), p_size ORDER BY col, p_partkey) AS n FROM e)
+SELECT word AS mot, p_size AS page, col, p_partkey % 3 AS mark, 'åwe ' || lower(p_type) || ' ' || lower(p_brand) AS body FROM k WHERE n = 1"""
+
+
+@query(f"""SELECT mot, CAST(page AS VARCHAR) AS page, CASE WHEN mark = 2 THEN 'adj' ELSE 'nom' END AS categorie, CASE mark WHEN 0 THEN 'masculin' WHEN 1 THEN 'féminin' ELSE '' END AS genre, body AS definitions, 'wallon-francais' AS type FROM ({SQL_DICTIONARY})""")
+def flow_dictionary(spark, sf_dir):
+    """The whole way: lines, entries, correction, one entry for a headword and page, nested entries."""
+    flat = flow.flat_entries(_dictionary_lines(spark, sf_dir), [("awe", "åwe")])
+    return flow.nested_entries(flat).select("mot", "page", "categorie", "genre", F.array_join("definitions", "|").alias("definitions"), "type")
+
+
+@query(f"SELECT * FROM (SELECT mot AS word, page, CAST(row_number() OVER (ORDER BY page, lower(mot), col) AS INTEGER) AS rank FROM ({SQL_DICTIONARY})) WHERE rank <= 200")
+def o1_dictionary_order(spark, sf_dir):
+    """The first entries by tome, page and lower-cased headword."""
+    flat = flow.flat_entries(_dictionary_lines(spark, sf_dir), [("awe", "åwe")])
+    return ranking.page(flat, flow.dictionary_order(), 200).select("word", "page", "rank")
 
 
 @query("""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ ')) AS a, len(regexp_extract_all(text, '[a-z]+, ')) AS b, len(regexp_extract_all(text, '[|] ')) AS c FROM documents)
@@ -184,15 +304,16 @@ def f2_entry_starts(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", parsing.entry_start(F.array(span), F.lit(130.0), F.lit(2)).alias("starts"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(replace(split_part(text, ' ', 1), 'é', 'e')), '[^a-z]', '', 'g') AS stripped FROM documents")
-def n14_letters_only(spark, sf_dir):
-    first = F.get(F.split("text", " "), 0)
-    return load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower(F.translate(first, "é", "e")), "[^a-z]", "").alias("stripped"))
+@query("SELECT doc_id, trim(regexp_replace(replace(replace(text, ' the ', ' l''å-the '), ' and ', ' Å_9 '), '[^a-zA-ZåÅàâéèêëîïôùûüçœæ\\-'']', '', 'g')) AS stripped FROM documents")
+def n14_reply_letters(spark, sf_dir):
+    """Replies reduced to letters, hyphens and apostrophes."""
+    reply = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" l'å-the ")), F.lit(" and "), F.lit(" Å_9 "))
+    return load(spark, sf_dir, "documents").select("doc_id", text.reply_letters(reply).alias("stripped"))
 
 
 def _sql_decomposed(x: str) -> str:
     for letter, parts in text.DECOMPOSED.items():
-        if letter.islower() and ord(letter) < 0x100:
+        if letter.islower() and ord(letter) < 0x180:
             x = f"replace({x}, '{letter}', '{parts}')"
     return x
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import quality, ranking
 from ..sources import files, html
 from .registration import load, query
 
@@ -76,11 +79,90 @@ def k4_report(spark, sf_dir):
     return counts.select(files.report(counts).alias("report"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'lêd å|' || 'tåve' ELSE 'tåve' END AS forms FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'lêd å|tåve|tåvlea' WHEN 1 THEN 'tåve|tåvlea|åbe ' || p_brand WHEN 2 THEN 'gråce|tåve|tåvlea' ELSE 'tåve|tåvlea' END AS forms FROM part""")
 def p17_wiki_forms(spark, sf_dir):
-    """Bold words and link targets of wiki text that hold å."""
-    body = F.concat(F.lit("== {{langue|wa}} ==\n'''tåve''' [[tåve|x]] [[table]] "), F.when(F.col("p_size") % 2 == 0, "\n=== lêd å ===\n").otherwise("'''plain'''"))
-    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(html.wiki_forms(body, "å"), "|").alias("forms"))
+    """Title, bold words, link targets and headings of wiki text that hold å; links into namespaces don't count."""
+    size = F.col("p_size") % 4
+    body = F.concat(F.lit("== {{langue|wa}} ==\n'''tåve''' [[tåvlea|x]] [[table]] [[Categoreye:Lingaedje å]] [[Imådje:a.png]] '''å''' [[Åbe]] "), F.when(size == 0, "\n==== lêd å ====\n").when(size == 2, "\n===== gråce =====\n=== tåle ===\n").otherwise("'''plain'''"))
+    title = F.when(size == 1, F.concat(F.lit("åbe "), "p_brand")).otherwise("abe")
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(html.wiki_forms(body, title), "|").alias("forms"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN p_name ELSE array_to_string(list_sort([p_name, 'Åbe', 'tåve', 'låme']), '|') END AS forms FROM part""")
+def p17_section_forms(spark, sf_dir):
+    """Forms of the language's section alone; another heading ends it."""
+    size = F.col("p_size") % 3
+    head = F.when(size == 0, "== {{langue|wa}} ==").when(size == 1, "== Wallon ==").otherwise("== {{langue|fr}} ==")
+    body = F.concat(F.lit("'''dvant å'''\n"), head, F.lit("\n'''tåve''' [[låme|x]] [[table]]\n=== sub ===\n[[Åbe]]\n== {{langue|nl}} ==\n[[après å]]"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(html.section_forms(body, "p_name"), "|").alias("forms"))
+
+
+def _new_path(spark, name):
+    """A new folder where the cluster keeps shared files; beside the warehouse if it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_brand END AS p_brand FROM part")
+def s9_json_array(spark, sf_dir):
+    """Files that are JSON arrays, one for each brand, are read back as rows."""
+    rows = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    row = F.to_json(F.struct("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("p_brand")))
+    arrays = rows.groupBy("p_brand").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(row), ",\n"), F.lit("\n]\n")).alias("value"))
+    path = _new_path(spark, "arrays")
+    # one row for each brand, so a file holds one array
+    arrays.repartition("p_brand").select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    return files.json_array(spark, f"{path}/*", "p_partkey long, p_name string, p_brand string").select("p_partkey", "p_name", "p_brand")
+
+
+@query("SELECT p_partkey, 'second' AS origin FROM part WHERE p_size > 10")
+def s10_fallback_table(spark, sf_dir):
+    """The embedded table if it has rows, else the other one."""
+    parts = load(spark, sf_dir, "part")
+    embedded = parts.where("p_size > 10000").select("p_partkey", F.lit("first").alias("origin"))
+    return files.first_that_has_rows(embedded, parts.where("p_size > 10").select("p_partkey", F.lit("second").alias("origin")))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def k1_written_entries(spark, sf_dir):
+    """Entries written as JSON Lines in order, and read again."""
+    path = _new_path(spark, "entries")
+    files.write_entries(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), path, ["p_size", "p_partkey"])
+    return spark.read.schema("p_partkey long, p_name string, p_size int").json(path)
+
+
+@query("SELECT p_partkey, 'old' AS state, 1 AS version FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'new', 2 FROM part")
+def k6_versions(spark, sf_dir):
+    """A second write leaves the first one readable: versions are folders of their own."""
+    parts, path = load(spark, sf_dir, "part").select("p_partkey", "p_size"), _new_path(spark, "versions")
+    first = files.write_version(parts.where("p_size % 2 = 0").select("p_partkey", F.lit("old").alias("state")), path, ["p_partkey"])
+    second = files.write_version(parts.select("p_partkey", F.lit("new").alias("state")), path, ["p_partkey"])
+    read = lambda n: spark.read.schema("p_partkey long, state string").json(f"{path}/version={n}").withColumn("version", F.lit(n))
+    return read(first).union(read(second))
+
+
+@query("""WITH m AS (SELECT p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN ' å' WHEN p_size % 3 = 1 THEN ' Å' ELSE '' END AS title, (row_number() OVER (ORDER BY p_partkey) - 1) // 500 AS batch FROM part)
+SELECT DISTINCT title FROM m WHERE (batch + 1) * 500 <= 5500 AND (contains(title, 'å') OR contains(title, 'Å'))""")
+def s12_category_members(spark, sf_dir):
+    """Titles with å of a category's members, read in batches of 500 until more than 5,000 are seen."""
+    title = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, " å").when(F.col("p_size") % 3 == 1, " Å").otherwise(""))
+    rows = ranking.numbered(load(spark, sf_dir, "part").select("p_partkey", title.alias("title")), "p_partkey")
+    read = rows.withColumn("batch", F.expr("number div 500")).where((F.col("batch") + 1) * 500 <= html.members_seen(500))
+    return read.where(F.lower("title").contains("å")).select("title").distinct()
+
+
+@query("SELECT * FROM (SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS request FROM part WHERE p_size % 3 = 0) WHERE request <= 150")
+def l7_request_cap(spark, sf_dir):
+    """The first 150 doubtful entries are asked for; the cap is the feature."""
+    return ranking.page(load(spark, sf_dir, "part").where("p_size % 3 = 0").select("p_partkey"), [F.col("p_partkey").asc()], 150, into="request")
+
+
+@query("""WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS count FROM c WHERE unicode(ch) > 127 GROUP BY ch)
+SELECT ch, count, 'U+' || printf('%04X', unicode(ch)) AS code_point, CASE ch WHEN 'é' THEN 'LATIN SMALL LETTER E WITH ACUTE' WHEN 'ü' THEN 'LATIN SMALL LETTER U WITH DIAERESIS' WHEN 'ñ' THEN 'LATIN SMALL LETTER N WITH TILDE' ELSE '' END AS name FROM n WHERE ch IN ('é', 'ü', 'ñ')""")
+def n15_character_names(spark, sf_dir):
+    """Code points and names of three of the characters that occur."""
+    found = quality.with_names(quality.character_counts(load(spark, sf_dir, "documents"), "text"))
+    return found.where(F.col("ch").isin("é", "ü", "ñ")).select("ch", "count", "code_point", "name")
 
 
 @query("""WITH n AS (SELECT p_partkey // 10 AS batch, p_partkey % 10 + 1 AS i, left(p_name, 6) AS w FROM part) SELECT batch, string_agg(i || '. ' || w, chr(10) ORDER BY i) AS prompt FROM n GROUP BY batch""")

@@ -20,3 +20,13 @@ def query(sql: str | None = None):
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_clean(x: str) -> str:
+    """DuckDB's form of `functions.text.clean`."""
+    x = f"nfc_normalize({x})"
+    for a, b in {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE"}.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    for a, b in ((r"-\n([a-záàâéèêëîïôùûüœæç])", "'\\1'"), (r"[ \t]+", "' '"), (r"\r\n|[\n\r\x{0b}\x{0c}\x{85}]", "chr(10)"), (r"[ \t\x{a0}]*\n[ \t\x{a0}]*", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
+        x = f"regexp_replace({x}, '{a}', {b}, 'g')"
+    return x

@@ -31,6 +31,13 @@ def q1_search_parts(spark, sf_dir):
     return ranking.page(hits, search.search_order("p_name", "p_partkey"), 50).select("p_partkey", "p_name", "score", "rank")
 
 
+@query("SELECT * FROM (SELECT p_partkey, p_name, 0 AS score, CAST(row_number() OVER (ORDER BY p_name, p_partkey) AS INTEGER) AS rank FROM part WHERE p_type = 'SMALL') WHERE rank <= 50")
+def q1_search_empty(spark, sf_dir):
+    """A search for blanks shows the browsing order of the chosen type."""
+    rows, order = search.results(_parts(spark, sf_dir), "  ", "p_name", "p_partkey", "p_type", "SMALL")
+    return ranking.page(rows, order, 50).select("p_partkey", "p_name", "score", "rank")
+
+
 @query(f"SELECT * FROM (SELECT p_partkey, score, CAST(row_number() OVER (ORDER BY {PART_ORDER}) AS INTEGER) AS rank FROM ({PART_SCORES}) WHERE score > 0) WHERE rank > 50 AND rank <= 100")
 def l2_next_page(spark, sf_dir):
     """The second page of 50."""
@@ -83,10 +90,8 @@ SELECT p_partkey, p_name, CAST(number AS BIGINT) AS number FROM n WHERE number =
 def l8_daily_pick(spark, sf_dir, day: str = "2026-11-26"):
     """The entry of a day: a congruential draw from the date picks a place in the file's order."""
     rows = load(spark, sf_dir, "part").select("p_partkey", "p_name")
-    seed = F.date_format(F.lit(day).cast("date"), "yyyyMMdd").cast("long")
-    draw = F.pmod(seed * F.lit(1664525) + F.lit(1013904223), F.lit(1 << 32))
-    place = F.pmod(draw, F.lit(rows.count()).cast("long"))
-    return ranking.numbered(rows, "p_partkey").where(F.col("number") == place).select("p_partkey", "p_name", "number")
+    place = (int(day.replace("-", "")) * 1664525 + 1013904223) % (1 << 32) % max(1, rows.count())
+    return ranking.at_place(rows, "p_partkey", place).select("p_partkey", "p_name", "number")
 
 
 @query("""SELECT p_partkey, p_name || '_T' || CAST(p_size AS VARCHAR) || '_P' || CAST(p_partkey % 7 AS VARCHAR) || '_' || p_type AS entry_key,
@@ -124,6 +129,6 @@ def q1_search_many(spark, sf_dir):
     """The five best hits of each of many queries, in one job."""
     parts = load(spark, sf_dir, "part")
     wanted = parts.select(F.get(F.split("p_name", " "), 1).alias("q")).union(parts.select(F.lower("p_type")))
-    hits = search.search_many(_parts(spark, sf_dir).select("p_partkey", "p_name", "norm_word", "norm_body"), wanted, "q")
+    hits = search.search_many(_parts(spark, sf_dir).select("p_partkey", "p_name", "norm_word", "norm_body"), wanted, "q", "p_partkey")
     order = Window.partitionBy("q").orderBy(*search.search_order("p_name", "p_partkey"))
     return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("q", "p_partkey", "score", "rank")

@@ -72,6 +72,21 @@ def write_entries(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("error").json(path)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions under a path, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def write_version(rows: DataFrame, path: str, order: list[str]) -> int:
+    """Writes rows as the next version under a path, and returns its number: what stood there before is the backup."""
+    number = max(versions(rows.sparkSession, path), default=0) + 1
+    write_entries(rows, f"{path}/version={number}", order)
+    return number
+
+
 def report(rows: DataFrame) -> Column:
     """A row's columns as one JSON document."""
     return F.to_json(F.struct(*rows.columns))

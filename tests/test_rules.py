@@ -11,7 +11,7 @@ def test_rewrite(spark):
     assert rewritten(spark, "l'adje", [("adje", "ådje")]) == "l'ådje"
     assert rewritten(spark, "l'adje", [("adje", "ådje")], boundary=rules.STRICT) == "l'adje"
     assert rewritten(spark, "ADJE adjer", [("adje", "ådje")]) == "ådje adjer"
-    assert rewritten(spark, "âdje", [("adje", "ådje")], fold_vowels=True) == "ådje"
+    assert rewritten(spark, "âdje", [("adje", "ådje")], vowels=rules.VOWELS) == "ådje"
     assert rewritten(spark, "abc", [("abc", "x$1")]) == "x$1"
 
 
@@ -22,6 +22,29 @@ def test_rewrite_cascades_longest_first(spark):
     assert rewritten(spark, "k007 k249", many) == "v007 v249"
 
 
+def test_vowel_classes(spark):
+    """Neither umlaut stands for a plain o or u, damaged letters only stand for an a in the first class, and rules that keep their key are left out."""
+    for table in (rules.VOWELS, rules.TYPED_VOWELS):
+        assert rewritten(spark, "sön sün sôn", [("son", "sån")], vowels=table) == "sön sün sån"
+    assert rewritten(spark, "\ufffddje ädje", [("adje", "ådje")], boundary=rules.STRICT, vowels=rules.VOWELS) == "ådje ådje"
+    assert rewritten(spark, "\ufffddje ädje âdje", [("adje", "ådje")], boundary=rules.TYPED_STRICT, vowels=rules.TYPED_VOWELS) == "\ufffddje ädje ådje"
+    assert rewritten(spark, "ADJE", [("adje", "adje")], vowels=rules.VOWELS) == "ADJE"
+
+
+def test_contained_rules_of_any_length(spark):
+    table = spark.createDataFrame([(0, "rin", "rîn"), (1, "oldie", "ôldie"), (2, "old", "ôld"), (3, "å", "x"), (4, "go", "gô")], "ord int, key string, val string")
+    words = ["a goldie", "a goldie", "Oldie", "GRIND", "none", None, "", "ago Ago", "oldold"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "n int, word string")
+    found = {r["n"]: (r["key"], r["fixed"]) for r in rules.rewrite_contained(rows, table, "word").collect()}
+    assert found == {0: ("oldie", "a gôldie"), 1: ("oldie", "a gôldie"), 2: (None, "Oldie"), 3: ("rin", "GrînD"), 4: (None, "none"), 5: (None, None), 6: (None, ""), 7: ("go", "agô Ago"), 8: (None, "oldold")}
+
+
+def test_typed_rewrite(spark):
+    rows = spark.createDataFrame([("adje", "x adje", "wallon-francais"), ("adje", "y", "francais-wallon"), ("adje", "âdje", "francais-wallon")], "word string, definition string, type string")
+    found = [tuple(r) for r in rules.rewrite_typed(rows, [("adje", "ådje")]).collect()]
+    assert found == [("ådje", "x ådje", "wallon-francais", True), ("adje", "y", "francais-wallon", False), ("adje", "ådje", "francais-wallon", True)]
+
+
 def test_first_token_rule(spark):
     table = spark.createDataFrame([("adje", "ådje")], "key string, val string")
     rows = spark.createDataFrame([("1. Adje, f.",), ("badje",), (None,)], "word string")

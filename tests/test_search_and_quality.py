@@ -21,6 +21,30 @@ def test_numbered(spark):
     assert ranking.numbered(rows.limit(0), "k").count() == 0
 
 
+def test_numbered_over_ranges(spark, monkeypatch):
+    """Ranges are cut at quantiles: an outlying key doesn't put all others in one."""
+    monkeypatch.setattr(ranking, "RANGE", 7)
+    keys = [*range(0, 300, 3), -(10**15), 10**15]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert dict(map(tuple, ranking.numbered(rows, "k").collect())) == {k: i for i, k in enumerate(sorted(keys))}
+    sizes = [r["count"] for r in ranking._ranges(rows, "k")[1].groupBy("__part").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 14
+    for place in (0, 1, 50, 101):
+        assert tuple(ranking.at_place(rows, "k", place).first()) == (sorted(keys)[place], place)
+    assert ranking.at_place(rows, "k", 102).count() == 0
+
+
+def test_an_empty_search_browses(spark):
+    rows = spark.createDataFrame([("b", "x", 1), ("a", "y", 2), ("c", "x", 3)], "mot string, kind string, seq int")
+    index = search.search_index(rows, F.col("mot"), F.lit(""))
+    for query in ("", "  ", "\u0301"):
+        found, order = search.results(index, query, "mot", "seq")
+        assert [r["mot"] for r in found.orderBy(*order).collect()] == ["a", "b", "c"]
+    found, order = search.results(index, " ", "mot", "seq", "kind", "x")
+    assert [r["mot"] for r in found.orderBy(*order).collect()] == ["b", "c"]
+    assert search.results(index, "a", "mot", "seq")[0].first()["score"] == 100
+
+
 def test_quality_counts(spark):
     rows = [("", "", True), ("w" * 61, "definition long", False), ("w", "", False), ("w", "short", False), ("w", "d" * 2001, False), ("w", "definition long", False)]
     table = spark.createDataFrame(rows, "w string, d string, r boolean")
@@ -61,7 +85,7 @@ def test_search_many_answers_short_queries(spark):
     rows = spark.createDataFrame([("eau", "water"), ("on", "one"), ("île", "an island")], "w string, b string")
     index = search.search_index(rows, F.col("w"), F.col("b"))
     queries = ["a", "on", "EA", "î", "isl", "zz"]
-    found = search.search_many(index, spark.createDataFrame([(q,) for q in queries], "q string"), "q")
+    found = search.search_many(index, spark.createDataFrame([(q,) for q in queries], "q string"), "q", "w")
     expected = {(q, r["w"], r["score"]) for q in queries for r in search.scored(index, q).collect()}
     assert {(r["q"], r["w"], r["score"]) for r in found.collect()} == expected and len(expected) == 6
     assert found.count() == len(expected)

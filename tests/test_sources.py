@@ -50,3 +50,29 @@ def test_settled_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r["q"] for r in spark.sql("select q from settled").collect()} == {"ab", "x"}
+
+
+def test_command_line_builds_versions(spark, tmp_path):
+    from lexispan import __main__ as command
+
+    span = lambda page, y, x0, text, italic=False: ("tome2-08.pdf", page, text, False, italic, "Times", float(x0), float(y), float(x0 + 80))
+    rows = []
+    for page in (1, 2):
+        for y, words in ((200, "bwès, m., bois"), (210, "suite"), (220, "adje, f., âge long")):
+            rows.append(span(page, y, 130 if words == "suite" else 140, words))
+            rows.append(span(page, y, 330 if words == "suite" else 340, words.replace("b", "p")))
+        rows += [span(page, 100, 140, "header"), span(page, 230, 140, "12")]
+    rows.append(("other.pdf", *rows[0][1:]))
+    path = f"{tmp_path}/spans"
+    spark.createDataFrame(rows, "slice string, page int, text string, bold boolean, italic boolean, font string, x0 double, y0 double, x1 double").write.parquet(path)
+    (tmp_path / "rules.json").write_text('{"key": "adje", "val": "ådje"}\n')
+    out = f"{tmp_path}/out"
+    command.main([path, out, "--rules", f"{tmp_path}/rules.json"], spark)
+    flat = spark.read.json(f"{out}/flat/version=1")
+    assert sorted((r["word"], r["page"], r["definition"]) for r in flat.collect()) == sorted((w, p, d) for p in (1, 2) for w, d in (("bwès", "bois suite"), ("pwès", "pois suite"), ("ådje", "âge long")))
+    assert spark.read.json(f"{out}/entries/version=1").count() == 6
+    assert spark.read.json(f"{out}/report/version=1").first()["total"] == 6
+    command.main([path, out, "--test", "--step", "1"], spark)
+    assert spark.read.json(f"{out}/lines/version=1").count() == 12
+    command.main([path, out, "--step", "2"], spark)
+    assert spark.read.json(f"{out}/flat/version=2").count() == 6 and not (tmp_path / "out/entries/version=2").exists()

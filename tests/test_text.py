@@ -31,9 +31,19 @@ def test_decomposed_order_keeps_accents_next_to_their_letters(spark):
     assert [r["w"] for r in rows.orderBy(text.decomposed("w")).collect()] == ["ez", "é", "f"]
 
 
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(st.sampled_from("ae\u0301\u0323\u0302o\u031bé\u1ec7\u212b\u1112\u1161\u11ab\u05ae\u0315 \U0001d15e\u0958"), max_size=12))
+def test_normal_forms_of_any_text(spark, s):
+    assert one(spark, text.composed("s"), s=s) == unicodedata.normalize("NFC", s)
+    assert one(spark, text.decomposed("s"), s=s) == unicodedata.normalize("NFD", s)
+
+
 def test_clean(spark):
     assert one(spark, text.clean("s"), s="ﬁn de dic-\ntionnaire  x \n\n\n\n y") == "fin de dictionnaire x\n\ny"
-    assert one(spark, text.without_controls("s"), s="a\tb\x07c  d") == "abc d"
+    assert one(spark, text.clean("s"), s="A-\nB Œuf a-\nb\r\n\x1f x\u00a0\u2028y e\u0301") == "A-\nB OEuf ab\nx\ny é"
+    assert one(spark, text.clean("s"), s=None) == one(spark, text.normalized("s"), s=None) == ""
+    assert one(spark, text.normalized("s"), s=" a\tb\x07c  d ﬀ A-\nb œ o\u031b ") == " abc d ff Ab œ ơ "
+    assert one(spark, text.reply_letters("s"), s=" l'Åbe-1 x!") == "l'Åbe-x"
     assert one(spark, text.strip("s"), s="  a b \n") == "a b"
 
 
