@@ -32,10 +32,18 @@ def anchored_groups(items: Column, value: str, tolerance: float) -> Column:
 def lines(spans: DataFrame, keys: list[str], y: str, x: str, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """Spans with the number of their line (from 0) and their place in it; keys name a column of a page, which bounds a group."""
     others = [c for c in spans.columns if c not in (*keys, y, x)]
-    gathered = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(y, x, *others))).alias("__spans"))
-    numbered = gathered.withColumn("__line", anchored_groups(F.col("__spans"), y, tolerance))
-    flat = numbered.select(*keys, F.explode(F.arrays_zip("__spans", "__line")).alias("__z"))
-    flat = flat.select(*keys, *[F.col(f"__z.__spans.{c}").alias(c) for c in (y, x, *others)], F.col("__z.__line").alias("line_no"))
+    # no anchor reaches over a gap wider than the tolerance, so each stretch between such gaps is folded alone
+    down = Window.partitionBy(*keys).orderBy(y)
+    gap = F.coalesce((F.col(y) - F.lag(y).over(down) > tolerance).cast("int"), F.lit(0))
+    cut = spans.withColumn("__gap", gap).withColumn("__stretch", F.sum("__gap").over(down.rangeBetween(Window.unboundedPreceding, 0)))
+    gathered = cut.groupBy(*keys, "__stretch").agg(F.array_sort(F.collect_list(F.struct(y, x, *others))).alias("__spans"))
+    folded = gathered.withColumn("__line", anchored_groups(F.col("__spans"), y, tolerance))
+    # a stretch's first number is the count of the lines of those before it
+    before = F.sum(F.element_at("__line", -1) + 1).over(Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = folded.withColumn("__before", F.coalesce(before, F.lit(0)))
+    flat = numbered.select(*keys, "__before", F.explode(F.arrays_zip("__spans", "__line")).alias("__z"))
+    line = (F.col("__before") + F.col("__z.__line")).cast("int")
+    flat = flat.select(*keys, *[F.col(f"__z.__spans.{c}").alias(c) for c in (y, x, *others)], line.alias("line_no"))
     return flat.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "line_no").orderBy(x, y, *others)) - 1)
 
 
@@ -44,8 +52,8 @@ def column_split(spans: DataFrame, keys: list[str], x: str) -> DataFrame:
 
     Too few centres in the band, or no gap of the least size, give the middle of the range.
     """
-    low, high = F.min(x).over(Window.partitionBy(*keys)), F.max(x).over(Window.partitionBy(*keys))
-    near = spans.select(*keys, x, low.alias("__low"), high.alias("__high"))
+    ends = spans.groupBy(*keys).agg(F.min(x).alias("__low"), F.max(x).alias("__high"))
+    near = spans.select(*keys, x).join(ends, keys)
     width = F.col("__high") - F.col("__low")
     inside = (F.col(x) >= F.col("__low") + width * BAND[0]) & (F.col(x) <= F.col("__low") + width * BAND[1])
     marked = near.withColumn("__x", F.when(inside, F.col(x)))
