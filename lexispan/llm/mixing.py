@@ -50,19 +50,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, size: int | None = No
     sources are a source of their own. An empty table gives no rows.
     """
     table = rates(docs, source, weights, size)
-    rows = docs.drop("replica", "shuffle_key").withColumns({"__salt": F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")})
+    names = [c for c in docs.columns if c not in ("replica", "shuffle_key")]
+    # the input's columns travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source).alias("of"), F.col(id_col).alias("id"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     if table.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(table.withColumnRenamed("source", "__source")), F.col(source).eqNullSafe(F.col("__source")))
+        joined = rows.join(F.broadcast(table), F.col("of").eqNullSafe(F.col("source")))
     else:  # a hot source is spread over the salts
-        salted = table.withColumnRenamed("source", "__source").withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(salted, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt_of")))
+        salted = table.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, F.col("of").eqNullSafe(F.col("source")) & (F.col("salt") == F.col("salt_of")))
     hit = lambda u: F.size(F.filter("cdf", lambda c: c < u))
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(seed, F.col(id_col), part))
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(seed, F.col("id"), part))
     copies = F.aggregate(F.transform(draws, hit), F.lit(0), lambda a, b: a + b)
-    names = [c for c in docs.columns if c not in ("replica", "shuffle_key")]
-    drawn = joined.withColumn("__copies", copies).where("__copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("replica"))
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("replica").cast("string")))
-    return drawn.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = joined.select("row", "id", copies.alias("copies")).where("copies > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("replica"))
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("replica").cast("string")))
+    return drawn.select("row.*", "replica", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def mix_sql(seed: int = 17) -> str:

@@ -1,7 +1,7 @@
 import pytest
 
 #: Rows with nulls, empty and very long texts, ties, repeats, and columns whose names operators use themselves.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, replica int, shuffle_key string, fp long, key string, id long, root long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, replica int, shuffle_key string, fp long, key string, id long, root long, cdf string, parts string, __source string, __salt string, __copies string, word string, page int, salt string, row string, of string, copies string, n long, sigs string, __id long, __text string, __fp long, __sigs string"
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog and runs to the hills of the north"),
     (2, "The quick brown fox jumps over the lazy dog and runs to the hills of the north"),
@@ -21,7 +21,7 @@ TEXTS = [
 
 @pytest.fixture(scope="session")
 def edge(spark):
-    rows = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 2}", None if t is None else len(t), 0.5, "x", 7, "k", 1, "k", 3, 4) for k, (i, t) in enumerate(TEXTS)]
+    rows = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 2}", None if t is None else len(t), 0.5, "x", 7, "k", 1, "k", 3, 4, "c", "p", "s", "t", "u", "w", 2, "a", "r", "o", "m", 5, "g", 6, "h", 8, "i") for k, (i, t) in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -66,3 +66,11 @@ def test_edges(edge, none):
     counts = Counter((r["doc_id"], r["replica"]) for r in rows.collect())
     assert all(n <= 2 for n in counts.values()) and {n for (i, _), n in counts.items() if i == 10} <= {2, 1}
     assert mixing.mix(none).count() == 0
+
+
+def test_other_columns_come_back_as_they_are(edge):
+    """Whatever the input's columns are called, each copy of a row has its values."""
+    names = [c for c in edge.columns if c not in ("replica", "shuffle_key")]
+    of = {r["doc_id"]: tuple(r[c] for c in names if c not in ("source", "lang")) for r in edge.collect()}
+    rows = mixing.mix(edge).collect()
+    assert rows and all(tuple(r[c] for c in names if c not in ("source", "lang")) == of[r["doc_id"]] for r in rows)
