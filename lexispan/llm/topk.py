@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ._spark import SharedTable
 
-#: Vectors of a document range, queries of a batch, and vectors of a block.
-RANGE, BATCH, BLOCK = 4096, 2048, 64
+#: Most vectors of a document range and queries of a batch, least vectors of a range (smaller tables get fewer ranges), and vectors of a block.
+RANGE, BATCH, LEAST_RANGE, BLOCK = 32_768, 8_192, 4_096, 32
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -24,16 +24,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, range_size: int =
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over all vectors but those of its own id.
 
     `vectors` and `queries` are (id, q). Vectors are dealt to document ranges and queries
-    to batches, and each pair of a range and a batch is one bounded task: its blocks are
+    to batches, and each pair of a range and a batch is one bounded task: its blocks of like vectors are
     visited by their summed term maxima, for each query from the highest, until that bound
-    falls below the query's kth score. The tasks' k best are then merged. Ties go to the
-    smaller id. Vectors may differ in length; missing components count as zero. Scores beyond a long
-    are clamped to it. Repeated
-    rows are candidates, and queries, of their own: repeated queries share their ranks'
-    numbering only if they are equal, and equal queries are answered once. An empty table gives no rows.
+    falls below the query's kth score. The tasks' k best are then merged. So a vector is
+    shuffled once for each batch and a query once for each range: n / range_size * queries +
+    queries / batch * n rows in all. Ties go to the smaller id. Vectors may differ in
+    length; missing components count as zero. Scores beyond a long are clamped to it.
+    Repeated rows are candidates, and queries, of their own: repeated queries share their
+    ranks' numbering only if they are equal, and equal queries are answered once. An empty
+    table gives no rows.
     """
     vectors, queries = SharedTable(vectors, "vectors").read(), SharedTable(queries.dropDuplicates(["id", "q"]), "queries").read()
-    n_ranges, n_batches = (max(1, -(-t.count() // size)) for t, size in ((vectors, range_size), (queries, batch)))
+    n, m = vectors.count(), queries.count()
+    n_ranges, n_batches = max(1, -(-n // range_size), min(16, n // LEAST_RANGE)), max(1, -(-m // batch))
     deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", "q", deal(n_batches, 1).alias("batch")).withColumn("range", every(n_ranges))
@@ -44,6 +47,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, range_size: int =
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def like_blocks(d: np.ndarray, block: int) -> list[np.ndarray]:
+    """Rows in blocks of like ones: halves by the component that varies most, until a part fits in a block."""
+    done, parts = [], [np.arange(len(d))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= block:
+            done.append(part)
+            continue
+        inside = d[part].astype(np.float64)
+        axis = np.argmax(inside.var(0))
+        half = len(part) // 2
+        order = np.argpartition(inside[:, axis], half)
+        parts += [part[order[:half]], part[order[half:]]]
+    return done
+
+
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(column), width))
     for i, x in enumerate(column):
@@ -51,38 +70,44 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _cell(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
-    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "query_hash", "vec_id", "score")})
-    if not len(queries) or not len(vectors):
-        return none
-    vectors = vectors.sort_values("id", kind="stable")
-    width = max(1, max(map(len, queries["q"])), max(map(len, vectors["q"])))
-    q, d = _matrix(queries["q"], width), _matrix(vectors["q"], width)
-    if np.abs(q).max() * np.abs(d).max() * width >= 2.0**53:  # too large for exact doubles
-        q, d = (np.array([[int(v) for v in x] + [0] * (width - len(x)) for x in t["q"]], object) for t in (queries, vectors))
-    ids, own = vectors["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
-    parts = [slice(i, min(i + block, len(d))) for i in range(0, len(d), block)]
+def search_blocks(q: np.ndarray, own: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Scores and ids of each query's k best rows of `d`, which of them are filled, and how many pairs of a query and a block were scored."""
+    parts = [p[np.argsort(ids[p], kind="stable")] for p in like_blocks(d, block)]
     high, low = np.stack([d[p].max(0) for p in parts]), np.stack([d[p].min(0) for p in parts])
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T  # no score of a block exceeds its bound
     order = np.argsort(-bounds.astype(np.float64), axis=1, kind="stable")
-    scores, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-    if q.dtype == object:
-        scores = np.full((len(q), k), -(1 << 200), object)
-    active = np.arange(len(q))
+    nothing = -(1 << 200) if q.dtype == object else -np.inf
+    scores, found = np.full((len(q), k), nothing, q.dtype), np.full((len(q), k), np.iinfo(np.int64).max)
+    active, scored = np.arange(len(q)), 0
     for turn in range(len(parts)):
         active = active[bounds[active, order[active, turn]] >= scores[active, -1]]
         if not len(active):
             break
         turns = order[active, turn]
-        for b in np.unique(turns):
-            rows, part = active[turns == b], parts[b]
+        by_block = np.argsort(turns, kind="stable")
+        cuts = np.flatnonzero(np.diff(turns[by_block])) + 1
+        for rows in np.split(active[by_block], cuts):
+            part = parts[order[rows[0], turn]]
+            scored += len(rows)
             new = q[rows] @ d[part].T
-            new = np.where(ids[part][None] == own[rows][:, None], scores.dtype.type(-np.inf) if new.dtype != object else -(1 << 200), new)
+            new = np.where(ids[part][None] == own[rows][:, None], nothing, new)
             both = np.concatenate([scores[rows], new], 1)
             names = np.concatenate([found[rows], np.broadcast_to(ids[part], new.shape)], 1)
-            by = np.lexsort((names, -both), axis=1)[:, :k] if new.dtype != object else np.array([sorted(range(both.shape[1]), key=lambda j: (-both[i, j], names[i, j]))[:k] for i in range(len(rows))])
+            by = np.lexsort((names, -both), axis=1)[:, :k] if q.dtype != object else np.array([sorted(range(both.shape[1]), key=lambda j: (-both[i, j], names[i, j]))[:k] for i in range(len(rows))])
             scores[rows], found[rows] = np.take_along_axis(both, by, 1), np.take_along_axis(names, by, 1)
-    real = scores > (-np.inf if scores.dtype != object else -(1 << 200))
+    return scores, found, scores > nothing, scored
+
+
+def _cell(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "query_hash", "vec_id", "score")})
+    if not len(queries) or not len(vectors):
+        return none
+    width = max(1, max(map(len, queries["q"])), max(map(len, vectors["q"])))
+    q, d = _matrix(queries["q"], width), _matrix(vectors["q"], width)
+    if np.abs(q).max() * np.abs(d).max() * width >= 2.0**53:  # too large for exact doubles
+        q, d = (np.array([[int(v) for v in x] + [0] * (width - len(x)) for x in t["q"]], object) for t in (queries, vectors))
+    own = queries["id"].to_numpy(np.int64)
+    scores, found, real, _ = search_blocks(q, own, d, vectors["id"].to_numpy(np.int64), k, block)
     at = np.nonzero(real)[0]
     values = np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in scores[real]], np.int64) if scores.dtype == object else scores[real].astype(np.int64)
     hashes = np.array([hash(tuple(x)) for x in queries["q"]], np.int64)

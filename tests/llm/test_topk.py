@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lexispan.llm import topk
@@ -57,3 +58,26 @@ def test_repeated_candidates(spark):
     rows = topk.quantise(table(spark, vectors))
     ranks = [tuple(r) for r in topk.top_k(rows, rows.where("id % 20 = 0"), 20).orderBy("rank").collect()]
     assert [r[2] for r in ranks] == [1, 1, 2]
+
+
+def test_blocks_of_clustered_vectors_are_skipped():
+    """Around 40 distant centres, a query scores the blocks of few of them; the result is that of all."""
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-600, 600, (40, 16))
+    d = np.repeat(centres, 50, axis=0) + rng.integers(-3, 4, (2000, 16))
+    d, ids = d.astype(float), np.arange(2000)
+    own = ids[::20]
+    q = d[own]
+    scores, names, real, scored = topk.search_blocks(q, own, d, ids, 20, 32)
+    blocks = len(topk.like_blocks(d, 32))
+    assert real.all() and scored < 0.25 * blocks * len(own)
+    full = q @ d.T
+    full[np.arange(len(own)), own] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, full.shape), -full), axis=1)[:, :20]
+    assert (names == order).all() and (scores == np.take_along_axis(full, order, 1)).all()
+
+
+def test_blocks_hold_every_row_once():
+    for n in (1, 31, 32, 33, 1000):
+        parts = topk.like_blocks(np.random.default_rng(n).normal(size=(n, 3)), 32)
+        assert sorted(np.concatenate(parts).tolist()) == list(range(n)) and max(map(len, parts)) <= 32
