@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ ANCHORS = (
     "le la les un une et est que qui dans pour par sur au du de "
     "el los las una y en por con para se su como del"
 ).split()
-#: Ids of a range of the document order, and most ranges.
-RANGE, MOST_RANGES = 1024, 8192
+#: Ids of a range of the document order, and most ranges; past 134 million documents a range grows with the table (40,000 documents of 5 billion).
+RANGE, MOST_RANGES = 1024, 1 << 17
 LOWEST = -(1 << 63)
 
 
@@ -75,10 +75,15 @@ def document_ranges(docs: DataFrame, id_col: str) -> list[int]:
     parts = min(MOST_RANGES, -(-n // RANGE))
     if parts <= 1:
         return [top] if n else []
-    cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    cuts = ids.agg(F.percentile_approx("id", _constants([i / parts for i in range(1, parts)], "double"), 10 * parts)).first()[0]
     return sorted({top, *cuts}, reverse=True)
 
 
+def _constants(values: list, kind: str) -> F.Column:
+    """An array of constants as one literal, which is folded when the plan is made."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """The input with `next_*` of the carried columns: those of the next row by descending id; after the last, of the first.
 
@@ -89,7 +94,7 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     uppers = document_ranges(docs, id_col)
     if not uppers:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    bounds = F.array(*[F.lit(x).cast("long") for x in uppers])
+    bounds = _constants(uppers, "bigint")
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(uppers).bit_length()))])
     rows = docs.withColumn("__id", F.coalesce(F.col(id_col), F.lit(LOWEST)))
     # the last range whose upper id isn't below the row's, by binary search
@@ -109,7 +114,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     The edited text has its last floor(n/2) code points replaced by the first as many (or
     all) of the next document's, by descending id; the last document's next is the first.
     A single row is its own next. Null texts count as empty; an empty text is edited to
-    itself. Repeated rows follow each other. An empty table gives no rows.
+    itself. Repeated rows follow each other. Ids are whole numbers (other types are cast to
+    long, and null ids rank lowest). An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(with_signatures(rows, "text", "sigs"), "id", ["text", "sigs"])
@@ -150,6 +156,14 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, md5(array_to_string(x,
   xy / (len(x) + len(y) - xy) AS near_edited, xz / (len(x) + len(z) - xz) AS near_next, CAST(len(x) AS INTEGER) AS n_signatures FROM p"""
 
 
+def length_bands(least: Fraction, longest: int) -> list[int]:
+    """First sizes of bands: of two sets within the bound, the larger lies in the smaller one's band or the next."""
+    out = [1]
+    while out[-1] <= longest:
+        out.append(max(out[-1] + 1, out[-1] * least.denominator // least.numerator + 1))
+    return out
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs, members): (a, b, likeness) of classes whose signature sets are at least `least` alike, and (id, class).
 
@@ -157,19 +171,27 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     partitioned by length: a pair within the bound lies in one length band or in two that
     are next to each other. In a band only the rarest signatures of a set are indexed: if
     none of them is shared, the Jaccard likeness is under the bound. Candidates are
-    verified on the whole sets. `least` must be over 0. Null texts count as empty.
+    verified on the whole sets. Bounds are compared in whole numbers, so pairs that reach
+    `least` exactly are found; it must be over 0 and at most 1. Null texts count as empty. A class
+    whose rows have no id has a null name, in pairs, too. An empty table gives no rows.
     """
+    bound = Fraction(str(least))
+    p, q = bound.numerator, bound.denominator
     sets = SharedTable(with_signatures(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "sigs").select("id", set_key("sigs").alias("key"), "sigs"), "spots").read()
-    classes = SharedTable(sets.groupBy("key").agg(F.min("id").alias("class"), F.first("sigs").alias("sigs")), "classes").read()
+    classes = SharedTable(sets.groupBy("key").agg(F.min("id").alias("class"), F.first("sigs").alias("sigs"), F.first(F.size("sigs").cast("long")).alias("n")), "classes").read()
     members = sets.select("id", "key").join(classes.select("key", "class"), "key").select("id", "class")
-    spots = classes.select("class", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    bands = length_bands(bound, classes.agg(F.max("n")).first()[0] or 1)
+    spots = classes.select("key", "n", F.explode("sigs").alias("sig"))
     often = spots.groupBy("sig").count()
-    ranked = spots.join(often, "sig").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("rare"))
-    prefix = F.slice("rare", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    band = F.floor(F.log(F.col("n")) / F.lit(-math.log(least) if least < 1 else 1.0)).cast("int")
-    index = ranked.select("class", "n", band.alias("band"), F.explode(F.transform(prefix, lambda x: x["sig"])).alias("sig"))
-    probe = index.select(F.col("class").alias("b"), F.col("n").alias("m"), "sig", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    found = index.join(probe, ["band", "sig"]).where("(n > m or (n = m and class < b)) and m >= n * " + repr(least)).select(F.col("class").alias("a"), "b").distinct()
-    one, two = (classes.select(F.col("class").alias(c), F.col("sigs").alias(f"{c}_sigs")) for c in "ab")
-    pairs = found.join(one, "a").join(two, "b").select("a", "b", pruned_jaccard("a_sigs", "b_sigs", least).alias("likeness")).where(F.col("likeness") >= least)
+    ranked = spots.join(often, "sig").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("rare"))
+    prefix = F.slice("rare", F.lit(1), F.expr(f"cast(n - (n * {p}L + {q - 1}L) div {q}L + 1 as int)"))
+    band = F.size(F.filter(_constants(bands, "bigint"), lambda b: b <= F.col("n")))
+    index = ranked.select("key", "n", band.alias("band"), F.explode(F.transform(prefix, lambda x: x["sig"])).alias("sig"))
+    probe = index.select(F.col("key").alias("b"), F.col("n").alias("m"), "sig", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    fits = f"(n > m or (n = m and key < b)) and m * {q}L >= n * {p}L"
+    found = index.join(probe, ["band", "sig"]).where(fits).select(F.col("key").alias("a"), "b").distinct()
+    one, two = (classes.select(F.col("key").alias(c), F.col("class").alias(f"{c}_class"), F.col("sigs").alias(f"{c}_sigs")) for c in "ab")
+    shared, total = F.size(F.array_intersect("a_sigs", "b_sigs")).cast("long"), (F.size("a_sigs") + F.size("b_sigs")).cast("long")
+    near = found.join(one, "a").join(two, "b").withColumns({"shared": shared, "total": total}).where(f"shared * {q}L >= (total - shared) * {p}L")
+    pairs = near.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), (F.col("shared") / (F.col("total") - F.col("shared"))).alias("likeness"))
     return pairs, members

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexispan.llm import spotsigs
@@ -93,3 +95,32 @@ def test_near_duplicates_equal_brute_force(spark):
     expected = {(a, b) for a in kinds for b in kinds if a < b and likeness(texts[a], texts[b]) >= 0.7}
     assert {tuple(sorted((r["a"], r["b"]))) for r in pairs.collect()} == expected and pairs.count() == len(expected)
     assert pairs.where(F.col("a") == F.col("b")).count() == 0
+
+
+@pytest.mark.parametrize("least, small, large", [(0.55, 55, 100), (0.8, 8, 10), (0.8, 80, 100), (0.7, 7, 10), (1.0, 5, 5), (0.1, 10, 100)])
+def test_near_duplicates_at_the_bound(spark, monkeypatch, least, small, large):
+    """Sets whose likeness is the bound itself are a pair, and one signature fewer is none."""
+    sets = [[f"x{i}" for i in range(n)] for n in (large, small, small - 1)]
+    number = lambda n: F.transform(F.split(F.col(n), " "), lambda w: F.xxhash64(w))
+    monkeypatch.setattr(spotsigs, "with_signatures", lambda rows, text, into: rows.withColumn(into, F.array_sort(F.array_distinct(number(text)))))
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string")
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in spotsigs.near_duplicates(docs, least)[0].collect()}
+    brute = {(i, j) for j in range(3) for i in range(j) if 1000 * len(set(sets[i]) & set(sets[j])) >= round(1000 * least) * len(set(sets[i]) | set(sets[j]))}
+    assert pairs == brute and (small == large or (0, 1) in pairs)
+
+
+def test_length_bands_hold_every_pair():
+    for least in (Fraction("0.1"), Fraction("0.55"), Fraction("0.8"), Fraction(1)):
+        bands = spotsigs.length_bands(least, 3000)
+        band = lambda n: sum(b <= n for b in bands)  # noqa: B023, E731
+        for m in [*range(1, 300), 999, 1000]:
+            n = m * least.denominator // least.numerator  # the largest set within the bound
+            assert n > 3000 or band(n) - band(m) in (0, 1), (least, m, n)
+
+
+def test_near_duplicates_without_ids_or_rows(spark, none):
+    docs = spark.createDataFrame([(None, "the fox runs home"), (3, "the fox runs home"), (None, "a dog of the hill here")], "doc_id long, text string")
+    pairs, members = spotsigs.near_duplicates(docs, 0.8)
+    assert pairs.count() == 0 and sorted((r["id"] or 0, r["class"] or 0) for r in members.collect()) == [(0, 0), (0, 3), (3, 3)]
+    pairs, members = spotsigs.near_duplicates(none)
+    assert pairs.count() == members.count() == 0
