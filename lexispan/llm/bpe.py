@@ -57,7 +57,7 @@ class Encoder:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.most = max(ranks.values(), default=0)
         self.pieces = {i: b for b, i in ranks.items()}
-        self.single = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         self.double = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
 
@@ -125,7 +125,10 @@ class Encoder:
                         put(rank, rest + buckets.get(rank, []))
                     break
         alive = np.array(ends) > 0
-        out = np.array(ids, "<u4")[alive].tobytes()
+        found = np.array(ids, np.int64)[alive]
+        if len(found) and found.min() < 0:
+            raise KeyError("the vocabulary lacks a byte of the text")
+        out = found.astype("<u4").tobytes()
         counts = np.concatenate([[0], np.cumsum(alive)])[np.flatnonzero(border)] * 4
         return [out[a:b] for a, b in zip(counts.tolist(), counts[1:].tolist())]
 
@@ -177,7 +180,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     Null and empty texts give an empty array. Repeated rows and null ids give a row
     each; an empty table gives no rows. Equal to the ids of the usual merge loop: of
-    the pairs with the lowest rank the leftmost merges first.
+    the pairs with the lowest rank the leftmost merges first. A byte that the vocabulary
+    lacks raises KeyError.
     """
     lines = _broadcast(docs, vocabulary)
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
