@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import unit_hash
+from ._spark import SharedTable, unit_hash
 from ._text import byte_view, chunks, text_of
 
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 12, 6
@@ -121,19 +121,17 @@ def train(languages: list[str], windows: np.ndarray, labels: np.ndarray, weights
     return net
 
 
-def fit(docs: DataFrame, per_language: int = 500, windows_per_text: int = 4, most_languages: int = 200, seed: int = 2) -> Network | None:
+def fit(docs: DataFrame, per_language: int = 500, windows_per_text: int = 4, seed: int = 2) -> Network | None:
     """A network of `lang`, from learning rows (crc32 of doc_id modulo 4 is not 2) alone.
 
     Bounds: about `per_language` documents of each language, chosen by a hash of doc_id,
-    give `windows_per_text` windows each, and at most the `most_languages` commonest
-    languages are learned. Rows without text or lang are not learned from. None without rows.
+    give `windows_per_text` windows each; every language is learned. Rows without text or
+    lang are not learned from. None without rows.
     """
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not sizes:
-        return None
-    rates = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language / n)])
-    chosen = known.where(F.col("lang").isin(list(sizes))).where(unit_hash(F.col("doc_id"), seed=seed) < F.try_element_at(rates, F.col("lang")))
+    sizes = SharedTable(known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("rate")), "languages").read()
+    # one row a language
+    chosen = known.select("doc_id", "lang", "text").join(sizes, "lang").where(unit_hash(F.col("doc_id"), seed=seed) < F.col("rate"))
     place = lambda k: F.floor(unit_hash(F.col("doc_id"), F.lit(k), seed=seed) * F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
     drawn = chosen.select("lang", F.explode(F.array(*[F.substring(F.col("text"), place(k), F.lit(WINDOW)) for k in range(windows_per_text)])).alias("window")).collect()
     languages = sorted({r["lang"] for r in drawn})
