@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,6 @@ from ._spark import SharedTable, unit_hash
 from ._text import WORD, RangeHash, byte_view, chunks, mixed, runs, text_of
 
 BUCKETS = 10_000
-#: n-grams that the mean log ratio of a document is scaled to, so that long texts don't outweigh the noise by length alone.
-SCALE = 100.0
 #: Bins of a counting pass of the exact selection; so many counts reach the driver.
 BINS = 4096
 
@@ -32,10 +30,13 @@ class Model:
 
     ratios: np.ndarray
 
-    def log_weights(self, column: pa.StringArray) -> np.ndarray:
+    def log_weights(self, column: pa.StringArray, scale: float | None = None) -> np.ndarray:
+        """Log ratio of the two models of each lower-cased text: the sum over its n-grams, or their mean times `scale`; NaN without n-grams."""
         rows, buckets = ngrams(column)
         n = np.bincount(rows, minlength=len(column))
-        return SCALE * np.bincount(rows, weights=self.ratios[buckets], minlength=len(column)) / np.maximum(1, n)
+        total = np.bincount(rows, weights=self.ratios[buckets], minlength=len(column))
+        with np.errstate(invalid="ignore"):
+            return np.where(n > 0, total if scale is None else scale * total / np.maximum(1, n), np.nan)
 
 
 def ngrams(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +77,9 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000, smoothing
     """
     good = SharedTable(labels.where("doc_id is not null and quality = 1").select("doc_id").distinct(), "target").read()
     chosen = good.where(unit_hash(F.col("doc_id"), seed=seed) < target_rows / max(1, good.count()))
-    # about target_rows ids, whatever the corpus
-    target = counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"))
+    # a written table of about target_rows ids: the planner knows its size
+    chosen = SharedTable(chosen, "chosen").read()
+    target = counts(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"))
     if not target.sum():
         return Model(np.zeros(BUCKETS))
     raw = counts(docs)
@@ -85,13 +87,18 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000, smoothing
     return Model(np.log(share(target)) - np.log(share(raw)))
 
 
-def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, log_weight): the scaled mean log ratio of a whole text's n-grams; 0 for null texts and texts without tokens."""
+def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", scale: float | None = None) -> DataFrame:
+    """(id, log_weight): log of target over raw probability of a whole text's n-grams; null for null texts and texts without tokens.
+
+    `scale` takes the mean log ratio times so many n-grams instead of the sum, which keeps
+    long texts from outweighing the noise by their length.
+    """
     schema = T.StructType([docs.schema[id_col], T.StructField("log_weight", T.DoubleType())])
 
     def apply(batches):
         for batch in chunks(batches, text):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.log_weights(text_of(batch, text, lower=True)), pa.float64())], [id_col, "log_weight"])
+            weights = model.log_weights(text_of(batch, text, lower=True), scale)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64(), from_pandas=True)], [id_col, "log_weight"])
 
     return docs.select(id_col, text).mapInArrow(apply, schema)
 
@@ -115,22 +122,32 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> tuple[int, int]:
     return low, above
 
 
-def resample(docs: DataFrame, model: Model, fraction: float = 0.5, seed: int = 8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, log_weight, score, selected) for every row; floor(fraction * rows) rows are selected.
+def resample(docs: DataFrame, model: Model, fraction: float = 0.5, seed: int = 8, id_col: str = "doc_id", text: str = "text", scale: float | None = None) -> DataFrame:
+    """(id, log_weight, score, selected) for every row; exactly floor(fraction * rows) rows are selected.
 
     `score` is the log weight plus Gumbel noise from a hash of seed and id, rounded to
-    1e-9; the highest scores are selected, ties to smaller ids. Rows that are equal in
-    score and id at the border (repeated rows, null ids) are all selected. An empty table gives no rows.
+    1e-6; the highest scores are selected, ties by a hash of the id. Of rows that are equal
+    in score and id (repeated rows, null ids) as many are selected as are left. Texts
+    without tokens have neither weight nor score, and come after all others. Ids may be of
+    any type. An empty table gives no rows.
     """
-    noise = -F.log(-F.log(unit_hash(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), seed=seed)))
-    rows = weigh(docs, model, id_col, text).withColumn("key", F.round((F.col("log_weight") + noise) * 1e9).cast("long"))
+    noise = -F.log(-F.log(unit_hash(F.col(id_col), seed=seed)))
+    # texts without tokens keep an order among themselves, below every possible weight
+    place = F.coalesce((F.col("log_weight") + noise) * 1e6, F.lit(-4e18) + noise * 1e6)
+    rows = weigh(docs, model, id_col, text, scale).withColumns({"key": F.round(place).cast("long"), "tie": F.xxhash64(F.lit(seed), id_col)})
     rows = SharedTable(rows, "weighed").read()
-    out = lambda chosen: rows.select(id_col, "log_weight", (F.col("key") / 1e9).alias("score"), chosen.alias("selected"))
+    score = F.when(F.col("log_weight").isNotNull(), F.col("key") / 1e6).alias("score")
     k = int(fraction * rows.count())
     if k < 1:
-        return out(F.lit(False))
+        return rows.select(id_col, "log_weight", score, F.lit(False).alias("selected"))
     border, above = kth_largest(rows, "key", k)
-    ties = rows.where(F.col("key") == border).select(F.coalesce(-F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long") + 1).alias("order"))
-    last = kth_largest(ties, "order", k - above)[0] if ties.count() > k - above else None
-    tied = F.lit(True) if last is None else F.coalesce(-F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long") + 1) >= last
-    return out((F.col("key") > border) | ((F.col("key") == border) & tied))
+    last, before = kth_largest(rows.where(F.col("key") == border), "tie", k - above)
+    at_border = (F.col("key") == border) & (F.col("tie") == last)
+    chosen = (F.col("key") > border) | ((F.col("key") == border) & (F.col("tie") > last))
+    # rows at the border differ in nothing that is returned: they are counted, and as many as are left are selected
+    left = k - above - before
+    equal = rows.where(at_border).groupBy(id_col, "log_weight", "key").count()
+    behind = Window.orderBy(F.col("log_weight").desc(), F.col(id_col).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("passed", F.coalesce(F.sum("count").over(behind), F.lit(0))).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    rest = equal.select(id_col, "log_weight", score, (F.col("passed") + F.col("n") <= left).alias("selected"))
+    return rows.where(~at_border).select(id_col, "log_weight", score, chosen.alias("selected")).union(rest)
