@@ -82,6 +82,11 @@ def left_margin(rows: DataFrame, keys: list[str], side: str, x0: str) -> DataFra
     return rows.groupBy(*keys, side).agg(F.coalesce(F.min(x0), F.when(F.first(side) == "left", MARGINS[0]).otherwise(MARGINS[1])).alias("margin"))
 
 
+def rich_line(spans) -> Column:
+    """A line's spans with their texts and styles alone."""
+    return F.transform(col(spans), lambda s: F.struct(s["text"].alias("text"), s["bold"].alias("bold"), s["italic"].alias("italic")))
+
+
 def line_text(spans) -> Column:
     """Texts of a line's spans, with a space where the gap to the span before is over the limit."""
     start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("x1"))

@@ -65,16 +65,31 @@ def entry_key(word, tome, page, kind) -> Column:
     return F.concat(col(word), F.lit("_T"), col(tome).cast("string"), F.lit("_P"), col(page).cast("string"), F.lit("_"), col(kind))
 
 
-def entry_html(word, category, definitions, examples) -> Column:
-    """A section for each part that an entry has; one definition is a paragraph, several are a list, and ~ stands for the word."""
-    word, category, definitions, examples = (col(x) for x in (word, category, definitions, examples))
-    head = F.concat(F.lit("<h2>"), word, F.lit("</h2>"))
-    kind = F.when(category != "", F.concat(F.lit("<em>"), category, F.lit("</em>"))).otherwise("")
-    many = F.concat(F.lit("<ol>"), F.array_join(F.transform(definitions, lambda d: F.concat(F.lit("<li>"), d, F.lit("</li>"))), ""), F.lit("</ol>"))
-    body = F.when(F.size(definitions) == 0, "").when(F.size(definitions) == 1, F.concat(F.lit("<p>"), F.get(definitions, 0), F.lit("</p>"))).otherwise(many)
-    item = lambda e: F.concat(F.lit("<li>"), F.replace(e["wallon"], F.lit("~"), F.concat(F.lit("<b>"), word, F.lit("</b>"))), F.when(e["francais"] != "", F.concat(F.lit(" : "), e["francais"])).otherwise(""), F.lit("</li>"))
-    shown = F.when(F.size(examples) > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(examples, item), ""), F.lit("</ul>"))).otherwise("")
-    return F.concat(head, kind, body, shown)
+def entry_html(word, category, definitions, examples, gender=None, pronunciation=None, domains=None, expressions=None, synonyms=None, references=None, origin=None) -> Column:
+    """A section for each of the seven parts that an entry has: grammar, definitions, examples, expressions, synonyms, references and origin.
+
+    One definition is a paragraph, several are a list, and ~ stands for the word. Parts that are null, empty or not given are left out.
+    """
+    none = F.array().cast("array<string>")
+    text = lambda x: F.coalesce(col(x), F.lit("")) if x is not None else F.lit("")
+    many = lambda x: F.coalesce(col(x), none) if x is not None else none
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    only = lambda x, shown: F.when(F.length(x) > 0, shown).otherwise("")
+    some = lambda xs, shown: F.when(F.size(xs) > 0, shown).otherwise("")
+    items = lambda xs, f: F.array_join(F.transform(xs, f), "")
+    word, category, gender, pronunciation, origin = map(text, (word, category, gender, pronunciation, origin))
+    definitions, domains, expressions, synonyms, references = map(many, (definitions, domains, expressions, synonyms, references))
+    examples = col(examples)
+    head = put("<h2>", word, "</h2>")
+    marks = put(only(category, put("<em>", category, "</em>")), only(gender, put("<em>", gender, "</em>")), only(pronunciation, put("<span>[", pronunciation, "]</span>")), items(domains, lambda d: put("<em>", d, "</em>")))
+    listed = put("<ol>", items(definitions, lambda d: put("<li>", d, "</li>")), "</ol>")
+    body = F.when(F.size(definitions) == 0, "").when(F.size(definitions) == 1, put("<p>", F.get(definitions, 0), "</p>")).otherwise(listed)
+    pair = lambda e: put("<li>", F.replace(e["wallon"], F.lit("~"), put("<b>", word, "</b>")), F.when(e["francais"] != "", put(" : ", e["francais"])).otherwise(""), "</li>")
+    shown = some(examples, put("<ul>", items(examples, pair), "</ul>"))
+    sayings = some(expressions, put("<h3>Expressions</h3><ul>", items(expressions, lambda x: put("<li>", x, "</li>")), "</ul>"))
+    same = some(synonyms, put("<p>Synonymes : ", F.array_join(F.transform(synonyms, lambda x: put("<a>", x, "</a>")), ", "), "</p>"))
+    others = some(references, put("<p>Voir aussi : ", F.array_join(F.transform(references, lambda x: put("<a>", x, "</a>")), ", "), "</p>"))
+    return put(head, marks, body, shown, sayings, same, others, only(origin, put("<p>Étymologie : ", origin, "</p>")))
 
 
 def _grams(text: Column, n: int) -> Column:

@@ -296,6 +296,16 @@ def p4_line_text(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("span")).alias("spans")).select("conv_id", layout.line_text("spans").alias("text"))
 
 
+@query("SELECT conv_id, string_agg(turn || ':' || role || ':' || (turn % 2 = 0) || ':' || (turn % 3 = 0), '|' ORDER BY turn) AS spans FROM conversations GROUP BY conv_id")
+def p5_rich_lines(spark, sf_dir):
+    """Spans narrowed to text and style."""
+    turn = F.col("turn")
+    span = F.struct(turn.alias("n"), F.concat(turn.cast("string"), F.lit(":"), F.col("role")).alias("text"), (turn % 2 == 0).alias("bold"), (turn % 3 == 0).alias("italic"), (turn * 10.0).alias("x0"))
+    lines = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    shown = F.transform(layout.rich_line("spans"), lambda s: F.concat_ws(":", s["text"], s["bold"].cast("string"), s["italic"].cast("string")))
+    return lines.select("conv_id", F.array_join(shown, "|").alias("spans"))
+
+
 @query("""SELECT p_partkey, (p_size % 3 <> 0) AND p_size % 4 <> 0 AS starts FROM part""")
 def f2_entry_starts(spark, sf_dir):
     """Lines that begin entries: indented ones with a grammar mark."""

@@ -121,6 +121,22 @@ def p9_entry_html(spark, sf_dir):
     return rows.select("p_partkey", search.entry_html("p_name", "category", "definitions", "examples").alias("html"))
 
 
+@query("""SELECT p_partkey, '<h2>' || p_name || '</h2><em>nom</em>' || CASE WHEN p_size % 2 = 0 THEN '<em>masculin</em>' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '<span>[abc]</span>' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN '<em>fig</em><em>techn</em>' ELSE '' END
+ || '<p>' || p_brand || '</p>' || CASE WHEN p_size % 4 = 0 THEN '<h3>Expressions</h3><ul><li>' || p_type || '</li><li>x</li></ul>' ELSE '' END || CASE WHEN p_size % 7 = 0 THEN '<p>Synonymes : <a>' || p_brand || '</a>, <a>y</a></p>' ELSE '' END
+ || CASE WHEN p_size % 3 = 1 THEN '<p>Voir aussi : <a>' || p_type || '</a></p>' ELSE '' END || CASE WHEN p_size % 2 = 1 THEN '<p>Étymologie : lat. ' || p_name || '</p>' ELSE '' END AS html FROM part""")
+def p9_entry_sections(spark, sf_dir):
+    """All seven sections of entries; parts that are missing are null or empty."""
+    size, brand, kind = F.col("p_size"), F.col("p_brand"), F.col("p_type")
+    when = lambda test, x: F.when(test, x)
+    none = F.expr("cast(array() as array<struct<wallon:string,francais:string>>)")
+    html = search.entry_html(
+        "p_name", F.lit("nom"), F.array(brand), none,
+        gender=when(size % 2 == 0, F.lit("masculin")), pronunciation=F.when(size % 3 == 0, "abc").otherwise(""), domains=when(size % 5 == 0, F.array(F.lit("fig"), F.lit("techn"))),
+        expressions=when(size % 4 == 0, F.array(kind, F.lit("x"))), synonyms=when(size % 7 == 0, F.array(brand, F.lit("y"))), references=when(size % 3 == 1, F.array(kind)), origin=when(size % 2 == 1, F.concat(F.lit("lat. "), "p_name")),
+    )
+    return load(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+
+
 @query(f"""WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS q FROM part UNION SELECT DISTINCT lower(p_type) FROM part), i AS (SELECT p_partkey, p_name, {SQL_FOLD.format('p_name')} AS w, {SQL_FOLD.format("(p_type || ' ' || p_brand)")} AS b FROM part),
 s AS (SELECT q, p_partkey, p_name, CASE WHEN w = q THEN 100 WHEN starts_with(w, q) THEN 80 WHEN contains(w, q) THEN 50 WHEN contains(b, q) THEN 20 ELSE 0 END AS score FROM i JOIN q ON contains(w, q) OR contains(b, q)),
 r AS (SELECT q, p_partkey, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, length(p_name), p_name, p_partkey) AS INTEGER) AS rank FROM s WHERE score > 0)

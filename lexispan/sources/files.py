@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 PAGE_MARK = r"^=== PAGE (\d+) ===$"
 #: Pages and letters that a file's class is told from.
 FIRST_PAGES, ENOUGH_TEXT = 3, 100
+#: Most rows that are joined to one.
+MOST_SHOWN = 100_000
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -60,9 +62,16 @@ def page_marked(rows: DataFrame, key: str, page: str, text: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), block.alias("b")))), lambda x: x["b"]), "\n").alias("value"))
 
 
+def displayable(rows: DataFrame, most: int = MOST_SHOWN) -> DataFrame:
+    """The rows, if they are few enough to become one row; ValueError otherwise."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows are too many for one page or script")
+    return rows
+
+
 def script_value(rows: DataFrame, order: list[str], name: str = "window.dictionaryData") -> DataFrame:
     """One row that assigns all rows, as a JSON array, to a script's global: for results of a display's size only."""
-    fields = [c for c in rows.columns]
+    rows, fields = displayable(rows), [c for c in rows.columns]
     array = F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*fields)).alias("__json"))))
     return rows.agg(F.concat(F.lit(f"{name} = ["), F.array_join(F.transform(array, lambda x: x["__json"]), ","), F.lit("];")).alias("value"))
 
@@ -94,6 +103,7 @@ def report(rows: DataFrame) -> Column:
 
 def html_report(sample: DataFrame, totals: DataFrame, order: list[str], title: str = "Report") -> DataFrame:
     """One row: a page with the total count and a table of a sample, which must be of a display's size."""
+    sample = displayable(sample)
     cells = F.array_join(F.transform(F.array(*[F.col(c).cast("string") for c in sample.columns]), lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), "")
     table = sample.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, cells.alias("__cells")))), lambda r: F.concat(F.lit("<tr>"), r["__cells"], F.lit("</tr>"))), "").alias("rows"))
     return table.crossJoin(totals).select(F.concat(F.lit(f"<h1>{title}</h1><p>"), F.col("n").cast("string"), F.lit(" rows</p><table>"), F.col("rows"), F.lit("</table>")).alias("html"))
