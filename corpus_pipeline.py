@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispan.llm import bpe, mixing, near_copies, queries, secret_scan, toxicity
-from lexispan.llm._spark import SharedTable, load
+from lexispan.llm._spark import SharedTable, in_small_batches, load
 
 #: Fixed value: documents that score this or more are rejected.
 TOXIC = 0.3
@@ -18,8 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles with a Jaccard likeness of 0.8 or more."""
-    return near_copies.deduplicate(docs, least=0.8, shingle=5)
+    """One document of each group of near copies stays: SimHash blocks over five-word shingles, and all pairs of a Jaccard likeness of 0.8 or more."""
+    return near_copies.deduplicate(docs, least=0.8, shingle=5, distance=3)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +39,23 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe.round_trip(docs, *queries.tokenizer_files())
 
 
+def sized(stage):
+    """The stage, in a session whose batches of texts are small."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        in_small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", reject_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("secret_scan", redact_secrets),
-    ("source_mixing", mix_sources),
-    ("byte_bpe", encode_tokens),
+    ("toxicity", sized(reject_toxic)),
+    ("simhash_near_dedup", sized(drop_near_duplicates)),
+    ("secret_scan", sized(redact_secrets)),
+    ("source_mixing", sized(mix_sources)),
+    ("byte_bpe", sized(encode_tokens)),
 ]
 
 #: No SQL: a trained classifier, zstandard and byte-level BPE aren't expressible in it.

@@ -50,6 +50,17 @@ class SharedTable:
         return self._hadoop_path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: Rows of whole texts that Spark hands to Python at once; its default of 10,000 makes batches of 30 MB and more on both sides.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch for this session, unless it is set lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     return SharedTable(df, name).read()
 

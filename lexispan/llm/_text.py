@@ -28,7 +28,7 @@ def byte_view(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches, name: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches, name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many text bytes (a longer row stands alone), to bound memory."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(name)).cast(pa.string())

@@ -15,7 +15,7 @@ from ._text import chunks, text_of
 
 WIDTH = 256
 #: Pre-tokens that a worker remembers, and the longest of them; both bound memory only.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 class RankQueue:

@@ -17,10 +17,12 @@ from .spotsigs import pruned_jaccard
 SAMPLE, COMMON, MOST_COMMON = 4_000, 4, 100_000
 #: A shingle that more prefixes share counts as common, and prefixes are chosen anew, so many times at most.
 LIMIT, REORDERS = 1024, 2
-#: Rounds in which groups are compared with one of their sets, before what is left of them is compared in full; groups of up to FULL sets take one such round.
-PIVOT_ROUNDS, FULL = 2, 64
-#: Buckets of a set's histogram: two sets share at most the sum of their lesser counts.
-BUCKETS = 128
+#: Rounds in which groups are compared with some of their sets, before what is left of them is compared in full; groups of up to FULL sets take one such round.
+PIVOT_ROUNDS, PIVOTS, FULL = 2, 8, 64
+#: Shingles of a bucket of a set's histogram, at most, and least and most bits of its buckets' numbers.
+FILLED, LEAST_BITS, MOST_BITS = 4, 6, 13
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 19
 #: Odd multipliers of the words of a shingle.
 STEP = 0xD6E8FEB86659FD93
 
@@ -82,10 +84,20 @@ class Sets:
             ones[rows[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
-    def histograms(self) -> np.ndarray:
-        """How many shingles of each set fall in each bucket, as rows of one array."""
-        bucket = (self.hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-        return np.bincount(self.rows * BUCKETS + bucket, minlength=len(self.sizes) * BUCKETS)
+    def histograms(self) -> pa.ListArray:
+        """How many shingles of each set fall in each of its buckets: two sets share at most the sum of their lesser counts.
+
+        The number of buckets is a power of two that grows with the set. Empty where a count exceeds a byte.
+        """
+        bits = np.clip(np.ceil(np.log2(np.maximum(self.sizes, 1) / FILLED)), LEAST_BITS, MOST_BITS).astype(np.int64)
+        ends = np.cumsum(1 << bits)
+        first = ends - (1 << bits)
+        counts = np.bincount(first[self.rows] + (self.hashes >> (64 - bits[self.rows]).astype(np.uint64)).astype(np.int64), minlength=ends[-1] if len(ends) else 0)
+        full = np.zeros(len(bits), bool)
+        full[np.searchsorted(ends, np.flatnonzero(counts > 127), "right")] = True
+        kept = ~np.repeat(full, 1 << bits)
+        offsets = np.concatenate([[0], np.cumsum(np.where(full, 0, 1 << bits))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts[kept].astype(np.int8)))
 
     def lists(self, least: float | None = None) -> pa.ListArray:
         """The whole sets, or their prefixes: two sets that are `least` alike share one of these first shingles."""
@@ -110,7 +122,7 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> dict[int, int]:
     drawn = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(part * (1 << 20))) if part < 1 else docs
 
     def apply(batches):
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(Sets(text_of(batch, text), shingle).hashes.view(np.int64))], ["sig"])
 
     often = drawn.select(text).mapInArrow(apply, "sig long").groupBy("sig").count().where(F.col("count") >= COMMON)
@@ -122,15 +134,15 @@ def _sets(docs: DataFrame, text: str, shingle: int, into: str, keep: str = "", l
     others = [c for c in docs.columns if c not in (text, into)]
     schema = T.StructType(
         [docs.schema[c] for c in others]
-        + [T.StructField(into, T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__sim", T.LongType()), T.StructField("__buckets", T.ArrayType(T.IntegerType())), T.StructField("__sigs", T.ArrayType(T.LongType()))]
+        + [T.StructField(into, T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__sim", T.LongType()), T.StructField("__buckets", T.ArrayType(T.ByteType())), T.StructField("__sigs", T.ArrayType(T.LongType()))]
     )
 
     def apply(batches):
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, SLICE):
             sets = Sets(text_of(batch, text), shingle, common)
             n = batch.num_rows
             sims = sets.fingerprints() if keep == "prefix" else np.zeros(n, np.int64)
-            buckets = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BUCKETS), pa.array(sets.histograms(), pa.int32())) if keep == "prefix" else pa.nulls(n, pa.list_(pa.int32()))
+            buckets = sets.histograms() if keep == "prefix" else pa.nulls(n, pa.list_(pa.int8()))
             sigs = sets.lists(None if keep == "set" else least) if keep else pa.nulls(n, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sets.names()), pa.array(sets.sizes, pa.int32()), pa.array(sims), buckets, sigs], schema.names)
 
@@ -151,12 +163,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
+def most_shared(a: str, b: str) -> F.Column:
+    """How many shingles two sets share at most, by their histograms, of which the finer one is halved."""
+    halved = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2).cast("int") - 1), lambda i: F.get(x, 2 * i).cast("int") + F.get(x, 2 * i + 1))
+    even = lambda x, y: F.when(F.size(x) > F.size(y), halved(x)).otherwise(F.col(x).cast("array<int>"))
+    shared = F.aggregate(F.zip_with(even(a, b), even(b, a), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (F.greatest(F.size(a), F.size(b)) > 2 * F.least(F.size(a), F.size(b))), 1 << 30).otherwise(shared)
+
+
 def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: float, shingle: int, distance: int) -> DataFrame:
     """(node, root) of the components that all pairs of sets make that are `least` alike; sets without such a pair have no row.
 
     Candidates are the SimHash links, and sets that share a shingle of their prefixes at places
     that allow the likeness. Histograms rule out most of those that are too unlike, and the
-    rest is verified on the whole sets. A group that shares a shingle is compared with one
+    rest is verified on the whole sets. A group that shares a shingle is compared with one, then with some,
     of its sets first. Sets that are linked by then aren't compared with each other; all pairs
     that remain open are.
     """
@@ -164,8 +184,8 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
 
     def likely(pairs):
         one, two = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"{c}_n"), F.col("buckets").alias(f"{c}_buckets")) for c in "ab")
-        shared = F.aggregate(F.zip_with("a_buckets", "b_buckets", F.least), F.lit(0), lambda x, y: x + y)
-        return pairs.join(one, "a").join(two, "b").where(shared >= need("a_n", "b_n")).select("a", "b")
+        both = pairs.join(one, "a").join(two, "b")
+        return both.where(most_shared("a_buckets", "b_buckets") >= need("a_n", "b_n")).select("a", "b")
 
     def near(pairs):
         pairs = SharedTable(likely(pairs), "candidates").read()
@@ -186,14 +206,17 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         fits = (F.least(size("x"), size("y")) >= F.greatest(size("x"), size("y")) * F.lit(least) - 1e-6) & (F.least(rest("x"), rest("y")) >= (size("x") + size("y")) * F.lit(least / (1 + least)) - 1e-6)
         return _ordered(x.join(y, "sig").where((F.col("x")["root"] != F.col("y")["root"]) & fits).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
 
-    def with_pivot(groups, turn):
-        return pairs_of(groups, groups.groupBy("sig").agg(F.min_by(member, F.xxhash64("fp", F.lit(turn))).alias("p")))
+    def with_pivots(groups, turn, n):
+        if n == 1:
+            return pairs_of(groups, groups.groupBy("sig").agg(F.min_by(member, F.xxhash64("fp", F.lit(turn))).alias("p")))
+        order = Window.partitionBy("sig").orderBy(F.xxhash64("fp", F.lit(turn)))  # a rank limit: each task passes on n rows a group
+        return pairs_of(groups, groups.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).select("sig", member.alias("p")))
 
     def in_full(groups):
         return pairs_of(groups, groups.select("sig", member.alias("p")))
 
     member = F.struct("fp", "n", "pos", "root")
-    first = with_pivot(index.withColumn("root", F.col("fp")), 0).union(simhash_pairs(sets, distance))
+    first = with_pivots(index.withColumn("root", F.col("fp")), 0, 1).union(simhash_pairs(sets, distance))
     edges = near(first.distinct())
     for turn in range(1, PIVOT_ROUNDS + 1):
         roots = SharedTable(connected_components(edges), "roots").read()
@@ -206,7 +229,7 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         groups = SharedTable(rooted.join(still, "sig"), "groups").read()
         last = turn == PIVOT_ROUNDS
         more = in_full(groups if last else groups.where("not large"))
-        more = more if last else more.union(with_pivot(groups.where("large"), turn))
+        more = more if last else more.union(with_pivots(groups.where("large"), turn, PIVOTS))
         # the roots stand for all links so far
         edges = near(more.distinct()).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return connected_components(edges)
@@ -235,11 +258,13 @@ def components(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance:
         index.drop()
     sets = marked.read().groupBy("fp").agg(F.min("id").alias("first"), F.first("__n").alias("n"), F.first("__sim").alias("sim"), F.first("__buckets").alias("buckets"))
     sets = SharedTable(sets, "values").read()
+    names = SharedTable(marked.read().select("id", "fp"), "names").read()
+    marked.drop()
     roots = likeness_roots(rows, sets, index.read().drop("size"), least, shingle, distance)
-    return simhash.with_components(marked.read().select("id", "fp"), lambda _: roots, id_col)
+    return simhash.with_components(names, lambda _: roots, id_col)
 
 
 def deduplicate(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """As `simhash.deduplicate`, with documents linked by the exact likeness of their shingles."""
     found = SharedTable(components(docs, least, shingle, distance, id_col, text), "components").read()
-    return simhash.survivors(docs, found, lambda x: named(x, "__text", shingle, "__fp"), id_col, text)
+    return simhash.survivors(docs, found, lambda x: named(x, "text", shingle, "fp"), id_col, text)

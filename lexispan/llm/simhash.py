@@ -220,11 +220,11 @@ def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: st
     their component has no id at all, one for each such component.
     """
     found = SharedTable(simhash_components(docs, id_col, text, shingle, distance), "components").read()
-    return survivors(docs, found, lambda x: fingerprints(x, "__text", shingle, "__fp"), id_col, text)
+    return survivors(docs, found, lambda x: fingerprints(x, "text", shingle, "fp"), id_col, text)
 
 
 def survivors(docs: DataFrame, found: DataFrame, mark, id_col: str, text: str) -> DataFrame:
-    """The documents that stay of the components; `mark` turns `__text` into `__fp`."""
+    """The documents that stay of the components; `mark` turns a column `text` into `fp`."""
     # a written table: the planner knows its size, and broadcasts it only where it is small
     gone = SharedTable(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone").read()
     kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
@@ -232,8 +232,8 @@ def survivors(docs: DataFrame, found: DataFrame, mark, id_col: str, text: str) -
     if not repeated.isEmpty():
         kept = kept.join(repeated, id_col, "left_anti").union(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
     if not found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).isEmpty():
-        alone = docs.where(F.col(id_col).isNull())
-        marked = mark(alone.withColumn("__text", F.col(text)))
-        free = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-        kept = kept.unionByName(marked.join(free, "__fp").dropDuplicates(["__root"]).select(*docs.columns))
+        # the input's columns travel as one struct, so that no name of theirs can clash
+        alone = docs.where(F.col(id_col).isNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+        free = found.where("component_id is null").select("fp", "root").distinct()
+        kept = kept.unionByName(mark(alone).join(free, "fp").dropDuplicates(["root"]).select("row.*"))
     return kept.select(*docs.columns)

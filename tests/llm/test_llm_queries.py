@@ -58,6 +58,35 @@ def test_pipeline(spark):
     assert rows and all(r["n_tokens"] > 0 for r in rows)
 
 
+@pytest.mark.parametrize("rows", ["edge", "none"])
+def test_pipeline_stages_in_a_row_over_edges(spark, request, rows, tmp_path):
+    """All stages over nulls, empty and long texts, repeats and clashing names, and over an empty table."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (7, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, step, str(tmp_path))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert after.columns == docs.columns, name
+        step = corpus_pipeline.SharedTable(after, "edge").read()
+    assert (step.count() > 0) == (rows == "edge")
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("rows", ["edge", "none"])
+def test_queries_over_edges(spark, request, rows, tmp_path, name):
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (7, 1, 0), (None, 1, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, [1.0, 2.0]), (1, None)] if rows == "edge" else [], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = next(q for n, q in queries.QUERIES.items() if n.startswith(f"{name}_"))
+    found = query(spark, str(tmp_path)).collect()
+    assert len(found) == 0 if rows == "none" or name == "op6" else name == "op3" or len(found) == 13
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
@@ -81,7 +110,7 @@ def test_pipeline_equals_brute_force(spark):
     import pyarrow as pa
     import tiktoken
     from test_mixing import brute_count
-    from test_simhash import brute_components, brute_fingerprint
+    from test_near_copies import brute_components
 
     from lexispan.llm import bpe, secret_scan, toxicity
 
@@ -89,13 +118,8 @@ def test_pipeline_equals_brute_force(spark):
     rows = docs.select("doc_id", "text", "source").collect()
     scores = toxicity.fit(docs, labels).scores(pa.array([r["text"].lower() for r in rows]))
     rows = [r for r, s in zip(rows, scores) if s < 0.3]
-    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
-    roots = brute_components(sorted(set(prints.values())))
-    first = {}
-    for r in rows:
-        root = roots[prints[r["doc_id"]]]
-        first[root] = min(first.get(root, r["doc_id"]), r["doc_id"])
-    rows = [r for r in rows if r["doc_id"] in first.values()]
+    first = brute_components(sorted((r["doc_id"], r["text"]) for r in rows))
+    rows = [r for r in rows if first[r["doc_id"]] == r["doc_id"]]
 
     def redacted(text):
         out, at = "", 0

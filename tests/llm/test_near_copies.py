@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexispan.llm import near_copies
 
@@ -66,6 +67,27 @@ def test_shingles_sets_and_names():
         assert int(mark) & (1 << 64) - 1 == sum(1 << k for k, b in enumerate(bits) if b)
 
 
+def test_histograms_bound_what_sets_share(spark):
+    rng = random.Random(3)
+    texts = []
+    for n in (5, 30, 200, 300, 1000, 1300, 5000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        half = words[: n // 2] + [f"v{rng.randrange(10**6)}" for _ in range(n - n // 2)]
+        texts += [" ".join(words), " ".join(half), " ".join(words[: int(n * 0.9)])]
+    sets = near_copies.Sets(pa.array(texts), 5)
+    members = [set(sets.hashes[sets.rows == i].tolist()) for i in range(len(texts))]
+    rows = [(i, list(map(int, h))) for i, h in enumerate(sets.histograms().to_pylist())]
+    table = spark.createDataFrame(rows, "i int, x array<tinyint>")
+    pairs = table.join(table.selectExpr("i as j", "x as y"), F.expr("i < j")).select("i", "j", near_copies.most_shared("x", "y").alias("most")).collect()
+    for r in pairs:
+        assert r["most"] >= len(members[r["i"]] & members[r["j"]])
+    most = {(r["i"], r["j"]): r["most"] for r in pairs}
+    assert all(most[i, i + 1] < 0.89 * len(members[i]) for i in (6, 9, 12, 15, 18))
+    full = near_copies.Sets(pa.array(["a b c d e f"]), 5)
+    full.hashes, full.rows, full.sizes = np.arange(200, dtype=np.uint64), np.zeros(200, np.int64), np.array([200])
+    assert full.histograms().to_pylist() == [[]]
+
+
 def test_common_shingles_come_last():
     column = pa.array([" ".join(f"w{i}" for i in range(104))])
     values = near_copies.Sets(column, 5).hashes.view(np.int64)
