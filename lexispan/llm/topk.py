@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ._spark import SharedTable
 
 #: Most vectors of a document range and queries of a batch, least vectors of a range (smaller tables get fewer ranges), and vectors of a block.
-RANGE, BATCH, LEAST_RANGE, BLOCK = 32_768, 8_192, 4_096, 32
+RANGE, BATCH, LEAST_RANGE, BLOCK = 32_768, 8_192, 4_096, 128
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
