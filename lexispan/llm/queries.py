@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, license_scan, mixing, resample, secret_scan, simhash, spotsigs, topk, toxicity
+from . import bpe, codebooks, langid, license_scan, mixing, resample, secret_scan, simhash, spotsigs, tiered, topk, toxicity
 from ._spark import load
 
 #: Fixed value: the rank file of the byte-level BPE query.
@@ -71,6 +71,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.encode(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +92,8 @@ QUERIES = {
         op8_importance_resampling,
         op9_spotsigs,
         op10_byte_bpe,
+        op12_tiered_search,
+        op13_vector_codes,
     )
 }
 
@@ -93,4 +103,6 @@ ORACLE_SQL = {
     "op4_license_scan": license_scan.recognise_sql(),
     "op6_block_topk": topk.top_k_sql(),
     "op9_spotsigs": spotsigs.compare_edited_sql(),
+    "op12_tiered_search": tiered.search_sql(),
+    "op13_vector_codes": codebooks.encode_sql(),
 }
