@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codebooks, langid, license_scan, mixing, resample, secret_scan, simhash, spotsigs, tiered, topk, toxicity
+from . import bpe, codebooks, langid, license_scan, mixing, repeats, resample, secret_scan, simhash, spotsigs, tiered, topk, toxicity
 from ._spark import load
 
 #: Fixed value: the rank file of the byte-level BPE query.
@@ -71,6 +71,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op11_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -92,6 +96,7 @@ QUERIES = {
         op8_importance_resampling,
         op9_spotsigs,
         op10_byte_bpe,
+        op11_repeat_removal,
         op12_tiered_search,
         op13_vector_codes,
     )
