@@ -42,6 +42,10 @@ REPLY_LETTERS = "a-zA-ZåÅàâéèêëîïôùûüçœæ\\-'"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANKS = " \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 CONTROL_BLANKS = "\x1c\x1d\x1e\x1f"
+#: White space inside a character class; a pattern's own \\s means ASCII alone.
+SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What ends a headword's first token: for replies, for exact rules, and for the last pass of exact rules.
+REPLY_ENDS, RULE_ENDS, LAST_ENDS = ",;:()\\[\\]", ",;:()\\[\\].!?/", ",;:()\\[\\].!?\\\\/'\"\u00ab\u00bb"
 
 
 def col(x) -> Column:
@@ -54,32 +58,23 @@ def fold(x) -> Column:
     return F.lower(F.replace(F.replace(bare, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")))
 
 
-def _changing(form: str) -> str:
-    """A pattern of the characters that may change or move in a canonical form: marks, what the form rewrites, and parts of Hangul syllables."""
-    codes = [c for c in range(0x80, 0x30000) if unicodedata.combining(chr(c)) or unicodedata.normalize(form, chr(c)) != chr(c) or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2]
-    spans = []
-    for c in codes:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+#: Texts without characters beyond these are in the canonical form already.
+UNCHANGED = {"NFC": r"\x00-\x{2FF}", "NFD": r"\x00-\xBF"}
 
 
 @cache
 def _canonical(form: str):
-    """The pattern of texts that may change, and the function of those; all others never leave the JVM."""
-
     def apply(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
 
-    return _changing(form), F.pandas_udf(apply, "string")
+    return F.pandas_udf(apply, "string")
 
 
 def _in_form(x, form: str) -> Column:
-    pattern, apply = _canonical(form)
+    """The canonical form; texts that can't change (ASCII by their length, others by one range of characters) never leave the JVM."""
     x = col(x)
-    return F.coalesce(apply(F.when(x.rlike(pattern), x)), x)
+    may_change = (F.octet_length(x) > F.length(x)) & x.rlike(f"[^{UNCHANGED[form]}]")
+    return F.coalesce(_canonical(form)(F.when(may_change, x)), x)
 
 
 def decomposed(x) -> Column:
@@ -97,6 +92,11 @@ def strip(x) -> Column:
     return F.btrim(col(x), F.lit(WHITE))
 
 
+def strip_all(x) -> Column:
+    """Without white space at both ends, control characters that count as such included."""
+    return F.btrim(col(x), F.lit(WHITE + CONTROL_BLANKS))
+
+
 def strip_chars(x, chars: str) -> Column:
     return F.rtrim(F.ltrim(col(x), F.lit(chars)), F.lit(chars))
 
@@ -138,9 +138,14 @@ def ring_key(x, wide: bool = False) -> Column:
     return F.translate(F.lower(col(x)), "åâà" if wide else "å", "aaa" if wide else "a")
 
 
-def first_token(x, separators: str = r"[\s,;:()\[\]]") -> Column:
-    """Lower-cased text up to the first separator, without a homograph number in front."""
-    return F.lower(F.get(F.split(F.regexp_replace(F.trim(col(x)), r"^\d+\.\s*", ""), separators), 0))
+def first_token(x, ends: str = REPLY_ENDS, number: bool = True, filled: bool = False) -> Column:
+    """Lower-cased text up to the first white space or end mark, without a homograph number in front if `number`; with `filled` the first token that isn't empty."""
+    out = strip_all(x)
+    if number:
+        out = strip_all(F.regexp_replace(out, rf"^\p{{Nd}}+\.[{SPACES}]*", ""))
+    if filled:
+        out = F.regexp_replace(out, f"^[{SPACES}{ends}]+", "")
+    return F.lower(F.get(F.split(out, f"[{SPACES}{ends}]", 2), 0))
 
 
 def without_tags(x) -> Column:

@@ -5,25 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, strip
+from ..functions.text import SPACES, col, strip, strip_all
 
-#: Patterns of lines that are no text of an entry (in any case).
+#: Patterns of lines that are no text of an entry (in any case), for the two line parsers.
 NOISE_LINE = (
-    r"^\d+\s*$",
-    r"^[IVXivx]+\s*$",
+    rf"^\p{{Nd}}+[{SPACES}]*$",
+    rf"^[IVXivx]+[{SPACES}]*$",
     r"^={3,}",
     r"^-{3,}",
     r"^\*{3,}",
-    r"^table\s+des",
-    r"^index\s+",
+    rf"^table[{SPACES}]+des",
+    rf"^index[{SPACES}]+",
     r"^bibliographie",
-    r"^corrections\s+",
+    rf"^corrections[{SPACES}]+",
     r"^avant-propos",
     r"^introduction",
     r"^abreviations?",
-    r"^tome\s+\d",
+    rf"^tome[{SPACES}]+\p{{Nd}}",
 )
-DIGITS_AND_MARKS = r"^[\d\s.,;:!?()/-]+$"
+NOISE_LINE_LATER = (
+    rf"^\p{{Nd}}+[{SPACES}]*$",
+    rf"^[IVXivx]+[{SPACES}]*$",
+    r"^={2,}",
+    r"^-{3,}",
+    r"^\*{3,}",
+    rf"^table[{SPACES}]+des",
+    rf"^index[{SPACES}]+",
+    r"^bibliographie",
+    r"^avant-propos",
+    r"^introduction",
+    r"^abr.viations?",
+    rf"^corrections?[{SPACES}]",
+    rf"^additions?[{SPACES}]",
+    rf"^tome[{SPACES}]+\p{{Nd}}",
+    rf"^vol\.?[{SPACES}]+\p{{Nd}}",
+)
+DIGITS_AND_MARKS = rf"^[\p{{Nd}}{SPACES}.,;:!?()/-]+$"
+DIGITS_AND_MARKS_LATER = rf"^[\p{{Nd}}{SPACES}.,;:!?()/\[\]-]+$"
 #: Headwords that are noise; read in any case, so any word of one to three letters is.
 NOISE_WORD = (r"^\d+$", r"^[.\-_=+*#]{3,}$", r"^(page|tome|vol\.|fig\.)", r"^\s*$", r"^[A-Z]{1,3}$")
 #: The same for the quick filter, where the first three heed case.
@@ -43,9 +61,11 @@ def _same(word: Column, text: Column) -> Column:
     return (F.length(text) <= F.length(F.lower(word))) & (F.lower(word) == F.lower(text))
 
 
-def noise_line(line) -> Column:
-    x = strip(F.coalesce(col(line), F.lit("")))
-    return (F.length(x) < 2) | _any(x, NOISE_LINE, "(?i)") | x.rlike(DIGITS_AND_MARKS)
+def noise_line(line, later: bool = False) -> Column:
+    """Whether a line is no text of an entry; `later` takes the patterns of the second line parser."""
+    x = strip_all(F.coalesce(col(line), F.lit("")))
+    patterns, marks = (NOISE_LINE_LATER, DIGITS_AND_MARKS_LATER) if later else (NOISE_LINE, DIGITS_AND_MARKS)
+    return (F.length(x) < 2) | _any(x, patterns, "(?iu)") | x.rlike(marks)
 
 
 def noise_entry(word, definition) -> Column:

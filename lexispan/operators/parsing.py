@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, col, strip
+from ..functions.text import SPACES, clean, col, strip, strip_all
 from .layout import line_text
 
 #: Grammar marks; the order matters, as the first that fits is taken.
@@ -147,33 +147,39 @@ def paragraphs(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     found = F.filter(F.transform(F.split("__text", "\n"), strip), lambda x: x != "")
     blocks = blocks.withColumn("__lines", found).where(F.size("__lines") >= 2)
     out = blocks.select(*keys, "block", F.rtrim(F.get("__lines", 0), F.lit(".,;:")).alias("word"), F.array_join(F.slice("__lines", F.lit(2), F.size("__lines")), " ").alias("definition"))
-    return out.where(F.length("word").between(2, 80) & F.col("definition").rlike("[a-záàâéèêëîïôùûüœæçDJ]"))
+    return out.where(F.length("word").between(2, 80) & F.col("definition").rlike(BLOCK_LETTER))
 
 
 #: Patterns of a headword and a definition (a colon or dash behind a capital, capitals, a dash), and headwords that are table heads.
 CAPITALS = "A-ZÁÀÂÉÈÊËÎÏÔÙÛÜŒ"
 ENTRY_PATTERNS = (
-    rf"^([{CAPITALS}][^:\n]{{1,50}}?)\s*[:—]\s*(.+)",
-    rf"^([{CAPITALS}]{{2,}}(?:\s+[a-záàâéèêëîïôùûüœæ.]+)?)\s+(.+)",
-    r"^([^\-—\n]{2,40})\s*[—\-]\s*(.+)",
+    rf"^([{CAPITALS}][^:\n]{{1,50}}?)[{SPACES}]*[:—][{SPACES}]*(.+)",
+    rf"^([{CAPITALS}]{{2,}}(?:[{SPACES}]+[a-záàâéèêëîïôùûüœæ.]+)?)[{SPACES}]+(.+)",
+    rf"^([^\-—\n]{{2,40}})[{SPACES}]*[—\-][{SPACES}]*(.+)",
 )
 TABLE_HEADS = ("page", "liégeois", "français", "wallon", "traduction")
 PAGE_BREAK = r"\n\n--- PAGE \d+ ---\n\n"
 BLOCK_LETTER = "[a-záàâéèêëîïôùûüœæçDJ]"
 
 
-def heuristic_entries(text) -> Column:
-    """(word, definition) of a cleaned text, as an array: by the pattern with the most matches, the first of equals."""
-    text = col(text)
-    found = []
-    for p in ENTRY_PATTERNS:
-        word, definition = (F.regexp_extract_all(text, F.lit("(?md)" + p), i) for i in (1, 2))
-        found.append(F.arrays_zip(word.alias("word"), definition.alias("definition")))
-    best = found[2]
-    for other in reversed(found[:2]):
-        best = F.when(F.size(other) >= F.size(best), other).otherwise(best)
-    tidy = F.transform(best, lambda x: F.struct(F.rtrim(strip(x["word"]), F.lit(".,;:")).alias("word"), strip(x["definition"]).alias("definition")))
-    return F.filter(tidy, lambda x: F.length(x["word"]).between(2, 80) & (F.length(x["definition"]) >= 2) & ~x["word"].rlike(r"^\d+$") & ~F.lower(x["word"]).isin(*TABLE_HEADS))
+def with_pattern_entries(rows: DataFrame, text: str, into: str) -> DataFrame:
+    """The input with an array of (word, definition) of a cleaned text: by the pattern with the most matches, the first of equals.
+
+    Each pattern runs over a text once; only the chosen one's matches are taken apart, each on its own.
+    """
+    names = [f"__found{i}" for i in range(len(ENTRY_PATTERNS))]
+    found = rows.withColumns({n: F.regexp_extract_all(text, F.lit("(?md)" + p), 0) for n, p in zip(names, ENTRY_PATTERNS)})
+    most = F.greatest(*[F.size(n) for n in names])
+
+    def parts(name, pattern):
+        of = lambda m, i: F.regexp_extract(m, "(?md)" + pattern, i)
+        return F.transform(name, lambda m: F.struct(F.rtrim(strip_all(of(m, 1)), F.lit(".,;:")).alias("word"), strip_all(of(m, 2)).alias("definition")))
+
+    chosen = F.lit(None)
+    for n, p in reversed(list(zip(names, ENTRY_PATTERNS))):
+        chosen = F.when(F.size(n) >= most, parts(n, p)).otherwise(chosen)
+    good = lambda x: F.length(x["word"]).between(2, 80) & (F.length(x["definition"]) >= 2) & ~x["word"].rlike(r"^\p{Nd}+$") & ~F.lower(x["word"]).isin(*TABLE_HEADS)
+    return found.withColumn(into, chosen).withColumn(into, F.filter(into, good)).drop(*names)
 
 
 def block_entries(text) -> Column:
@@ -186,7 +192,7 @@ def block_entries(text) -> Column:
 def file_entries(files: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, parser, place, word, definition): of each file's two parses the one with more entries, the patterns' one of equals."""
     whole = files.select(*keys, clean(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), PAGE_BREAK, "\n\n")).alias("__text"))
-    both = whole.select(*keys, heuristic_entries("__text").alias("__a"), block_entries("__text").alias("__b"))
+    both = with_pattern_entries(whole, "__text", "__a").withColumn("__b", block_entries("__text"))
     first = F.size("__a") >= F.size("__b")
     chosen = both.select(*keys, F.when(first, "patterns").otherwise("blocks").alias("parser"), F.posexplode(F.when(first, F.col("__a")).otherwise(F.col("__b"))).alias("place", "__e"))
     return chosen.select(*keys, "parser", "place", "__e.word", "__e.definition")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, first_token
+from ..functions.text import LAST_ENDS, REPLY_ENDS, RULE_ENDS, SPACES, col, first_token, strip_all
 
 #: Letters that a plain vowel of a rule's key stands for; with damaged letters, and for typed entries.
 VOWELS = {"a": "[aàâäå\ufffd]", "e": "[eéèêë]", "i": "[iîï]", "o": "[oô]", "u": "[uûù]"}
@@ -14,8 +21,6 @@ TYPED_VOWELS = {"a": "[aàâå]", "e": "[eéèêë]", "i": "[iîï]", "o": "[oô
 LETTERS = "a-zA-Zàâäáéèêëîïíôöóûùüúçœæå"
 STRICT = "a-zàâéèêëîïôùûüçœæåÅ'\\-\ufffd"
 TYPED_STRICT = "a-zA-ZàâéèêëîïôùûüœæçåÅ\\-'"
-#: Most rules that are unrolled as literal patterns; more are folded from an array.
-UNROLLED = 200
 #: Most rows of a rule table that is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -25,40 +30,134 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
-def fix_first_token(rows: DataFrame, rules: DataFrame, word: str, separators: str = r"[\s,;:()\[\]]") -> DataFrame:
-    """The input with the leading token rewritten where it is a rule's key (left join), and `matched`."""
-    token = rows.withColumn("__token", first_token(word, separators))
+class TokenForm(NamedTuple):
+    """How the leading token is cut, and where it is replaced."""
+
+    ends: str
+    number: bool = True  # a homograph number stands in front of it
+    filled: bool = False  # empty tokens in front are skipped
+    least: int = 3  # shorter tokens are left alone
+    anywhere: bool = False  # replaced where it first stands in its lower-case form, not at the front in any case
+
+
+#: The forms of the passes: replies, exact rules, the last pass, and the pass whose rest goes to contained rules.
+REPLY_FORM, RULE_FORM, LAST_FORM = TokenForm(REPLY_ENDS, least=1), TokenForm(RULE_ENDS), TokenForm(LAST_ENDS, filled=True)
+FIRST_FORM = TokenForm(RULE_ENDS.replace("/", ""), number=False, least=1, anywhere=True)
+
+
+def fix_first_token(rows: DataFrame, rules: DataFrame, word: str, form: TokenForm = RULE_FORM) -> DataFrame:
+    """The input with the leading token rewritten where it is a rule's key (left join), and `matched`. A word that changes loses white space at its ends."""
+    token = rows.withColumn("__token", first_token(word, form.ends, form.number, form.filled))
     joined = token.join(small(rules.select(F.col("key").alias("__token"), "val")), "__token", "left")
-    pattern = F.concat(F.lit(r"(?iu)^(\d+\.\s*)?"), F.lit(r"\Q"), F.col("__token"), F.lit(r"\E"))
-    fixed = F.when(F.col("val").isNotNull(), F.regexp_replace(F.col(word), pattern, F.concat(F.lit("$1"), F.col("val")))).otherwise(F.col(word))
-    return joined.withColumn(word, fixed).withColumn("matched", F.col("val").isNotNull()).drop("__token", "val")
+    whole, key, val = strip_all(word), F.col("__token"), F.col("val")
+    if form.anywhere:
+        at = F.instr(F.col(word), key)
+        fixed = F.when(at > 0, F.concat(F.left(F.col(word), at - 1), val, F.substr(F.col(word), at + F.length(key))))
+    else:
+        front = F.regexp_extract(whole, rf"^\p{{Nd}}+\.[{SPACES}]*", 0)
+        rest = F.substr(whole, F.length(front) + 1)
+        fixed = F.when(F.lower(F.left(rest, F.length(key))) == key, F.concat(front, val, F.substr(rest, F.length(key) + 1)))
+    matched = F.coalesce(val.isNotNull() & (F.length(key) >= form.least), F.lit(False))
+    return joined.withColumn("matched", matched).withColumn(word, F.coalesce(F.when(F.col("matched"), fixed), word)).drop("__token", "val")
+
 
+def fix_first_or_contained(rows: DataFrame, rules: DataFrame, word: str) -> DataFrame:
+    """The input with corrected words, `original`, the `source` of the correction ("first token", "inside" or null) and the `rule` that was found inside.
+
+    The leading token is looked up first; words that this leaves as they are get the first contained rule.
+    """
+    first = fix_first_token(rows.withColumn("__original", F.col(word)), rules, word, FIRST_FORM).drop("matched")
+    by_token = ~F.col(word).eqNullSafe(F.col("__original"))
+    open_ = first.withColumns({"__first": F.when(by_token, F.col(word)), "__open": F.when(~by_token, F.col(word))})
+    out = rewrite_contained(open_, rules, "__open")
+    inside = F.col("key").isNotNull()
+    source = F.when(F.col("__first").isNotNull(), "first token").when(inside, "inside")
+    out = out.withColumns({word: F.coalesce("__first", "fixed"), "source": source, "rule": F.col("key"), "original": F.col("__original")})
+    return out.select(*rows.columns, "original", "source", "rule")
 
-def rule_pattern(key: str, boundary: str = LETTERS, vowels: dict[str, str] | None = None) -> str:
+
+def _folded(text: str, letters: dict[int, str | None]) -> str:
+    """A form in which all letters that a rule's letter may match are alike; further ones may be alike, too."""
+    return text.upper().casefold().translate(letters)
+
+
+class Rewriter:
+    """Every rule in turn on one text, where only rules that occur are tried.
+
+    An automaton over the folded keys names the rules that may match a text in one pass. They are
+    applied in order; what a rule writes is searched again around the places that it changed,
+    as only there a later rule's match can be new.
+    """
+
+    def __init__(self, rules: list[tuple[str, str]], boundary: str, vowels: dict[str, str] | None):
+        self.rules = sorted((r for r in rules if r[0] and not (vowels and r[0] == r[1].lower())), key=lambda r: -len(r[0]))
+        self.boundary, self.vowels, self.patterns = boundary, vowels, {}
+        alike = {ord(x): k for k, letters in (vowels or {}).items() for x in letters.strip("[]").casefold()}
+        self.letters = alike | {0x307: None}
+        self.reach = 1 + 2 * max((len(k) for k, _ in self.rules), default=0)
+        numbers: dict[str, list[int]] = {}
+        for i, (key, _) in enumerate(self.rules):
+            numbers.setdefault(_folded(key, self.letters), []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for key, found in numbers.items():
+            self.automaton.add_word(key, found)
+        if numbers:
+            self.automaton.make_automaton()
+
+    def may_match(self, text: str) -> set[int]:
+        return {i for _, found in self.automaton.iter(_folded(text, self.letters)) for i in found}
+
+    def pattern(self, rule: int) -> re.Pattern:
+        if rule not in self.patterns:
+            self.patterns[rule] = re.compile(rule_pattern(self.rules[rule][0], self.boundary, self.vowels), re.IGNORECASE)
+        return self.patterns[rule]
+
+    def __call__(self, text: str | None) -> str | None:
+        if text is None or not self.rules:
+            return text
+        waiting = sorted(self.may_match(text))
+        known = set(waiting)
+        while waiting:
+            rule = heapq.heappop(waiting)
+            key, form = self.rules[rule]
+            places, last, shift = [], 0, 0
+            pieces = []
+            for m in self.pattern(rule).finditer(text):
+                pieces += [text[last : m.start()], form]
+                places.append((m.start() + shift, m.start() + shift + len(form)))
+                shift += len(form) - (m.end() - m.start())
+                last = m.end()
+            if not places:
+                continue
+            text = "".join(pieces) + text[last:]
+            for a, b in places:
+                for other in self.may_match(text[max(0, a - self.reach) : b + self.reach]) - known:
+                    if other > rule:
+                        known.add(other)
+                        heapq.heappush(waiting, other)
+        return text
+
+
+def rule_pattern(key: str, boundary: str, vowels: dict[str, str] | None = None) -> str:
     """A key between borders; `vowels` says which letters a plain vowel stands for."""
-    quoted = lambda c: c if c.isalnum() else r"\Q" + c + r"\E"
-    body = "".join((vowels or {}).get(c) or quoted(c) for c in (key.lower() if vowels else key))
-    return f"(?iu)(?<![{boundary}]){body}(?![{boundary}])"
+    body = "".join((vowels or {}).get(c) or re.escape(c) for c in (key.lower() if vowels else key))
+    return f"(?<![{boundary}]){body}(?![{boundary}])"
 
 
 def rewrite(text, rules: list[tuple[str, str]], boundary: str = LETTERS, vowels: dict[str, str] | None = None) -> Column:
     """Every rule in turn, longest keys first and then in list order; a rule sees what earlier ones wrote.
 
     The replacement is the rule's form in its own case. With `vowels`, rules whose form is
-    their key are left out. Rows that no key matches skip the fold.
+    their key are left out, and so are rules without a key. A text costs one pass and what its own rules cost, however many rules there are.
     """
-    ordered = sorted((r for r in rules if not vowels or r[0] != r[1].lower()), key=lambda r: -len(r[0]))
-    patterns = [(rule_pattern(k, boundary, vowels), v.replace("\\", "\\\\").replace("$", "\\$")) for k, v in ordered]
-    text = col(text)
-    if len(patterns) <= UNROLLED:
-        out = text
-        for p, v in patterns:
-            out = F.regexp_replace(out, p, v)
-    else:
-        table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(v).alias("v")) for p, v in patterns])
-        out = F.aggregate(table, text, lambda acc, r: F.regexp_replace(acc, r["p"], r["v"]))
-    touched = "(?iu)" + "|".join(p.removeprefix("(?iu)") for p, _ in patterns)
-    return F.when(text.rlike(touched), out).otherwise(text) if patterns else text
+
+    def apply(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rewriter = Rewriter(rules, boundary, vowels)
+        for part in texts:
+            yield part.map(rewriter, na_action="ignore")
+
+    apply.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(apply, "string")(col(text))
 
 
 def rewrite_typed(rows: DataFrame, rules: list[tuple[str, str]], word: str = "word", definition: str = "definition", kind: str = "type", marked: str = "a_ring_corrected") -> DataFrame:

@@ -6,23 +6,38 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import noise, quality
-from .registration import load, query, sql_clean
+from .registration import load, query, sql_clean, sql_pattern
 
 HEAD = "split_part(text, ' ', 1)"
-LINES = "SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
+#: Documents whose sentences become lines, with lines of noise between them that hold no-break spaces.
+NOISY = ("12\u00a034", "index\u00a0x", "== x", "[12]", "Additions\u00a0", "table \u2003 des x", "vol. 3", "xiv\u00a0", "12 a")
+SQL_NOISY = f"replace(text, '. ', '.' || chr(10) || CASE doc_id % {len(NOISY)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(NOISY))} END || chr(10))"
+LINES = f"SELECT doc_id, unnest(string_split({SQL_NOISY}, chr(10))) AS line FROM documents"
 
 
 def _lines(spark, sf_dir):
+    noise_between = F.get(F.array(*[F.lit(f".\n{x}\n") for x in NOISY]), (F.col("doc_id") % len(NOISY)).cast("int"))
     docs = load(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", F.explode(F.split(F.replace(F.col("text"), F.lit(". "), noise_between), "\n")).alias("line"))
 
 
-@query(f"""WITH l AS ({LINES}) SELECT doc_id, count(*) AS lines, count_if(length(trim(line)) < 2 OR regexp_matches(trim(line), '(?i)^([0-9]+\\s*$|[ivx]+\\s*$|={{3,}}|-{{3,}}|\\*{{3,}}|table\\s+des|index\\s+|bibliographie|corrections\\s+|avant-propos|introduction|abreviations?|tome\\s+[0-9])')
- OR regexp_full_match(trim(line), '[0-9\\s.,;:!?()/-]+')) AS noise FROM l GROUP BY doc_id""")
+def _sql_noise(patterns, marks) -> str:
+    line = f"regexp_replace(line, '^[{sql_pattern(text.SPACES)}]+|[{sql_pattern(text.SPACES)}]+$', '', 'g')"
+    return f"WITH l AS (SELECT doc_id, {line} AS line FROM ({LINES})) SELECT doc_id, count(*) AS lines, count_if(length(line) < 2 OR regexp_matches(line, '(?i)(?:{sql_pattern('|'.join(patterns))})') OR regexp_matches(line, '{sql_pattern(marks)}')) AS noise FROM l GROUP BY doc_id"
+
+
+@query(_sql_noise(noise.NOISE_LINE, noise.DIGITS_AND_MARKS))
 def f3_noise_lines(spark, sf_dir):
+    """Lines of each document, and how many are noise to the first line parser."""
     return _lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(noise.noise_line("line")).alias("noise"))
 
 
+@query(_sql_noise(noise.NOISE_LINE_LATER, noise.DIGITS_AND_MARKS_LATER))
+def f3_noise_lines_later(spark, sf_dir):
+    """The same for the second line parser, which takes more lines as noise."""
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(noise.noise_line("line", later=True)).alias("noise"))
+
+
 @query(f"""SELECT doc_id FROM (SELECT doc_id, {HEAD} AS w, substr(text, length({HEAD}) + 2) AS d FROM documents)
 WHERE w = '' OR length(trim(d)) < 3 OR lower(w) = lower(d) OR regexp_matches(w, '(?i)^([0-9]+$|[.\\-_=+*#]{{3,}}$|page|tome|vol\\.|fig\\.|\\s*$|[A-Z]{{1,3}}$)')""")
 def f4_noise_entries(spark, sf_dir):

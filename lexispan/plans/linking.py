@@ -6,24 +6,63 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dedup, rules
-from .registration import load, query
+from .registration import load, query, sql_pattern
 
 #: Rules of the queries, in order.
 RULES = [("the", "thé"), ("and", "ånd"), ("reon", "réon"), ("éon", "eôn")]
 VALUES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(RULES))
 HEAD = "split_part(text, ' ', 1)"
-BORDER = "a-zA-Zàâäáéèêëîïíôöóûùüúçœæå"
+BORDER = rules.LETTERS
 
 
 def _rules(spark, rows=RULES):
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(rows)], "ord int, key string, val string")
 
 
-@query(f"""WITH r(ord, key, val) AS (VALUES {VALUES}), t AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[\\s,;:()\\[\\]]')[1] AS token FROM documents)
-SELECT doc_id, CASE WHEN val IS NULL THEN text ELSE val || substr(text, length(token) + 1) END AS fixed, val IS NOT NULL AS matched FROM t LEFT JOIN r ON token = key""")
+#: Headwords with each kind of end behind the first token; some have a number in front, some marks, and "of" is a key that is too short.
+TOKEN_RULES = [*RULES, ("of", "òf"), ("that", "thåt")]
+TOKEN_VALUES = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(TOKEN_RULES))
+HEADS, ENDS, FRONTS = ("The", "of", "THAT", "a and"), (". x", "/x", " \u00bb", "\u00a0x", "! the", "\\x"), ("", "3. ", "\u00ab", "12.\u00a0")
+SQL_WORDS = f"""SELECT doc_id, CASE doc_id // 24 % {len(FRONTS)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FRONTS))} END || CASE doc_id % {len(HEADS)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(HEADS))} END
+ || CASE doc_id // 4 % {len(ENDS)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ENDS))} END || {HEAD} AS word FROM documents"""
+
+
+def _words(spark, sf_dir):
+    pick = lambda xs, by: F.get(F.array(*[F.lit(x) for x in xs]), (by % len(xs)).cast("int"))
+    i = F.col("doc_id")
+    word = F.concat(pick(FRONTS, F.floor(i / 24)), pick(HEADS, i), pick(ENDS, F.floor(i / 4)), F.get(F.split("text", " "), 0))
+    return load(spark, sf_dir, "documents").select("doc_id", word.alias("word"))
+
+
+def _sql_token(ends: str, filled: bool = False) -> str:
+    ends, spaces = sql_pattern(ends), sql_pattern(text.SPACES)
+    base = f"regexp_replace(word, '^[0-9]+\\.[{spaces}]*', '')"
+    token = f"lower(regexp_split_to_array({f"regexp_replace({base}, '^[{spaces}{ends}]+', '')" if filled else base}, '[{spaces}{ends}]')[1])"
+    return f"""WITH r(ord, key, val) AS (VALUES {TOKEN_VALUES}), t AS (SELECT doc_id, word, {base} AS rest, {token} AS token FROM ({SQL_WORDS}))
+SELECT doc_id, CASE WHEN val IS NOT NULL AND lower(left(rest, length(token))) = token THEN left(word, length(word) - length(rest)) || val || substr(rest, length(token) + 1) ELSE word END AS fixed, val IS NOT NULL AS matched FROM t LEFT JOIN r ON token = key AND length(key) >= 3"""
+
+
+@query(_sql_token(text.RULE_ENDS))
 def j1_token_fix(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return rules.fix_first_token(docs, _rules(spark), "text").select("doc_id", F.col("text").alias("fixed"), "matched")
+    """The leading token by exact rules, behind a homograph number and up to any of its ends."""
+    return rules.fix_first_token(_words(spark, sf_dir), _rules(spark, TOKEN_RULES), "word").select("doc_id", F.col("word").alias("fixed"), "matched")
+
+
+@query(_sql_token(text.LAST_ENDS, filled=True))
+def j1_last_token_fix(spark, sf_dir):
+    """The last pass: more ends, and the first token that isn't empty is looked up; it is rewritten at the front alone."""
+    return rules.fix_first_token(_words(spark, sf_dir), _rules(spark, TOKEN_RULES), "word", rules.LAST_FORM).select("doc_id", F.col("word").alias("fixed"), "matched")
+
+
+@query(f"""WITH r(ord, key, val) AS (VALUES {TOKEN_VALUES}), w AS (SELECT doc_id, word, lower(regexp_split_to_array(word, '[{sql_pattern(text.SPACES + text.RULE_ENDS.replace("/", ""))}]')[1]) AS token FROM ({SQL_WORDS})),
+a AS (SELECT doc_id, word, CASE WHEN val IS NOT NULL AND contains(word, token) THEN left(word, strpos(word, token) - 1) || val || substr(word, strpos(word, token) + length(token)) ELSE word END AS first FROM w LEFT JOIN r ON token = key),
+f AS (SELECT doc_id, ord, key, left(word, strpos(lower(word), key) - 1) || val || substr(word, strpos(lower(word), key) + length(key)) AS fixed, word FROM a JOIN r ON first = word AND contains(lower(word), key) AND left(translate(lower(word), 'å', 'a'), length(key)) <> key),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM f WHERE fixed <> word)
+SELECT a.doc_id, a.word AS original, CASE WHEN first <> a.word THEN first ELSE coalesce(h.fixed, a.word) END AS word, CASE WHEN first <> a.word THEN 'first token' WHEN h.key IS NOT NULL THEN 'inside' END AS source, h.key AS rule
+FROM a LEFT JOIN h ON h.doc_id = a.doc_id AND h.n = 1""")
+def j1_then_j2(spark, sf_dir):
+    """Each headword's correction with its source: by the leading token, or else by the first rule inside it."""
+    return rules.fix_first_or_contained(_words(spark, sf_dir), _rules(spark, TOKEN_RULES), "word")
 
 
 #: Rules of two to six letters, in order.

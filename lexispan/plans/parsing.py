@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import flow, layout, parsing, ranking, restructure
-from .registration import load, query, sql_clean
+from .registration import load, query, sql_clean, sql_pattern
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, value, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value, event_id) AS n FROM events),
@@ -146,10 +146,10 @@ def p15_paragraphs(spark, sf_dir):
 
 
 #: Documents as files: of some the patterns find most entries, of others the blocks; digits, short words and table heads are among the headwords.
-RAW_FILE = """CASE doc_id % 4 WHEN 0 THEN replace(replace(text, '. ', chr(10)), ', ', ' : ') WHEN 1 THEN replace(text, '. ', '.' || chr(10) || chr(10) || '--- PAGE ' || doc_id || ' ---' || chr(10) || chr(10) || 'Page : x' || chr(10) || '12 - y' || chr(10))
+RAW_FILE = """CASE doc_id % 4 WHEN 0 THEN replace(replace(text, '. ', chr(10)), ', ', chr(160) || ': ' || chr(160)) WHEN 1 THEN replace(text, '. ', '.' || chr(10) || chr(10) || '--- PAGE ' || doc_id || ' ---' || chr(10) || chr(10) || 'Page : x' || chr(10) || '12 - y' || chr(10))
  WHEN 2 THEN replace(text, ', ', chr(10) || 'ÉTÉ de ') ELSE replace(text, '. ', ' — ') END"""
 SQL_FILE_ENTRIES = f"""WITH f AS (SELECT doc_id, {sql_clean(f"regexp_replace({RAW_FILE}, '{parsing.PAGE_BREAK}', chr(10) || chr(10), 'g')")} AS t FROM documents),
-m AS (SELECT doc_id, t, {', '.join(f"regexp_extract_all(t, '(?m){p}', {i}) AS {'abc'[n]}{i}" for n, p in enumerate(parsing.ENTRY_PATTERNS) for i in (1, 2))} FROM f),
+m AS (SELECT doc_id, t, {', '.join(f"regexp_extract_all(t, '(?m){sql_pattern(p)}', {i}) AS {'abc'[n]}{i}" for n, p in enumerate(parsing.ENTRY_PATTERNS) for i in (1, 2))} FROM f),
 h AS (SELECT doc_id, t, CASE WHEN len(a1) >= len(b1) AND len(a1) >= len(c1) THEN list_zip(a1, a2) WHEN len(b1) >= len(c1) THEN list_zip(b1, b2) ELSE list_zip(c1, c2) END AS found FROM m),
 e AS (SELECT doc_id, t, list_filter(list_transform(found, lambda x: {{'word': rtrim(trim(x[1]), '.,;:'), 'definition': trim(x[2])}}), lambda x: length(x.word) BETWEEN 2 AND 80 AND length(x.definition) >= 2 AND NOT regexp_full_match(x.word, '[0-9]+') AND lower(x.word) NOT IN ('page', 'liégeois', 'français', 'wallon', 'traduction')) AS a,
  list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(t, '\\n\\n+'), lambda b: list_filter(list_transform(string_split(b, chr(10)), lambda y: trim(y)), lambda y: y <> '')), lambda ls: len(ls) >= 2), lambda ls: {{'word': rtrim(ls[1], '.,;:'), 'definition': array_to_string(ls[2:], ' ')}}),
@@ -160,7 +160,7 @@ def _files(spark, sf_dir):
     text_, number = F.col("text"), F.col("doc_id").cast("string")
     put = lambda x, a, b: F.replace(x, F.lit(a), b if not isinstance(b, str) else F.lit(b))
     body = (
-        F.when(F.col("doc_id") % 4 == 0, put(put(text_, ". ", "\n"), ", ", " : "))
+        F.when(F.col("doc_id") % 4 == 0, put(put(text_, ". ", "\n"), ", ", "\u00a0: \u00a0"))
         .when(F.col("doc_id") % 4 == 1, put(text_, ". ", F.concat(F.lit(".\n\n--- PAGE "), number, F.lit(" ---\n\nPage : x\n12 - y\n"))))
         .when(F.col("doc_id") % 4 == 2, put(text_, ", ", "\nÉTÉ de "))
         .otherwise(put(text_, ". ", " — "))
@@ -172,7 +172,8 @@ def _files(spark, sf_dir):
 def p14_pattern_entries(spark, sf_dir):
     """Headwords and definitions of whole files by the pattern that fits most."""
     whole = _files(spark, sf_dir).select("doc_id", text.clean(F.regexp_replace("text", parsing.PAGE_BREAK, "\n\n")).alias("text"))
-    return whole.select("doc_id", F.posexplode(parsing.heuristic_entries("text")).alias("place", "e")).select("doc_id", "place", "e.word", "e.definition")
+    found = parsing.with_pattern_entries(whole, "text", "found")
+    return found.select("doc_id", F.posexplode("found").alias("place", "e")).select("doc_id", "place", "e.word", "e.definition")
 
 
 @query(SQL_FILE_ENTRIES + """, c AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN 'patterns' ELSE 'blocks' END AS parser, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS es FROM e),

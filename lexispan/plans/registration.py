@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
@@ -22,6 +24,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_pattern(pattern: str) -> str:
+    """A pattern as a part of DuckDB's SQL text: its way to write code points, and doubled quotes."""
+    return re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", pattern).replace("'", "''")
+
+
 def sql_clean(x: str) -> str:
     """DuckDB's form of `functions.text.clean`."""
     x = f"nfc_normalize({x})"
