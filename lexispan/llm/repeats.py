@@ -18,7 +18,7 @@ from ._text import RangeHash, byte_view, chunks, mixed, text_of
 #: Shortest string that counts as repeated, and the length of the anchors that meet in one task.
 LEAST, GRAM = 50, 16
 #: Text bytes whose anchors share a bucket, fewest buckets, and anchors or segments that a task gathers before it sends them.
-BUCKET_BYTES, LEAST_BUCKETS, GATHERED = 16 << 20, 128, 1 << 19
+BUCKET_BYTES, LEAST_BUCKETS, GATHERED = 16 << 20, 64, 1 << 19
 #: Symbols of the index beyond the 256 bytes: what lies outside an indexed text, and outside a streamed one.
 OUTSIDE, BEYOND, FIRST_CELL = 256, 257, 258
 
@@ -149,13 +149,15 @@ def _least(of: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def _packed(**columns: np.ndarray) -> bytes:
-    return np.array([len(next(iter(columns.values())))], "<i8").tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values())
+    """The columns one behind the other, compressed: places, ids and bytes of texts are far from random."""
+    raw = np.array([len(next(iter(columns.values())))], "<i8").tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values())
+    return zstandard.compress(raw, 1)
 
 
 def _unpacked(blobs, **kinds) -> list[np.ndarray]:
     """The columns of all blobs; kinds: dtype, or dtype and width."""
     parts = {k: [] for k in kinds}
-    for blob in blobs:
+    for blob in map(zstandard.decompress, blobs):
         n, at = int(np.frombuffer(blob, "<i8", 1)[0]), 8
         for name, kind in kinds.items():
             dtype, width = kind if isinstance(kind, tuple) else (kind, 1)
@@ -356,7 +358,7 @@ def _spans(least: int, gram: int):
             some = high > low
             doc, sig, place = doc[some], sig[some], place[some].astype(np.int64)
             start, stop = place + low[some], place + high[some]
-        return pd.DataFrame({"__doc": doc, "__sig": sig, "start": start.astype(np.int64), "stop": stop.astype(np.int64)})
+        return pd.DataFrame({"__doc": doc, "__sig": sig, "span": start.astype(np.int64) << 32 | stop.astype(np.int64)})
 
     return apply
 
@@ -365,7 +367,7 @@ def _compressed(rows: DataFrame) -> DataFrame:
     """Texts as zstandard frames, for their way through a shuffle."""
 
     def apply(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in chunks([batch], "__text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack.compress(t) for t in pc.cast(text_of(part, "__text"), pa.binary()).to_pylist()], pa.binary())], ["__doc", "__sig", "packed"])
@@ -379,7 +381,7 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(__doc, __sig, spans): ranges of each document's bytes that an earlier document holds in strings of `least` bytes; they may overlap.
+    """(__doc, __sig, spans): ranges of each document's bytes that an earlier document holds in strings of `least` bytes, as start * 2**32 + end; they may overlap.
 
     Every string of `least` bytes has an anchor (a string of `gram` bytes chosen by its content), so equal strings meet under the same
     anchor. Anchors are dealt to buckets by hash; those that one document alone holds go no further. The surroundings of the others, all that a string of `least`
@@ -394,15 +396,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = entries.groupBy("bucket", "kind").applyInPandas(_shared_places, "__doc long, __sig int, place int")
     places = shared.groupBy("__doc", "__sig").agg(F.collect_set("place").alias("places"))
     joined = _compressed(rows).join(places, ["__doc", "__sig"]).select("__doc", "__sig", "packed", "places")
-    found = _segments(joined, buckets, least, gram).groupBy("bucket", "kind").applyInPandas(_spans(least, gram), "__doc long, __sig int, start long, stop long")
-    return found.groupBy("__doc", "__sig").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = _segments(joined, buckets, least, gram).groupBy("bucket", "kind").applyInPandas(_spans(least, gram), "__doc long, __sig int, span long")
+    return found.groupBy("__doc", "__sig").agg(F.collect_set("span").alias("spans"))
 
 
-def without(data: bytes, spans) -> tuple[bytes, int, int]:
+def without(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, int, int]:
     """What is left of the bytes, how many went, and in how many runs."""
     change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, spans[:, 0], 1)
-    np.add.at(change, spans[:, 1], -1)
+    np.add.at(change, starts, 1)
+    np.add.at(change, stops, -1)
     gone = np.cumsum(change[:-1]) > 0
     runs = int(np.count_nonzero(np.diff(np.append(0, gone.astype(np.int8))) == 1))
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
@@ -424,8 +426,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             out = []
             for packed, spans in zip(batch.column(1), batch.column(2)):
                 data = unpack.decompress(packed.as_py())
-                pairs = np.column_stack([spans.values.field(i).to_numpy() for i in (0, 1)]) if spans.is_valid else np.zeros((0, 2), np.int64)
-                kept, removed, runs = without(data, pairs)
+                both = spans.values.to_numpy() if spans.is_valid else np.zeros(0, np.int64)
+                kept, removed, runs = without(data, both >> 32, both & 0xFFFFFFFF)
                 out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: len(schema) - 1]], schema.names)
