@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a range of the key; each range is numbered on its own, and only the ranges' counts are put in order.
-RANGE = 100_000
+from .stored import stored
+
+#: Rows of a range of an order, about; each is sorted on its own, and only the ranges' counts are put in order.
+RANGE = 1_000_000
+#: What a row's place takes of the number that Spark gives it within its partition.
+PLACE_BITS = 33
 
 
 def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0, into: str = "rank") -> DataFrame:
@@ -15,46 +19,40 @@ def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0, into:
     return top.withColumn(into, F.row_number().over(Window.orderBy(*order))).where(F.col(into) > offset)
 
 
-def _ranges(rows: DataFrame, key: str) -> tuple[list[int], DataFrame]:
-    """Upper ends of ranges of about RANGE rows each, and the input with the number of its range."""
-    n = rows.count()
-    parts = -(-n // RANGE)
-    uppers = sorted(set(rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
-    bounds = F.array(*[F.lit(x).cast("long") for x in uppers]).cast("array<long>")
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range((len(uppers) + 1).bit_length()))])
-    # how many upper ends lie below the key, by binary search
-    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) < F.col(key), at + s).otherwise(at))
-    return uppers, rows.withColumn("__part", below)
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with `__range` and, within it, `__place` from 0: ranges follow each other in the order, and hold about RANGE rows each.
 
+    One range exchange and a sort in each partition; written down, so that a range and its summary are the same however
+    often they are read. Rows that tie in the whole order share a range.
+    """
+    parts = max(1, -(-rows.count() // RANGE))
+    number = F.monotonically_increasing_id()  # the partition, and the place in it
+    sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__number", number)
+    cut = sorted_.withColumns({"__range": F.shiftright("__number", PLACE_BITS), "__place": F.col("__number").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
+    return stored(cut.drop("__number"), "ranged")
 
-def numbered(rows: DataFrame, key: str, into: str = "number") -> DataFrame:
-    """Rows numbered from 0 in the order of an integer key that has no repeats and no nulls.
 
-    The order is cut in ranges of about RANGE rows at quantiles of the key, so outlying keys
-    don't crowd a range; a range's first number is the sum of the counts of those before
-    it, and rows are numbered within their range alone.
-    """
-    uppers, parted = _ranges(rows, key)
-    if not uppers:
-        return rows.withColumn(into, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
-    counts = parted.groupBy("__part").count()
-    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    # a row for each RANGE of the input
-    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return parted.join(starts, "__part").withColumn(into, (F.col("__before") + inside).cast("long")).drop("__part", "__before")
+def _starts(parted: DataFrame) -> DataFrame:
+    """(__of, __before, __count): the number of rows in front of each range, and in it; a row for each range."""
+    counts = parted.groupBy("__range").count()
+    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(F.col("__range").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"), F.col("count").alias("__count"))
+
+
+def numbered(rows: DataFrame, key: str, into: str = "number") -> DataFrame:
+    """Rows numbered from 0 in the order of a key that has no repeats and no nulls: what stands in front of its range, and its place there."""
+    parted = ranged(rows, [key])
+    starts = _starts(parted).drop("__count")
+    return parted.join(starts, parted["__range"] == starts["__of"]).withColumn(into, F.col("__before") + F.col("__place")).drop("__range", "__place", "__of", "__before")
 
 
 def at_place(rows: DataFrame, key: str, place: int, into: str = "number") -> DataFrame:
-    """The row that `numbered` gives the number `place`: only the range that holds it is put in order."""
-    _, parted = _ranges(rows, key)
-    before = 0
-    for part, n in sorted(map(tuple, parted.groupBy("__part").count().collect())):
-        if before + n > place:
-            inside = page(parted.where(F.col("__part") == part), [F.col(key).asc()], 1, place - before, "__rank")
-            return inside.withColumn(into, F.lit(place).cast("long")).drop("__part", "__rank")
-        before += n
-    return rows.where(F.lit(False)).withColumn(into, F.lit(place).cast("long"))
+    """The row that `numbered` gives the number `place`: only the range that holds it is read again."""
+    parted = ranged(rows, [key])
+    holds = (F.col("__before") <= place) & (F.col("__before") + F.col("__count") > place)
+    at = _starts(parted).where(holds).first()  # one row
+    wanted = (F.col("__range") == at["__of"]) & (F.col("__place") == place - at["__before"]) if at else F.lit(False)
+    return parted.where(wanted).drop("__range", "__place").withColumn(into, F.lit(place).cast("long"))
 
 
 def head_and_tail(rows: DataFrame, key: str, n: int, above: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LAST_ENDS, REPLY_ENDS, RULE_ENDS, SPACES, col, first_token, strip_all
+from .stored import stored
 
 #: Letters that a plain vowel of a rule's key stands for; with damaged letters, and for typed entries.
 VOWELS = {"a": "[aàâäå\ufffd]", "e": "[eéèêë]", "i": "[iîï]", "o": "[oô]", "u": "[uûù]"}
@@ -21,8 +22,8 @@ TYPED_VOWELS = {"a": "[aàâå]", "e": "[eéèêë]", "i": "[iîï]", "o": "[oô
 LETTERS = "a-zA-Zàâäáéèêëîïíôöóûùüúçœæå"
 STRICT = "a-zàâéèêëîïôùûüçœæåÅ'\\-\ufffd"
 TYPED_STRICT = "a-zA-ZàâéèêëîïôùûüœæçåÅ\\-'"
-#: Most rows of a rule table that is broadcast.
-BROADCAST_ROWS = 100_000
+#: Most rows of a rule table that is broadcast, and most rows of a band's cell that share a task.
+BROADCAST_ROWS, CELL_ROWS = 100_000, 50_000
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -196,14 +197,36 @@ def rewrite_contained(rows: DataFrame, rules: DataFrame, word: str) -> DataFrame
 def band_pairs(left: DataFrame, right: DataFrame, on: list[str], x: str, width: float) -> DataFrame:
     """Pairs of rows with equal keys whose `x` differ by less than the width: an equi-join on cells of that width and their neighbours.
 
-    Columns of the right side get the prefix `other_`.
+    A cell that holds over CELL_ROWS rows of a side is cut into as many shares of that side as it holds that many rows,
+    and the other side's rows of the cell are repeated for each share; so one task never holds a hot cell, whichever side fills it.
+    Columns of the right side get the prefix `other_`. Rows with a null key or a null `x` have no pair.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(width))
-    other = right.select([F.col(c).alias(f"other_{c}") for c in right.columns])
-    near = left.withColumn("__cell", F.explode(F.array(*[cell(x) + d for d in (-1, 0, 1)])))
-    far = other.withColumn("__cell", cell(f"other_{x}"))
-    match = [near["__cell"] == far["__cell"], *[near[c] == far[f"other_{c}"] for c in on]]
-    return near.join(far, match).where(F.abs(F.col(x) - F.col(f"other_{x}")) < width).drop("__cell")
+    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    near = left.withColumn("__cell", cell(x))
+    far = right.select([F.col(c).alias(f"other_{c}") for c in right.columns])
+    far = far.withColumn("__cell", F.explode(F.array(*[cell(f"other_{x}") + F.lit(d) for d in (-1, 0, 1)])))
+    theirs = [f"other_{c}" for c in on]
+
+    def counted(rows, keys, into):
+        shares = F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias(into)
+        return rows.where(F.col("__cell").isNotNull()).groupBy(*[F.col(k).alias(f"__of_{c}") for k, c in zip(keys, on)], F.col("__cell").alias("__of")).agg(shares).where(F.col(into) > 1)
+
+    names = [*[f"__of_{c}" for c in on], "__of"]
+    hot = small(stored(counted(near, on, "__a").join(counted(far, theirs, "__b"), names, "full").na.fill(1, ["__a", "__b"]), "hot_cells"))
+
+    def shared(rows, keys, own, repeated):
+        match = rows["__cell"] == hot["__of"]
+        for k, c in zip(keys, on):
+            match = match & (rows[k] == hot[f"__of_{c}"])
+        out = rows.join(hot, match, "left").na.fill(1, ["__a", "__b"])
+        out = out.withColumn("__own", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col(own)).cast("int"))
+        out = out.withColumn("__repeated", F.explode(F.sequence(F.lit(0), F.col(repeated) - 1)))
+        return out.withColumns({own: F.col("__own"), repeated: F.col("__repeated")}).drop("__own", "__repeated", *names)
+
+    near, far = shared(near, on, "__a", "__b"), shared(far, theirs, "__b", "__a")
+    match = [*[near[c] == far[c] for c in ("__cell", "__a", "__b")], *[near[c] == far[t] for c, t in zip(on, theirs)]]
+    joined = near.join(far, match).where(F.abs(F.col(x) - F.col(f"other_{x}")) < width)
+    return joined.drop("__cell", "__a", "__b")
 
 
 def neighbours(rows: DataFrame, keys: list[str], order: list[str], value: str, ahead: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import entries, layout, parsing, ranking, rules
+from ..operators import entries, layout, parsing, ranking, rules, scans
 from ..sources import files, spans
 from .registration import load, query
 
@@ -101,6 +101,30 @@ def w8_running_flag(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count_if(F.coalesce("inside", F.lit(False))).alias("inside"))
 
 
+@query("""SELECT event_id, segment FROM (SELECT event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS BIGINT) AS segment FROM events) WHERE segment > 0""")
+def w4_one_scope(spark, sf_dir):
+    """All events as one scope, cut at each signup."""
+    rows = load(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return scans.segments(rows, [], ["ts", "event_id"], F.col("event_type") == "signup").select("event_id", "segment")
+
+
+@query("""WITH m AS (SELECT event_id, event_type, ts, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM events)
+SELECT event_id, coalesce(lead(page) OVER (ORDER BY ts, event_id), -1) AS page FROM m WHERE event_type = 'signup'""")
+def w5_one_scope(spark, sf_dir):
+    """All events as one scope: errors are the page marks, signups begin entries, and an entry gets the page at which the next begins."""
+    rows = load(spark, sf_dir, "events").select("event_id", "ts", "event_type").withColumn("mark", F.when(F.col("event_type") == "error", F.col("event_id")))
+    starts = scans.carried(rows, [], ["ts", "event_id"], "mark", "seen").where("event_type = 'signup'").withColumn("final", F.lit(-1).cast("long"))
+    return scans.page_at_flush(starts, [], ["ts", "event_id"], "seen", "final", "page").select("event_id", "page")
+
+
+@query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN true WHEN event_type = 'purchase' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM events""")
+def w8_few_scopes(spark, sf_dir):
+    """Three scopes of a third of all events each, and whether each event lies behind a signup that no purchase has closed."""
+    mark = F.when(F.col("event_type") == "signup", True).when(F.col("event_type") == "purchase", False)
+    rows = load(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 3).alias("scope"), mark.alias("mark"))
+    return scans.carried(rows, ["scope"], ["ts", "event_id"], "mark", "inside").select("event_id", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
 @query("SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 AS first_seen FROM part")
 def w11_first_occurrence(spark, sf_dir):
     """Whether a value occurs for the first time: by a least key instead of a window over each value's rows."""

@@ -1,3 +1,7 @@
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from lexispan.operators import dedup, rules
@@ -70,3 +74,58 @@ def test_shortest(spark):
     rows = spark.createDataFrame([("å1", 1), ("a1x", 2), ("a1", 3)], "w string, seq int")
     out = dedup.shortest_by_key(rows, F.left(F.translate("w", "å", "a"), F.lit(2)), "w", "seq").collect()
     assert [tuple(r) for r in out] == [("a1", "å1")]
+
+
+def compiled(table, boundary, vowels):
+    ordered = sorted((r for r in table if not vowels or r[0] != r[1].lower()), key=lambda r: -len(r[0]))
+    return [(re.compile(rules.rule_pattern(k, boundary, vowels), re.IGNORECASE), v) for k, v in ordered]
+
+
+def plain(text, patterns):
+    """Every rule's pattern over the whole text, one after the other."""
+    for p, v in patterns:
+        text = p.sub(lambda m: v, text)  # noqa: B023
+    return text
+
+
+@pytest.mark.parametrize("boundary, vowels", [(rules.LETTERS, None), (rules.STRICT, rules.VOWELS), (rules.TYPED_STRICT, rules.TYPED_VOWELS)])
+def test_automaton_equals_rule_by_rule(boundary, vowels):
+    """2,000 rules with cascades, overlapping keys, damaged letters and keys of several words."""
+    rng = random.Random(len(boundary))
+    piece = lambda: "".join(rng.choice("aeioubdàâåêfg") for _ in range(rng.randint(1, 3)))
+    keys = list({piece() + rng.choice(["", "", " ", "'", "-"]) + piece() for _ in range(2600)})[:2000]
+    table = [(k, rng.choice([rng.choice(keys), piece(), k.replace("a", "å"), k + " " + piece()])) for k in keys]
+    rewriter, patterns = rules.Rewriter(table, boundary, vowels), compiled(table, boundary, vowels)
+    changed = 0
+    for _ in range(100):
+        words = [rng.choice([rng.choice(keys), piece() + piece(), rng.choice(keys).upper(), rng.choice(keys).replace("a", "�"), rng.choice(keys).replace("e", "ë")]) for _ in range(12)]
+        text = rng.choice([" ", "  ", "'", ", "]).join(words)
+        expected = plain(text, patterns)
+        assert rewriter(text) == expected
+        changed += text != expected
+    assert changed > 70
+
+
+def test_automaton_finds_letters_that_match_in_another_case():
+    for key, text in (("ski", "ſki"), ("kilo", "Kilo"), ("is", "ıs"), ("åne", "ÅNE")):
+        assert rules.Rewriter([(key, "x")], rules.LETTERS, None)(text) == plain(text, compiled([(key, "x")], rules.LETTERS, None))
+
+
+def test_token_forms(spark):
+    table = spark.createDataFrame([("adje", "ådje"), ("of", "òf")], "key string, val string")
+    words = ["adje. x", "12. Adje/x", "«adje»", "of x", " ADJE x ", "adjex", "", None, "1. "]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "n int, word string")
+
+    def found(form):
+        return [r["word"] for r in rules.fix_first_token(rows, table, "word", form).orderBy("n").collect()]
+
+    assert found(rules.RULE_FORM) == ["ådje. x", "12. ådje/x", "«adje»", "of x", "ådje x", "adjex", "", None, "1. "]
+    assert found(rules.LAST_FORM) == found(rules.RULE_FORM)
+    assert found(rules.FIRST_FORM) == ["ådje. x", "12. Adje/x", "«adje»", "òf x", " ADJE x ", "adjex", "", None, "1. "]
+
+
+def test_first_or_contained(spark):
+    table = spark.createDataFrame([(0, "adje", "ådje"), (1, "old", "ôld")], "ord int, key string, val string")
+    rows = spark.createDataFrame([(1, "adje gold"), (2, "gold"), (3, "ADJE gold"), (4, "none"), (5, None), (2, "gold")], "n int, word string")
+    out = sorted((r["n"], r["original"], r["word"], r["source"], r["rule"]) for r in rules.fix_first_or_contained(rows, table, "word").collect())
+    assert out == [(1, "adje gold", "ådje gold", "first token", None), (2, "gold", "gôld", "inside", "old"), (2, "gold", "gôld", "inside", "old"), (3, "ADJE gold", "ADJE gôld", "inside", "old"), (4, "none", "none", None, None), (5, None, None, None, None)]

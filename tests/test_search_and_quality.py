@@ -27,7 +27,7 @@ def test_numbered_over_ranges(spark, monkeypatch):
     keys = [*range(0, 300, 3), -(10**15), 10**15]
     rows = spark.createDataFrame([(k,) for k in keys], "k long")
     assert dict(map(tuple, ranking.numbered(rows, "k").collect())) == {k: i for i, k in enumerate(sorted(keys))}
-    sizes = [r["count"] for r in ranking._ranges(rows, "k")[1].groupBy("__part").count().collect()]
+    sizes = [r["count"] for r in ranking.ranged(rows, ["k"]).groupBy("__range").count().collect()]
     assert len(sizes) > 10 and max(sizes) <= 14
     for place in (0, 1, 50, 101):
         assert tuple(ranking.at_place(rows, "k", place).first()) == (sorted(keys)[place], place)
