@@ -19,8 +19,8 @@ from ._text import RangeHash, byte_view, chunks, mixed, text_of
 LEAST, GRAM = 50, 16
 #: Text bytes whose anchors share a bucket, fewest buckets, and anchors or segments that a task gathers before it sends them.
 BUCKET_BYTES, LEAST_BUCKETS, GATHERED = 16 << 20, 64, 1 << 19
-#: Symbols of the index beyond the 256 bytes: what lies outside an indexed text, and outside a streamed one.
-OUTSIDE, BEYOND, FIRST_CELL = 256, 257, 258
+#: Symbols beyond the 256 bytes: what lies outside a text (never indexed), and the first group of an anchor.
+OUTSIDE, FIRST_CELL = 256, 257
 
 
 class RunLengthIndex:
@@ -223,7 +223,7 @@ def _entries(rows: DataFrame, buckets: int, least: int, gram: int) -> DataFrame:
     return rows.mapInArrow(apply, BLOBS)
 
 
-def _shared_places(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _shared_places(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """(doc, sig, place) of the anchors that several documents share."""
     mark, shared, doc, sig, place = _unpacked(pdf["blob"], **ENTRY)
     keep = np.ones(len(mark), bool)
@@ -288,33 +288,60 @@ def _segments(rows: DataFrame, buckets: int, least: int, gram: int) -> DataFrame
     return rows.mapInArrow(apply, BLOBS)
 
 
+def _reach(context: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How far each row of bytes agrees with another one of its group from the first byte on; -1 without another."""
+    rows = np.column_stack([group.astype(">u4").view(np.uint8).reshape(-1, 4), context])
+    order = np.argsort(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel())
+    differs = rows[order[1:]] != rows[order[:-1]]
+    alike = np.where(differs.any(1), differs.argmax(1), rows.shape[1]) - 4
+    alike = np.maximum(alike, -1)  # of another group
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.maximum(np.append(-1, alike), np.append(alike, -1))
+    return out
+
+
+def _cut(block, left, right, doc, side, gram):
+    """Distinct segments: a row for each kind, its bytes, ends and least document, and the kind of every segment."""
+    of = _groups(np.column_stack([block, left.astype("u1"), right.astype("u1")]))
+    n = of.max() + 1 if len(of) else 0
+    one = np.zeros(n, np.int64)
+    one[of[::-1]] = np.arange(len(of))[::-1]
+    return of, block[one], left[one].astype(np.int64), right[one].astype(np.int64), _least(of, doc, n)
+
+
 def repeated(block: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each segment (bytes around an anchor, cut at the text's ends) the range around the anchor that earlier documents' segments hold in strings of `least` bytes; start and end alike if none.
 
-    Equal segments are told by their bytes. Of the distinct ones, with their least documents, those stay that share the anchor and half of the rest
-    with another. These are ranked by document within their anchor, and for each bit of the rank the segments
+    Equal segments are one kind with their least document; the others' range is the whole segment. Kinds are then cut to what they share at most with another
+    kind of their anchor on either side, which drops most of them or makes them equal again. What is left is
+    ranked by document within its anchor, and for each bit of the rank the segments
     without it are indexed and those with it are streamed, so every pair meets once, as an earlier and a later one.
     In index and stream an anchor is one symbol of its own for each group that may match, so no match leaves its group.
     """
-    side, m = least - gram, len(doc)
-    of = _groups(np.column_stack([block, left, right]))
-    n = of.max() + 1 if m else 0
-    owner = _least(of, doc, n)
-    one = np.zeros(n, np.int64)
-    one[of[::-1]] = np.arange(m)[::-1]  # a segment of each kind
-    text, before, after = block[one], left[one].astype(np.int64), right[one].astype(np.int64)
+    side = least - gram
+    of, text, before, after, owner = _cut(block, left, right, doc, side, gram)
+    start, stop = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+    group = _groups(text[:, side : side + gram])
+    before = np.minimum(before, _reach(text[:, :side][:, ::-1], group))
+    after = np.minimum(after, _reach(text[:, side + gram :], group))
+    kept = np.flatnonzero((before >= 0) & (after >= 0) & (before + after >= side))
+    around = np.arange(2 * side + gram)
+    inside = (around >= (side - before[kept])[:, None]) & (around < (side + gram + after[kept])[:, None])
+    kind, text, before, after, first = _cut(np.where(inside, text[kept], 0).astype(np.uint8), before[kept], after[kept], owner[kept], side, gram)
+    low, high = _streamed(text, before, after, first, side, gram)
+    later = owner[kept] > first[kind]
+    start[kept], stop[kept] = np.where(later, -before[kind], low[kind]), np.where(later, gram + after[kind], high[kind])
+    later = doc > owner[of]
+    return np.where(later, -left.astype(np.int64), start[of]), np.where(later, gram + right.astype(np.int64), stop[of])
+
+
+def _streamed(text: np.ndarray, before: np.ndarray, after: np.ndarray, owner: np.ndarray, side: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the range of each distinct segment that segments of smaller documents hold."""
+    start, stop = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
     group = _groups(text[:, side : side + gram])
-    half = side // 2
-    keep = np.zeros(n, bool)
-    for good, part in ((after >= side - half, text[:, side : side + gram + side - half]), (before >= half + 1, text[:, side - half - 1 : side + gram])):
-        at = np.flatnonzero(good)
-        kind = _groups(part[at])
-        keep[at] |= np.bincount(kind)[kind] > 1 if len(kind) else False
-    start, stop = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    kept = np.flatnonzero(keep)
-    order = kept[np.lexsort((owner[kept], group[kept]))]
-    new_group = np.append(True, np.diff(group[order]) != 0)
-    new_doc = new_group | np.append(True, np.diff(owner[order]) != 0)
+    order = np.lexsort((owner, group))
+    new_group = np.append(True, np.diff(group[order]) != 0)[: len(order)]
+    new_doc = new_group | np.append(True, np.diff(owner[order]) != 0)[: len(order)]
     number = np.cumsum(new_doc)
     rank = number - np.maximum.accumulate(np.where(new_group, number, 0))
     around = np.arange(2 * side + gram)
@@ -327,29 +354,28 @@ def repeated(block: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nda
             """Bytes around the anchor, and the anchor's cell in its place."""
             own = order[rows]
             inside = (around >= (side - before[own])[:, None]) & (around < (side + gram + after[own])[:, None])
-            wide = np.where(inside, text[own], outside).astype(np.int64)
+            wide = np.where(inside, text[own].astype(np.int64), outside)
             return np.column_stack([wide[:, :side], FIRST_CELL + cell[rows], wide[:, side + gram :]])
 
         early, later = np.flatnonzero(~late & both[cell]), np.flatnonzero(late & both[cell])
         if not len(later):
             continue
         ends = FIRST_CELL + cell.max() + 1 + np.arange(len(early))
-        index = RunLengthIndex(np.column_stack([symbols(early, OUTSIDE), ends]).ravel())
-        sizes = index.matching_statistics(symbols(later, BEYOND))[:, : side + 1].astype(np.int64)
+        indexed = np.column_stack([symbols(early, OUTSIDE), ends]).ravel()
+        index = RunLengthIndex(indexed[indexed != OUTSIDE])
+        sizes = index.matching_statistics(symbols(later, OUTSIDE))[:, : side + 1].astype(np.int64)
         places = np.arange(side + 1)
-        covers = (places + sizes > side) & (sizes - 1 + gram >= least)
+        covers = (places + sizes > side) & (sizes - 1 >= side)
         own, hit = order[later], covers.any(1)
         low = np.where(covers, places - side, 0).min(1)
         high = np.where(covers, places - side + sizes - 1 + gram, 0).max(1)
         start[own[hit]] = np.minimum(start[own[hit]], low[hit])
         stop[own[hit]] = np.maximum(stop[own[hit]], high[hit])
-    start, stop = start[of], stop[of]
-    later = doc > owner[of]
-    return np.where(later, -left.astype(np.int64), start), np.where(later, gram + right.astype(np.int64), stop)
+    return start, stop
 
 
 def _spans(least: int, gram: int):
-    def apply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[1] == 1:
             doc, sig, start, stop = _unpacked(pdf["blob"], **SPAN)
         else:
@@ -380,8 +406,14 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("__doc"), F.pmod(F.xxhash64(whole), F.lit((1 << 31) - 1)).cast("int").alias("__sig"), whole.alias("__text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(__doc, __sig, spans): ranges of each document's bytes that an earlier document holds in strings of `least` bytes, as start * 2**32 + end; they may overlap.
+def _texts(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with an id, and the same compressed; both joins of a query take these very rows, so Spark shuffles them once."""
+    rows = _source(docs, id_col, text).where("__doc is not null")
+    return rows, _compressed(rows).where("__doc is not null and __sig is not null")
+
+
+def repeated_spans(rows: DataFrame, packed: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(__doc, __sig, spans) of the rows of `_texts`: ranges of each document's bytes that an earlier document holds in strings of `least` bytes, as start * 2**32 + end; they may overlap.
 
     Every string of `least` bytes has an anchor (a string of `gram` bytes chosen by its content), so equal strings meet under the same
     anchor. Anchors are dealt to buckets by hash; those that one document alone holds go no further. The surroundings of the others, all that a string of `least`
@@ -389,13 +421,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     A task sends an anchor and equal surroundings once, however many of its documents hold them, so a passage that a third of all
     documents share weighs as many records in its bucket as tasks hold it; surroundings that differ are all sent.
     """
-    rows = _source(docs, id_col, text).where("__doc is not null")
     size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     entries = _entries(rows, buckets, least, gram)
     shared = entries.groupBy("bucket", "kind").applyInPandas(_shared_places, "__doc long, __sig int, place int")
     places = shared.groupBy("__doc", "__sig").agg(F.collect_set("place").alias("places"))
-    joined = _compressed(rows).join(places, ["__doc", "__sig"]).select("__doc", "__sig", "packed", "places")
+    joined = packed.join(places, ["__doc", "__sig"]).select("__doc", "__sig", "packed", "places")
     found = _segments(joined, buckets, least, gram).groupBy("bucket", "kind").applyInPandas(_spans(least, gram), "__doc long, __sig int, span long")
     return found.groupBy("__doc", "__sig").agg(F.collect_set("span").alias("spans"))
 
@@ -432,5 +463,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: len(schema) - 1]], schema.names)
 
-    joined = _compressed(_source(docs, id_col, text)).join(repeated_spans(docs, id_col, text, least, gram), ["__doc", "__sig"], "left")
-    return joined.select(F.col("__doc").cast(docs.schema[id_col].dataType).alias(id_col), "packed", "spans").mapInArrow(apply, schema)
+    rows, packed = _texts(docs, id_col, text)
+    joined = packed.join(repeated_spans(rows, packed, least, gram), ["__doc", "__sig"], "left").select("__doc", "packed", "spans")
+    nameless = _compressed(_source(docs, id_col, text).where("__doc is null")).select("__doc", "packed", F.lit(None).cast("array<long>").alias("spans"))
+    return joined.union(nameless).select(F.col("__doc").cast(docs.schema[id_col].dataType).alias(id_col), "packed", "spans").mapInArrow(apply, schema)

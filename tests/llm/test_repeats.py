@@ -79,6 +79,8 @@ def test_edges(spark):
     rng = random.Random(4)
     long = words(rng, 300)
     docs = [(5, long), (5, long), (5, long[:400] + "!" + long[400:]), (3, long[100:700]), (None, long), (7, None), (8, ""), (9, "x" * 49), (10, "x" * 49), (11, "x" * 50), (12, "x" * 20_000), (-4, "word " * 8_000), (13, "word " * 8_000), (14, "日本語 😀 " * 40), (15, "a" + "日本語 😀 " * 40)]
+    core = "".join(rng.choice("abcdefgh") for _ in range(60))
+    docs += [(20 + i, a + core[:49] + z) for i, (a, z) in enumerate([("", ""), ("\0", ""), ("\0", "\1"), ("", "\1"), ("", "\0"), ("x\0", "\0")])]
     assert found(spark, docs) == brute(docs)
     assert found(spark, []) == []
 
