@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, codebooks, langid, license_scan, mixing, repeats, resample, secret_scan, simhash, spotsigs, tiered, topk, toxicity
-from ._spark import load
+from ._spark import in_small_batches, load
 
 #: Fixed value: the rank file of the byte-level BPE query.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -72,6 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return repeats.remove_repeats(load(spark, sf_dir, "documents"))
 
 

@@ -18,7 +18,9 @@ from ._text import RangeHash, byte_view, chunks, mixed, text_of
 #: Shortest string that counts as repeated, and the length of the anchors that meet in one task.
 LEAST, GRAM = 50, 16
 #: Text bytes whose anchors share a bucket, fewest buckets, and anchors or segments that a task gathers before it sends them.
-BUCKET_BYTES, LEAST_BUCKETS, GATHERED = 16 << 20, 64, 1 << 19
+BUCKET_BYTES, LEAST_BUCKETS, GATHERED = 8 << 20, 96, 1 << 18
+#: Text bytes that are hashed or cut at once (a longer text stands alone).
+SLICE = 1 << 19
 #: Symbols beyond the 256 bytes: what lies outside a text (never indexed), and the first group of an anchor.
 OUTSIDE, FIRST_CELL = 256, 257
 
@@ -208,7 +210,7 @@ def _entries(rows: DataFrame, buckets: int, least: int, gram: int) -> DataFrame:
 
     def apply(batches):
         held, size = [], 0
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", SLICE):
             data, offsets = byte_view(text_of(batch, "__text"))
             row, place, hashes = anchors(data, offsets, least, gram)
             doc, sig = (batch.column(i).to_numpy()[row] for i in (0, 1))
@@ -275,7 +277,7 @@ def _segments(rows: DataFrame, buckets: int, least: int, gram: int) -> DataFrame
             for i in range(batch.num_rows):
                 texts.append(unpack.decompress(packed[i].as_py()))
                 bytes_held += len(texts[-1])
-                if bytes_held >= 1 << 20 or i + 1 == batch.num_rows:
+                if bytes_held >= SLICE or i + 1 == batch.num_rows:
                     held.append(cut(texts, doc[at : i + 1], sig[at : i + 1], [places[j].values.to_numpy() for j in range(at, i + 1)]))
                     size += len(held[-1][3])
                     texts, at, bytes_held = [], i + 1, 0
