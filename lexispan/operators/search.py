@@ -19,7 +19,9 @@ def search_index(rows: DataFrame, word: Column, body: Column) -> DataFrame:
 
 
 def scored(index: DataFrame, query: str) -> DataFrame:
-    """Rows of an index that match a folded query, with their score; the first tier that holds counts. For empty queries see `results`."""
+    """Rows of an index that match a folded query, with their score; the first tier that holds counts. An empty query matches none: what it shows is in `results`."""
+    if is_empty(query):
+        return index.withColumn("score", F.lit(0)).where(F.lit(False))
     q = fold(strip(F.lit(query)))
     w, b = F.col("norm_word"), F.col("norm_body")
     score = F.when(w == q, EQUAL).when(F.startswith(w, q), PREFIX).when(F.contains(w, q), INSIDE).when(F.contains(b, q), BODY).otherwise(0)
@@ -108,7 +110,8 @@ def search_many(index: DataFrame, queries: DataFrame, query: str, key: str, n: i
     folded = queries.select(query).distinct().withColumn("__q", fold(strip(F.col(query))))
     wanted = folded.where(F.length("__q") >= 1).withColumn("__gram", F.left("__q", F.lit(n)))
     texts = F.concat_ws("\n", "norm_word", "norm_body")
-    grams = index.select(key, F.explode(F.concat(*[_grams(texts, k) for k in range(1, n + 1)])).alias("__gram"))
+    lengths = sorted(r[0] for r in wanted.select(F.length("__gram")).distinct().collect())  # at most n of them
+    grams = index.select(key, F.explode(F.concat(F.array().cast("array<string>"), *[_grams(texts, k) for k in lengths])).alias("__gram"))
     hits = grams.join(wanted, "__gram").drop("__gram").join(index, key)
     w, b, q = F.col("norm_word"), F.col("norm_body"), F.col("__q")
     score = F.when(w == q, EQUAL).when(F.startswith(w, q), PREFIX).when(F.contains(w, q), INSIDE).when(F.contains(b, q), BODY).otherwise(0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ranking, search
+from ..operators import gram_index, ranking, search
+from ..operators.stored import shared_dir
 from .registration import load, query
 
 SQL_FOLD = "lower(replace(replace(strip_accents({0}), 'œ', 'oe'), 'æ', 'ae'))"
@@ -148,3 +151,28 @@ def q1_search_many(spark, sf_dir):
     hits = search.search_many(_parts(spark, sf_dir).select("p_partkey", "p_name", "norm_word", "norm_body"), wanted, "q", "p_partkey")
     order = Window.partitionBy("q").orderBy(*search.search_order("p_name", "p_partkey"))
     return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("q", "p_partkey", "score", "rank")
+
+
+def _indexed(spark, sf_dir):
+    """An index of the parts in two batches and a merge; the second batch also replaces entries that the first one had otherwise."""
+    index = gram_index.GramIndex(spark, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}", buckets=16)
+    parts, body = load(spark, sf_dir, "part"), F.concat_ws(" ", "p_type", "p_brand")
+    old = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("ring old "), F.reverse("p_name"))).otherwise(F.col("p_name"))
+    index.add(parts.where("p_partkey % 3 = 0"), "p_partkey", old, body)
+    index.add(parts.where("p_partkey % 3 > 0 or p_partkey % 6 = 0"), "p_partkey", F.col("p_name"), body)
+    return index
+
+
+@query(f"SELECT p_partkey, score FROM ({PART_SCORES}) WHERE score > 0")
+def q1_search_indexed(spark, sf_dir):
+    """All matches by the index, after its segments were merged."""
+    index = _indexed(spark, sf_dir)
+    index.merge()
+    return index.matches(" Rîng ").select(F.col("key").alias("p_partkey"), "score")
+
+
+@query(f"SELECT * FROM (SELECT p_partkey, p_name, score, CAST(row_number() OVER (ORDER BY {PART_ORDER}) AS INTEGER) AS rank FROM ({_sql_scores('br', 'part', 'p_name', "(p_type || ' ' || p_brand)")}) WHERE score > 0) WHERE rank <= 50")
+def q1_search_indexed_page(spark, sf_dir):
+    """The first page for two letters, over two segments of which one replaces entries of the other."""
+    found = _indexed(spark, sf_dir).page("BR", 50)
+    return found.select(F.col("key").alias("p_partkey"), F.col("word").alias("p_name"), "score", "rank")
