@@ -25,7 +25,8 @@ def held_out() -> F.Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.find_secrets(load(spark, sf_dir, "documents")))
+    docs = load(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.find_secrets(docs, settings=secret_scan.learned(docs)))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

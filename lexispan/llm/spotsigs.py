@@ -61,11 +61,12 @@ def set_key(column: str) -> F.Column:
     return F.md5(F.array_join(F.col(column).cast("array<string>"), ","))
 
 
-def pruned_jaccard(a: str, b: str, least: float = 0.0) -> F.Column:
-    """Jaccard likeness of two signature sets, or 0 without comparing them where their sizes alone keep it under `least`."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def pruned_jaccard(a: str, b: str, least: float | Fraction = 0) -> F.Column:
+    """Jaccard likeness of two signature sets, or 0 without comparing them where their sizes alone keep it under `least`, which is compared in whole numbers."""
+    bound = Fraction(str(least))
+    small, large = F.least(F.size(a), F.size(b)).cast("long"), F.greatest(F.size(a), F.size(b)).cast("long")
     shared = F.size(F.array_intersect(a, b))
-    return F.when(small < large * F.lit(least), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    return F.when(small * F.lit(bound.denominator) < large * F.lit(bound.numerator), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 def document_ranges(docs: DataFrame, id_col: str) -> list[int]:

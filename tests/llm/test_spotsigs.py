@@ -104,11 +104,22 @@ def test_near_duplicates_at_the_bound(spark, monkeypatch, least, small, large):
     number = lambda n: F.transform(F.split(F.col(n), " "), lambda w: F.xxhash64(w))
     monkeypatch.setattr(spotsigs, "with_signatures", lambda rows, text, into: rows.withColumn(into, F.array_sort(F.array_distinct(number(text)))))
     docs = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string")
-    pairs = {tuple(sorted((r["a"], r["b"]))) for r in spotsigs.near_duplicates(docs, least)[0].collect()}
+    found, members = spotsigs.near_duplicates(docs, least)
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in found.collect()}
     brute = {(i, j) for j in range(3) for i in range(j) if 1000 * len(set(sets[i]) & set(sets[j])) >= round(1000 * least) * len(set(sets[i]) | set(sets[j]))}
+    if small == large:  # equal sets are one class, and aren't paired
+        assert {r["id"]: r["class"] for r in members.collect()} == {0: 0, 1: 0, 2: 2}
+        brute -= {(0, 1)}
     assert pairs == brute and (small == large or (0, 1) in pairs)
 
 
+def test_pruning_at_the_bound(spark):
+    """Sets of 100 and 55 signatures are 0.55 alike: not pruned at 0.55, pruned above."""
+    row = spark.createDataFrame([(list(range(100)), list(range(55)))], "a array<long>, b array<long>")
+    for least, expected in ((0.55, 0.55), (0.5500001, 0.0), (0, 0.55), (Fraction(55, 100), 0.55)):
+        assert row.select(spotsigs.pruned_jaccard("a", "b", least)).first()[0] == expected
+
+
 def test_length_bands_hold_every_pair():
     for least in (Fraction("0.1"), Fraction("0.55"), Fraction("0.8"), Fraction(1)):
         bands = spotsigs.length_bands(least, 3000)
