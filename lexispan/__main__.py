@@ -54,8 +54,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         files.write_version(lines, f"{asked.out}/lines", ["slice", "page", "column", "line_no"])
         return
     table = [(r["key"], r["val"]) for r in spark.read.schema("key string, val string").json(asked.rules).collect()] if asked.rules else []
-    number = files.write_version(flow.flat_entries(lines, table), f"{asked.out}/flat", ["tome", "page", "word"])
-    flat = spark.read.json(f"{asked.out}/flat/version={number}")
+    entries = flow.flat_entries(lines, table)
+    number = files.write_version(entries, f"{asked.out}/flat", ["tome", "page", "word"])
+    flat = spark.read.schema(entries.schema).json(f"{asked.out}/flat/version={number}")
     if last == 2:
         return
     files.write_version(flow.nested_entries(flat), f"{asked.out}/entries", ["tome", "page", "mot"])

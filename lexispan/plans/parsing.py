@@ -110,6 +110,15 @@ def p8_restructure(spark, sf_dir):
     return out.select("p_partkey", "mot", "categorie", "genre", "prononciation", "origine", joined("domaines"), joined("definitions"), examples, joined("synonymes"), joined("renvois"), joined("variantes"), "page")
 
 
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'voy. ' || p_name WHEN 1 THEN 'syn. ' || p_brand ELSE lower(p_type) END AS definitions FROM part""")
+def p8_fallback_definition(spark, sf_dir):
+    """Entries of references or synonyms alone keep their whole text as the definition."""
+    body = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("voy. "), "p_name")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("syn. "), "p_brand")).otherwise(F.lower("p_type"))
+    flat = load(spark, sf_dir, "part").select("p_partkey", F.lit("x").alias("word"), body.alias("definition"), F.lit("m").alias("grammar"), F.lit("wallon-francais").alias("type"), F.lit(2).alias("tome"), F.lit(1).alias("page"))
+    out = restructure.restructure(flat)
+    return out.select("p_partkey", F.array_join("definitions", "|").alias("definitions"))
+
+
 @query("""SELECT p_partkey, 'nom' AS categorie, lower(p_type) AS definition, 'francais ' || p_brand AS francais, 'wallon' AS wallon FROM part""")
 def p8_restructure_reverse(spark, sf_dir):
     """The other direction: the first piece is the translation, and examples put French first."""

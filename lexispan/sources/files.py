@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scans
+
 PAGE_MARK = r"^=== PAGE (\d+) ===$"
 #: Pages and letters that a file's class is told from.
 FIRST_PAGES, ENOUGH_TEXT = 3, 100
@@ -13,19 +15,30 @@ MOST_SHOWN = 100_000
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of whole text files; a file is one row when it is read."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(file, line_no, line) of text files, read in byte ranges, so a file of any size is many tasks.
+
+    Lines end in a line feed, with or without a carriage return in front. Spark reads each range's lines in order; they are
+    numbered within their range, and a range's first number is the count of the lines of those before it. A line feed
+    at the end of a file begins no further line.
+    """
+    place = F.monotonically_increasing_id()  # rises with the order in which a task reads lines
+    read = spark.read.option("lineSep", "\n").text(path)
+    rows = read.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__block"), place.alias("__place"), F.regexp_replace("value", "\r$", "").alias("line"))
+    inside = Window.partitionBy("__path", "__block").orderBy("__place")
+    rows = rows.withColumn("__n", F.row_number().over(inside) - 1)
+    blocks = rows.groupBy(F.col("__path").alias("__p"), F.col("__block").alias("__b")).agg(F.count("*").alias("__lines"))
+    earlier = F.sum("__lines").over(Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("__p", "__b", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    joined = rows.join(starts, (F.col("__path") == F.col("__p")) & (F.col("__block") == F.col("__b")))
+    return joined.select("file", (F.col("__before") + F.col("__n")).alias("line_no"), "line")
 
 
 def paged(lines: DataFrame, key: str = "file", order: str = "line_no", line: str = "line") -> DataFrame:
-    """Lines with the page whose mark came last, without the marks; lines before the first mark have page 0."""
-    from pyspark.sql import Window
-
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """Lines with the page whose mark came last, without the marks; lines before the first mark have page 0. The mark is carried over the ranges of a long file."""
     number = F.regexp_extract(F.trim(line), PAGE_MARK, 1)
-    seen = lines.withColumn("__mark", F.when(number != "", number.try_cast("int")))
-    return seen.withColumn("page", F.coalesce(F.last("__mark", ignorenulls=True).over(window), F.lit(0))).where("__mark is null").drop("__mark")
+    marked = lines.withColumn("__mark", F.when(number != "", number.try_cast("int")))
+    seen = scans.carried(marked, [key], [order], "__mark", "page")
+    return seen.withColumn("page", F.coalesce("page", F.lit(0))).where("__mark is null").drop("__mark")
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -76,3 +77,72 @@ def test_command_line_builds_versions(spark, tmp_path):
     assert spark.read.json(f"{out}/lines/version=1").count() == 12
     command.main([path, out, "--step", "2"], spark)
     assert spark.read.json(f"{out}/flat/version=2").count() == 6 and not (tmp_path / "out/entries/version=2").exists()
+
+
+def test_long_files_are_read_in_ranges(spark, tmp_path):
+    """Files cut in ranges of a few bytes give the same numbers and pages as whole ones, whatever their line ends."""
+    rng = random.Random(1)
+    texts = {}
+    for name in "abc":
+        lines = [rng.choice(["", "é" * rng.randint(0, 9), f"=== PAGE {rng.randint(1, 99)} ===", "x" * rng.randint(1, 60), " tail "]) for _ in range(200)]
+        texts[f"{name}.txt"] = rng.choice(["\n", "\r\n"]).join(lines) + rng.choice(["", "\n"])
+        (tmp_path / f"{name}.txt").write_bytes(texts[f"{name}.txt"].encode())
+    (tmp_path / "empty.txt").write_text("")
+    expected = []
+    for name, text in texts.items():
+        page = 0
+        for i, line in enumerate(text.removesuffix("\n").removesuffix("\r").replace("\r\n", "\n").split("\n")):
+            if line.startswith("=== PAGE"):
+                page = int(line.split()[2])
+            else:
+                expected.append((name, i, page, line))
+    for size in ("64", "1000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            found = files.paged(files.text_lines(spark, str(tmp_path)))
+            assert sorted((r["file"], r["line_no"], r["page"], r["line"]) for r in found.collect()) == sorted(expected), size
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_history_stream_keeps_the_cap_and_restarts(spark, tmp_path):
+    day = lambda d, u, q: (u, f"2024-01-{d:02d} 00:00:00", q)
+    schema = "u int, ts string, q string"
+
+    def put(n, rows):
+        spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name):
+        stream = spark.readStream.schema("u int, ts timestamp, q string").parquet(str(tmp_path / "in"))
+        view = {}
+
+        def keep(batch, _):
+            for r in batch.collect():
+                view.setdefault(r["u"], {})[r["place"]] = r["q"]
+
+        out = live.history_stream(stream, "u", "ts", "q", most=3, keep="20 days").writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        out.awaitTermination()
+        return view
+
+    put(1, [day(1, 1, "a"), day(2, 1, "b"), day(3, 1, "A"), day(1, 2, "x"), day(2, None, "no")])
+    assert run("one") == {1: {1: "A", 2: "b"}, 2: {1: "x"}}
+    put(2, [day(4, 1, "c"), day(5, 1, "d"), day(6, 1, "C")])
+    assert run("two") == {1: {1: "C", 2: "d", 3: "A"}}
+    put(3, [day(28, 2, "y")])
+    run("three")
+    put(4, [day(29, 1, "e")])
+    assert run("four")[1] == {1: "e"}
+
+
+def test_command_line_on_an_empty_table(spark, tmp_path):
+    from lexispan import __main__ as command
+
+    spark.createDataFrame([], "slice string, page int, text string, bold boolean, italic boolean, font string, x0 double, y0 double, x1 double").write.parquet(f"{tmp_path}/spans")
+    command.main([f"{tmp_path}/spans", f"{tmp_path}/out"], spark)
+    assert spark.read.json(f"{tmp_path}/out/report/version=1").first()["total"] == 0
+    rows = [("tome2-08.pdf", 1, "12", False, False, "Times", 140.0, 200.0, 220.0)]
+    spark.createDataFrame(rows, "slice string, page int, text string, bold boolean, italic boolean, font string, x0 double, y0 double, x1 double").write.parquet(f"{tmp_path}/one")
+    command.main([f"{tmp_path}/one", f"{tmp_path}/out"], spark)
+    assert spark.read.json(f"{tmp_path}/out/report/version=2").first()["total"] == 0
