@@ -63,6 +63,7 @@ def head_and_tail(rows: DataFrame, key: str, n: int, above: int) -> DataFrame:
     return first.union(rows.orderBy(F.col(key).desc()).limit(n).withColumn("side", F.lit("tail")))
 
 
-def hash_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """n rows at random without replacement, the same ones on each run: the smallest hashes of the key."""
-    return rows.withColumn("draw", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).orderBy("draw", key).limit(n)
+def hash_sample(rows: DataFrame, key: str, n: int, seed: str, order: list[Column] | None = None, into: str = "place") -> DataFrame:
+    """n rows at random without replacement, the same ones on each run: the smallest hashes of the key; with `order`, each with its place in that order."""
+    drawn = rows.withColumn("draw", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).orderBy("draw", key).limit(n)
+    return drawn.withColumn(into, F.row_number().over(Window.orderBy(*order))) if order else drawn

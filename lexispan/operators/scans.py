@@ -52,3 +52,10 @@ def page_at_flush(starts: DataFrame, keys: list[str], order: list[str], page: st
     following = F.lead(F.struct(F.col(page).alias("page"))).over(_inside(keys))
     found = F.coalesce(following, "__after")
     return carried_in.withColumn("__next", found).withColumn(into, F.coalesce("__next.page", final)).drop("__next", "__after", "__range", "__place")
+
+
+def running_sum(cut: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
+    """Rows that have `__range` and `__place` already, with the sum of the values in front of each in its scope."""
+    carried_in = _with_summary(cut, keys, [F.sum(value).alias("__sum")], [F.coalesce(F.sum("__sum").over(_around(keys)), F.lit(0)).alias("__before")])
+    own = F.coalesce(F.sum(value).over(_inside(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return carried_in.withColumn(into, F.col("__before") + own).drop("__before")

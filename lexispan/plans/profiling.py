@@ -123,6 +123,14 @@ def l5_review_sample(spark, sf_dir):
     return ranking.hash_sample(load(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 200, "review")
 
 
+@query("""SELECT p_partkey, p_name, CAST(row_number() OVER (ORDER BY p_size, lower(p_name), p_partkey) AS INTEGER) AS place FROM (SELECT *, md5('review' || CAST(p_partkey AS VARCHAR)) AS draw FROM part ORDER BY draw, p_partkey LIMIT 200)""")
+def l5_sorted_sample(spark, sf_dir):
+    """The sample in page and word order, as it is handed to reviewers."""
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    order = [F.col("p_size").asc(), F.lower("p_name").asc(), F.col("p_partkey").asc()]
+    return ranking.hash_sample(parts, "p_partkey", 200, "review", order).select("p_partkey", "p_name", "place")
+
+
 @query("""WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS up, row_number() OVER (ORDER BY o_orderkey DESC) AS down, count(*) OVER () AS total FROM orders)
 SELECT o_orderkey, CASE WHEN total <= 5000 THEN 'all' WHEN up <= 250 THEN 'head' ELSE 'tail' END AS side FROM n WHERE total <= 5000 OR up <= 250 OR down <= 250""")
 def l6_head_and_tail(spark, sf_dir):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -157,12 +159,16 @@ def l7_request_cap(spark, sf_dir):
     return ranking.page(load(spark, sf_dir, "part").where("p_size % 3 = 0").select("p_partkey"), [F.col("p_partkey").asc()], 150, into="request")
 
 
-@query("""WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS count FROM c WHERE unicode(ch) > 127 GROUP BY ch)
-SELECT ch, count, 'U+' || printf('%04X', unicode(ch)) AS code_point, CASE ch WHEN 'é' THEN 'LATIN SMALL LETTER E WITH ACUTE' WHEN 'ü' THEN 'LATIN SMALL LETTER U WITH DIAERESIS' WHEN 'ñ' THEN 'LATIN SMALL LETTER N WITH TILDE' ELSE '' END AS name FROM n WHERE ch IN ('é', 'ü', 'ñ')""")
+#: Names of the letters of the Latin blocks, and of the general marks, for the SQL.
+CHARACTER_NAMES = " ".join(f"WHEN {c} THEN '{unicodedata.name(chr(c))}'" for c in [*range(0xA0, 0x250), *range(0x2010, 0x2040), 0xFFFD] if unicodedata.name(chr(c), ""))
+
+
+@query(f"""WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS count FROM c WHERE unicode(ch) > 127 GROUP BY ch)
+SELECT ch, count, 'U+' || printf('%04X', unicode(ch)) AS code_point, CASE unicode(ch) {CHARACTER_NAMES} END AS name FROM n""")
 def n15_character_names(spark, sf_dir):
-    """Code points and names of three of the characters that occur."""
+    """Code points and names of all characters beyond ASCII that occur."""
     found = quality.with_names(quality.character_counts(load(spark, sf_dir, "documents"), "text"))
-    return found.where(F.col("ch").isin("é", "ü", "ñ")).select("ch", "count", "code_point", "name")
+    return found.select("ch", "count", "code_point", "name")
 
 
 @query("""WITH n AS (SELECT p_partkey // 10 AS batch, p_partkey % 10 + 1 AS i, left(p_name, 6) AS w FROM part) SELECT batch, string_agg(i || '. ' || w, chr(10) ORDER BY i) AS prompt FROM n GROUP BY batch""")

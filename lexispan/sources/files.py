@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import scans
+from ..operators.stored import stored
 
 PAGE_MARK = r"^=== PAGE (\d+) ===$"
 #: Pages and letters that a file's class is told from.
@@ -42,8 +43,30 @@ def paged(lines: DataFrame, key: str = "file", order: str = "line_no", line: str
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a file that is one JSON array."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Rows of files that are one JSON array of objects each, read in byte ranges, so a file of any size is many tasks.
+
+    A file is cut at its closing braces, wherever they stand. Whether a piece begins inside a string is the parity of the unescaped quotes
+    in front of it, and how deep it lies is the sum of the brackets outside strings: two running sums over ranges, whose
+    totals alone are put in order. A record ends with a piece behind which the depth is that of the array. Files are told by their paths; an element that is no object is skipped.
+    """
+    place = F.monotonically_increasing_id()  # rises with the order in which a task reads pieces
+    read = spark.read.option("lineSep", "}").text(path)
+    pieces = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__range"), place.alias("__place"), F.col("value").alias("piece"))
+    bare = F.regexp_replace("piece", r"(?s)\\.", "")  # without what a backslash escapes
+    pieces = stored(pieces.withColumns({"bare": bare, "quotes": F.regexp_count(bare, F.lit('"'))}), "pieces")
+    quoted = scans.running_sum(pieces, ["path"], "quotes", "quotes_before")
+    inside = F.col("quotes_before") % 2 == 1
+    outer = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), "bare"), '"[^"]*("|$)', "")
+    closes = (F.col("quotes_before") + F.col("quotes")) % 2 == 0  # the brace behind the piece is no part of a string
+    depth = F.regexp_count(outer, F.lit(r"[\[{]")) - F.regexp_count(outer, F.lit(r"[\]}]")) - closes.cast("int")
+    deep = scans.running_sum(quoted.withColumns({"closes": closes, "step": depth}), ["path"], "step", "depth_before")
+    ends = F.col("closes") & (F.col("depth_before") + F.col("step") == 1)
+    marked = scans.running_sum(deep.withColumn("ends", ends.cast("long")), ["path"], "ends", "record")
+    parts = F.array_sort(F.collect_list(F.struct("__range", "__place", "piece")))
+    text = F.concat(F.array_join(F.transform(parts, lambda p: p["piece"]), "}"), F.lit("}"))
+    records = marked.groupBy("path", "record").agg(text.alias("text"), F.max("ends").alias("ended")).where("ended = 1")
+    body = F.regexp_replace("text", r"^[^{]*", "")
+    return records.select(F.from_json(body, schema).alias("row"), "path", "record").select("row.*")
 
 
 def first_that_has_rows(*tables: DataFrame) -> DataFrame:

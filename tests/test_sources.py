@@ -146,3 +146,25 @@ def test_command_line_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame(rows, "slice string, page int, text string, bold boolean, italic boolean, font string, x0 double, y0 double, x1 double").write.parquet(f"{tmp_path}/one")
     command.main([f"{tmp_path}/one", f"{tmp_path}/out"], spark)
     assert spark.read.json(f"{tmp_path}/out/report/version=2").first()["total"] == 0
+
+
+def test_long_arrays_are_read_in_ranges(spark, tmp_path):
+    """Strings that hold brackets, quotes and backslashes, nested objects and arrays, in files cut anywhere: the rows of a whole read."""
+    rng = random.Random(2)
+    words = ["}", "{", "]", "[", '"', "\\", "\\\\", '\\"', "},{", "é", "a b", "\n", '"}', "", "😀"]
+    text = lambda: "".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+    schema = "mot string, n int, tags array<string>, ex array<struct<w:string,f:string>>, o struct<x:string>"
+    for name, indent in (("a", None), ("b", 1), ("c", 3)):
+        rows = [{"mot": text(), "n": i, "tags": [text() for _ in range(rng.randint(0, 3))], "ex": [{"w": text(), "f": text()} for _ in range(rng.randint(0, 2))], "o": {"x": text()}} for i in range(60)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=name == "b"))
+    (tmp_path / "none.json").write_text("[]\n")
+    expected = sorted(map(str, spark.read.schema(schema).json(str(tmp_path), multiLine=True).collect()))
+    assert len(expected) == 180
+    for size in ("100", "3000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            assert sorted(map(str, files.json_array(spark, str(tmp_path), schema).collect())) == expected, size
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
