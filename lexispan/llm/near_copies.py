@@ -19,6 +19,8 @@ SAMPLE, COMMON, MOST_COMMON = 4_000, 4, 100_000
 LIMIT, REORDERS = 1024, 2
 #: Rounds in which groups are compared with some of their sets, before what is left of them is compared in full; groups of up to FULL sets take one such round.
 PIVOT_ROUNDS, PIVOTS, FULL = 2, 8, 64
+#: Sets of a share of a group that is compared in full.
+SHARE = 512
 #: Shingles of a bucket of a set's histogram, at most, and least and most bits of its buckets' numbers.
 FILLED, LEAST_BITS, MOST_BITS = 4, 6, 13
 #: Bytes of text that are worked on at once.
@@ -188,23 +190,27 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         return both.where(most_shared("a_buckets", "b_buckets") >= need("a_n", "b_n")).select("a", "b")
 
     def near(pairs):
-        pairs = SharedTable(likely(pairs), "candidates").read()
-        ends = SharedTable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "ends").read()
+        candidates = SharedTable(likely(pairs), "candidates")
+        pairs = candidates.read()
+        named = SharedTable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "ends")
+        ends = named.read()
         # written tables: the planner knows their sizes, and texts are only shuffled where many are wanted
-        wanted = SharedTable(sets.join(ends, "fp", "left_semi").select(F.col("first").alias("id")).distinct(), "wanted").read()
+        asked = SharedTable(sets.join(ends, "fp", "left_semi").select(F.col("first").alias("id")).distinct(), "wanted")
+        wanted = asked.read()
         texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi")
         held = _sets(texts, "text", shingle, "fp", "set").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("__sigs").alias("set"))
         held = SharedTable(held, "sets")
         one, two = (held.read().select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
         found = SharedTable(pairs.join(one, "a").join(two, "b").where(pruned_jaccard("a_set", "b_set", least) >= least).select("a", "b"), "near").read()
-        held.drop()
+        for table in (candidates, named, asked, held):
+            table.drop()
         return found
 
-    def pairs_of(groups, other):
-        x, y = groups.select("sig", member.alias("x")), other.select("sig", F.col("p").alias("y"))
+    def pairs_of(groups, other, *share):
+        x, y = groups.select("sig", *share, member.alias("x")), other.select("sig", *share, F.col("p").alias("y"))
         size, rest = (lambda s: F.col(s)["n"]), (lambda s: F.col(s)["n"] - F.col(s)["pos"])
         fits = (F.least(size("x"), size("y")) >= F.greatest(size("x"), size("y")) * F.lit(least) - 1e-6) & (F.least(rest("x"), rest("y")) >= (size("x") + size("y")) * F.lit(least / (1 + least)) - 1e-6)
-        return _ordered(x.join(y, "sig").where((F.col("x")["root"] != F.col("y")["root"]) & fits).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
+        return _ordered(x.join(y, ["sig", *share]).where((F.col("x")["root"] != F.col("y")["root"]) & fits).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
 
     def with_pivots(groups, turn, n):
         if n == 1:
@@ -213,7 +219,11 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         return pairs_of(groups, groups.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).select("sig", member.alias("p")))
 
     def in_full(groups):
-        return pairs_of(groups, groups.select("sig", member.alias("p")))
+        """A group is dealt over shares of SHARE sets, and all its sets are sent to each share, so a hot shingle's pairs are made in many tasks."""
+        shares = F.ceil(F.col("rows") / SHARE).cast("int")
+        dealt = groups.withColumn("share", F.pmod(F.xxhash64("fp"), shares).cast("int"))
+        every = groups.select("sig", member.alias("p"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+        return pairs_of(dealt, every, "share")
 
     member = F.struct("fp", "n", "pos", "root")
     first = with_pivots(index.withColumn("root", F.col("fp")), 0, 1).union(simhash_pairs(sets, distance))
@@ -222,16 +232,20 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         roots = SharedTable(connected_components(edges), "roots").read()
         rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         large = F.count("*") > FULL
-        still = rooted.groupBy("sig").agg((F.min("root") != F.max("root")).alias("open"), large.alias("large")).where("open and large" if turn > 1 else "open")
-        still = SharedTable(still.select("sig", "large"), "open").read()
+        still = rooted.groupBy("sig").agg((F.min("root") != F.max("root")).alias("open"), large.alias("large"), F.count("*").alias("rows")).where("open and large" if turn > 1 else "open")
+        opened = SharedTable(still.select("sig", "large", "rows"), "open")
+        still = opened.read()
         if still.isEmpty():
             return roots
-        groups = SharedTable(rooted.join(still, "sig"), "groups").read()
+        gathered = SharedTable(rooted.join(still, "sig"), "groups")
+        groups = gathered.read()
         last = turn == PIVOT_ROUNDS
         more = in_full(groups if last else groups.where("not large"))
         more = more if last else more.union(with_pivots(groups.where("large"), turn, PIVOTS))
         # the roots stand for all links so far
         edges = near(more.distinct()).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        opened.drop()
+        gathered.drop()
     return connected_components(edges)
 
 

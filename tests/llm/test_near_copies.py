@@ -46,6 +46,7 @@ def test_components_equal_brute_force(spark, monkeypatch, limit, rounds, full):
     monkeypatch.setattr(near_copies, "LIMIT", limit)
     monkeypatch.setattr(near_copies, "FULL", full)
     monkeypatch.setattr(near_copies, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "SHARE", 512 if full == 64 else 5)
     rows = edited_copies()
     expected = brute_components(rows)
     assert 30 < len(set(expected.values())) < len(rows) - 30
