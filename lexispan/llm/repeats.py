@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import SharedTable, with_least
 from ._text import RangeHash, byte_view, chunks, mixed, text_of
 
 #: Shortest string that counts as repeated, and the length of the anchors that meet in one task.
 LEAST, GRAM = 50, 16
 #: Text bytes whose anchors share a bucket, fewest buckets, and anchors or segments that a task gathers before it sends them.
 BUCKET_BYTES, LEAST_BUCKETS, GATHERED = 8 << 20, 96, 1 << 18
+#: Documents in expectation that show which anchors are hot, and in how many documents an anchor is hot.
+SAMPLE, HOT = 1_000_000, 1_000_000
 #: Text bytes that are hashed or cut at once (a longer text stands alone).
 SLICE = 1 << 19
 #: Symbols beyond the 256 bytes: what lies outside a text (never indexed), and the first group of an anchor.
@@ -241,18 +244,63 @@ def _shared_places(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"__doc": doc[keep], "__sig": sig[keep], "place": place[keep].astype(np.int32)})
 
 
-def _segments(rows: DataFrame, buckets: int, least: int, gram: int) -> DataFrame:
-    """The surroundings of shared anchors as blobs by anchor; of equal ones in a task the least document's is sent (kind 0), the others are spans to remove (kind 1)."""
+def hot_anchors(rows: DataFrame, n: int, least: int, gram: int) -> np.ndarray:
+    """Hashes of the anchors that about HOT documents or more hold, by a sample of about SAMPLE of the n documents, in order.
+
+    A table of fewer documents has none. What comes to the driver is bounded by the sample's anchors over the count that makes one of them hot.
+    The choice moves work, never results.
+    """
+    if n < HOT:
+        return np.zeros(0, np.uint64)
+    share = max(1, n // SAMPLE)
+
+    def apply(batches):
+        for batch in chunks(batches, "__text", SLICE):
+            row, _, hashes = anchors(*byte_view(text_of(batch, "__text")), least, gram)
+            once = np.unique(np.column_stack([row.view(np.uint64), hashes]), axis=0)[:, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], ["hash"])
+
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), "__doc", "__sig"), F.lit(share)) == 0).mapInArrow(apply, "hash long")
+    found = drawn.groupBy("hash").count().where(F.col("count") >= max(1, HOT // share)).select("hash").collect()
+    return np.sort(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
+
+
+def _strings(block, left, right, place, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, 128-bit name) of every string of `least` bytes that holds the anchor."""
+    side = least - gram
+    low, high = side - np.minimum(side, left.astype(np.int64)), side - np.maximum(0, side - right.astype(np.int64))
+    count = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(block)), count)
+    at = np.repeat(low, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    text = block[row[:, None], at[:, None] + np.arange(least)]
+    names = np.column_stack([_row_hash(text), _row_hash(text[:, ::-1])])
+    return row, place[row].astype(np.int64) - side + at, names
+
+
+def _segments(rows: DataFrame, buckets: int, least: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """The surroundings of shared anchors as blobs by anchor; of equal ones in a task the least document's is sent (kind 0), the others are spans to remove (kind 1).
+
+    Those of hot anchors are sent as the strings that they consist of (kind 2), which need no company.
+    """
     side = least - gram
 
     def sent(held):
-        block, left, right, doc, sig, place = (np.concatenate(h) for h in zip(*held))
+        block, left, right, doc, sig, place, hashes = (np.concatenate(h) for h in zip(*held))
         of = _groups(np.column_stack([block, left, right]))
         first = _least(of, doc, of.max() + 1 if len(of) else 0)[of] == doc
+        if len(hot):
+            own = np.flatnonzero(first & np.isin(hashes, hot))
+            for part in np.array_split(own, -(-len(own) // 8192) or 1):
+                row, start, names = _strings(block[part], left[part], right[part], place[part], least, gram)
+                strings = {"name": names, "doc": doc[part][row], "sig": sig[part][row], "start": start}
+                yield _batch(_blobs(_spread(buckets, len(row), int(doc[0]) % buckets), 2, strings))
+            first = first & ~np.isin(hashes, hot)
+            later = np.flatnonzero(~first & ~np.isin(np.arange(len(first)), own))
+        else:
+            later = np.flatnonzero(~first)
         bucket = (_row_hash(block[:, side : side + gram]) % np.uint64(buckets)).astype(np.int64)
         columns = {"block": block, "left": left, "right": right, "doc": doc, "sig": sig, "place": place}
         yield _batch(_blobs(bucket[first], 0, {k: c[first] for k, c in columns.items()}))
-        later = np.flatnonzero(~first)
         spans = {"doc": doc[later], "sig": sig[later], "start": (place[later] - left[later]).astype("<u4"), "stop": (place[later] + gram + right[later]).astype("<u4")}
         yield _batch(_blobs(_spread(buckets, len(later), int(doc[0]) % buckets), 1, spans))
 
@@ -266,7 +314,8 @@ def _segments(rows: DataFrame, buckets: int, least: int, gram: int) -> DataFrame
         around = np.arange(2 * side + gram)
         block = data[(offsets[row] + place)[:, None] + around]
         block = np.where((around >= (side - left)[:, None]) & (around < (side + gram + right)[:, None]), block, 0).astype(np.uint8)
-        return block, left.astype("u1"), right.astype("u1"), doc[row].astype("<i8"), sig[row].astype("<i4"), place.astype("<u4")
+        hashes = RangeHash(data)(at := offsets[row] + place + side, at + gram) if len(hot) else np.zeros(len(row), np.uint64)
+        return block, left.astype("u1"), right.astype("u1"), doc[row].astype("<i8"), sig[row].astype("<i4"), place.astype("<u4"), hashes
 
     def apply(batches):
         unpack, held, size = zstandard.ZstdDecompressor(), [], 0
@@ -391,6 +440,19 @@ def _spans(least: int, gram: int):
     return apply
 
 
+def _earlier_strings(rows: DataFrame) -> DataFrame:
+    """(__doc, __sig, span) of the strings of hot anchors (blobs of kind 2) that a smaller document holds: a least document for each string, met over salts."""
+
+    def apply(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                name, doc, sig, start = _unpacked([blob.as_py()], name=("<u8", 2), doc="<i8", sig="<i4", start="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.ascontiguousarray(name)], pa.binary()), pa.array(doc), pa.array(sig), pa.array(start)], ["name", "__doc", "__sig", "start"])
+
+    strings = rows.select("blob").mapInArrow(apply, "name binary, __doc long, __sig int, start long")
+    return with_least(strings, "name", "__doc", "first").where("__doc > first").select("__doc", "__sig", "start")
+
+
 def _compressed(rows: DataFrame) -> DataFrame:
     """Texts as zstandard frames, for their way through a shuffle."""
 
@@ -421,15 +483,23 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, least: int = LEAST, gram:
     anchor. Anchors are dealt to buckets by hash; those that one document alone holds go no further. The surroundings of the others, all that a string of `least`
     bytes around the anchor can hold, are dealt to buckets again and compared there through run-length indexes.
     A task sends an anchor and equal surroundings once, however many of its documents hold them, so a passage that a third of all
-    documents share weighs as many records in its bucket as tasks hold it; surroundings that differ are all sent.
+    documents share weighs as many records in its bucket as tasks hold it; surroundings that differ are all sent. Those of hot anchors don't meet in a bucket: their
+    strings of `least` bytes find their least documents by partial minima over salts.
     """
-    size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
+    hot = hot_anchors(rows, n, least, gram)
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     entries = _entries(rows, buckets, least, gram)
     shared = entries.groupBy("bucket", "kind").applyInPandas(_shared_places, "__doc long, __sig int, place int")
     places = shared.groupBy("__doc", "__sig").agg(F.collect_set("place").alias("places"))
     joined = packed.join(places, ["__doc", "__sig"]).select("__doc", "__sig", "packed", "places")
-    found = _segments(joined, buckets, least, gram).groupBy("bucket", "kind").applyInPandas(_spans(least, gram), "__doc long, __sig int, span long")
+    segments = _segments(joined, buckets, least, gram, hot)
+    if len(hot):
+        segments = SharedTable(segments, "segments").read()  # read twice
+    found = segments.where("kind < 2").groupBy("bucket", "kind").applyInPandas(_spans(least, gram), "__doc long, __sig int, span long")
+    if len(hot):
+        strings = _earlier_strings(segments.where("kind = 2"))
+        found = found.union(strings.select("__doc", "__sig", (F.shiftleft("start", 32) + F.col("start") + least).alias("span")))
     return found.groupBy("__doc", "__sig").agg(F.collect_set("span").alias("spans"))
 
 

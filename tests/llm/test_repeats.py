@@ -93,6 +93,20 @@ def test_records_of_several_rounds_of_a_task(spark, monkeypatch):
     assert found(spark, docs) == brute(docs)
 
 
+@pytest.mark.parametrize("hot, sample", [(2, 10**6), (12, 60)])
+def test_hot_anchors_give_the_same_rows(spark, monkeypatch, hot, sample):
+    """Anchors of many documents, all or those that a sample shows, are met by their strings instead of in a bucket."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
+    docs = planted(6)
+    passage = words(random.Random(9), 30)
+    docs += [(2_000_000 + i, f"{i}x" + passage + "abcdefg"[i % 7 :] + words(random.Random(i), 20)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows, _ = repeats._texts(df, "doc_id", "text")
+    assert len(repeats.hot_anchors(rows, len(docs), 50, 16)) > 5
+    assert found(spark, docs) == brute(docs)
+
+
 def test_kept_bytes(spark):
     docs = [(1, "a" * 60 + "first"), (2, "second" + "a" * 60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
