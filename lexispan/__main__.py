@@ -1,4 +1,4 @@
-"""Builds a dictionary from spans: python -m lexispan SPANS OUT [--rules FILE] [--test] [--step N]."""
+"""Builds a dictionary from spans: python -m lexispan SPANS OUT [--rules FILE] [--test] [--step N] [--incremental]."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import flow, layout, parsing, quality, ranking
+from .operators import flow, increments, layout, parsing, quality, ranking
 from .sources import files
 
 #: Files of a trial run, and the numbers of the main files of each tome.
@@ -39,6 +39,16 @@ def main_files(spans: DataFrame, trial: bool) -> DataFrame:
     return spans.where(wanted)
 
 
+def changed_entries(spans: DataFrame, table: list[tuple[str, str]], path: str) -> DataFrame:
+    """Flat entries of all spans, of which only those of pages are made anew whose spans or rules differ from the run before."""
+    tome, _, _ = parsing.file_meta("slice")
+    rows = spans.withColumn("tome", tome)
+    units = increments.digest(rows, ["slice", "tome", "page"], also=repr(table))
+    store = increments.GroupStore(spans.sparkSession, path, ["tome", "page"])
+    store.run(units, lambda groups: flow.flat_entries(page_lines(rows.join(groups, ["tome", "page"], "left_semi").drop("tome")), table))
+    return store.current()
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lexispan")
     parser.add_argument("spans", help="Parquet of spans")
@@ -46,15 +56,17 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--rules", help="JSON Lines of key and val")
     parser.add_argument("--test", action="store_true", help="only the trial files")
     parser.add_argument("--step", type=int, choices=(1, 2, 3), help="stop behind lines (1), flat entries (2) or nested entries (3)")
+    parser.add_argument("--incremental", action="store_true", help="make only the pages anew that have changed since the last such run")
     asked = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("lexispan").getOrCreate()
     last = asked.step or 4
-    lines = page_lines(main_files(spark.read.parquet(asked.spans), asked.test))
+    spans = main_files(spark.read.parquet(asked.spans), asked.test)
+    lines = page_lines(spans)
     if last == 1:
         files.write_version(lines, f"{asked.out}/lines", ["slice", "page", "column", "line_no"])
         return
     table = [(r["key"], r["val"]) for r in spark.read.schema("key string, val string").json(asked.rules).collect()] if asked.rules else []
-    entries = flow.flat_entries(lines, table)
+    entries = changed_entries(spans, table, f"{asked.out}/pages") if asked.incremental else flow.flat_entries(lines, table)
     number = files.write_version(entries, f"{asked.out}/flat", ["tome", "page", "word"])
     flat = spark.read.schema(entries.schema).json(f"{asked.out}/flat/version={number}")
     if last == 2:

@@ -122,7 +122,8 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    numbers = [n.removeprefix("version=") for n in names if n.startswith("version=")]
+    return sorted(int(n) for n in numbers if n.isdigit())
 
 
 def write_version(rows: DataFrame, path: str, order: list[str]) -> int:

@@ -168,3 +168,43 @@ def test_long_arrays_are_read_in_ranges(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
             spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_further_run_makes_only_changed_pages(spark, tmp_path):
+    from lexispan import __main__ as command
+    from lexispan.operators import increments
+
+    def spans(*changes):
+        rows = []
+        for name in ("tome2-08.pdf", "tome2-09.pdf"):
+            for page in (1, 2, 3):
+                for y, words in ((200, f"bwès{page}, m., bois"), (220, f"adje, f., âge {name}")):
+                    rows += [(name, page, words, False, False, "Times", x0, float(y), x0 + 80) for x0 in (140.0, 340.0)]
+                rows += [(name, page, "suite", False, False, "Times", x0, 210.0, x0 + 80) for x0 in (130.0, 330.0)]
+        for name, page, kind in changes:
+            if kind == "gone":
+                rows = [r for r in rows if (r[0], r[1]) != (name, page)]
+            else:
+                rows += [(name, page, f"{kind}, m., novea", False, False, "Times", x0, 240.0, x0 + 80) for x0 in (140.0, 340.0)]
+                rows += [(name, page, "suite", False, False, "Times", x0, 250.0, x0 + 80) for x0 in (130.0, 330.0)]
+        return spark.createDataFrame(rows, "slice string, page int, text string, bold boolean, italic boolean, font string, x0 double, y0 double, x1 double")
+
+    def entries(df):
+        return sorted((r["tome"], r["page"], r["word"], r["definition"], r["slice"]) for r in df.collect())
+
+    table, path = [("adje", "ådje")], str(tmp_path / "pages")
+    states = [(), (("tome2-09.pdf", 2, "trô"),), (("tome2-09.pdf", 2, "trô"), ("tome2-08.pdf", 3, "gone"), ("tome2-09.pdf", 3, "gone"), ("tome2-10.pdf", 4, "noû"))]
+    made = []
+    for changes in states:
+        now = spans(*changes)
+        found = entries(command.changed_entries(now, table, path))
+        assert found and found == entries(command.flow.flat_entries(command.page_lines(now), table))
+        last = max(command.files.versions(spark, f"{path}/rows"))
+        made.append({r["page"] for r in spark.read.parquet(f"{path}/rows/version={last}").collect()})
+    assert made == [{1, 2, 3}, {2}, {4}]
+    command.changed_entries(spans(*states[-1]), table, path)
+    assert spark.read.parquet(f"{path}/rows/version=4").count() == 0
+    command.changed_entries(spans(*states[-1]), [("adje", "adjî")], path)
+    assert spark.read.parquet(f"{path}/rows/version=5").select("page").distinct().count() == 3
+    store = increments.GroupStore(spark, path, ["tome", "page"])
+    assert {r["word"] for r in store.current().collect()} >= {"adjî", "trô", "noû"}
