@@ -254,7 +254,8 @@ def components(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance:
 
     SimHash fingerprints within `distance` bits give the first candidates. At a likeness of 0.8 most
     pairs differ in more bits than blocks can bridge, so the others share a shingle of
-    their sets' prefixes, rare shingles first, which misses no pair.
+    their sets' prefixes, rare shingles first, which misses no pair. Null and empty texts are one set, and
+    linked; very long texts are taken whole; repeated rows and null ids get a row each; other columns are left out. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     common = common_shingles(rows, "text", shingle)
@@ -279,6 +280,6 @@ def components(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance:
 
 
 def deduplicate(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """As `simhash.deduplicate`, with documents linked by the exact likeness of their shingles."""
+    """As `simhash.deduplicate`, with documents linked by the exact likeness of their shingles; other columns stay as they are, whatever their names."""
     found = SharedTable(components(docs, least, shingle, distance, id_col, text), "components").read()
     return simhash.survivors(docs, found, lambda x: named(x, "text", shingle, "fp"), id_col, text)

@@ -91,7 +91,8 @@ def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     """(id, log_weight): log of target over raw probability of a whole text's n-grams; null for null texts and texts without tokens.
 
     `scale` takes the mean log ratio times so many n-grams instead of the sum, which keeps
-    long texts from outweighing the noise by their length.
+    long texts from outweighing the noise by their length. Texts of any length are weighed whole, a slice of
+    a batch at a time; repeated rows and null ids get a row each, and other columns are left out.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("log_weight", T.DoubleType())])
 
@@ -129,7 +130,7 @@ def resample(docs: DataFrame, model: Model, fraction: float = 0.5, seed: int = 8
     1e-6; the highest scores are selected, ties by a hash of the id. Of rows that are equal
     in score and id (repeated rows, null ids) as many are selected as are left. Texts
     without tokens have neither weight nor score, and come after all others. Ids may be of
-    any type. An empty table gives no rows.
+    any type. Very long texts are weighed whole, and other columns are left out. An empty table gives no rows.
     """
     noise = -F.log(-F.log(unit_hash(F.col(id_col), seed=seed)))
     # texts without tokens keep an order among themselves, below every possible weight

@@ -187,7 +187,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     reachable over links. Exact copies share one fingerprint and are linked once.
     Null text counts as empty, and every empty text has fingerprint zero. A null id gets
     a row; it is never a component_id unless no row of the component has an id. Repeated
-    rows are returned as often as they occur. An empty table gives no rows.
+    rows are returned as often as they occur. Very long texts are fingerprinted whole; other columns
+    are left out, so their names can't clash. An empty table gives no rows.
     """
     marked = SharedTable(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", shingle), "fingerprints").read()
     return with_components(marked, lambda values: connected_components(links(values, distance)), id_col)

@@ -115,8 +115,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     The edited text has its last floor(n/2) code points replaced by the first as many (or
     all) of the next document's, by descending id; the last document's next is the first.
     A single row is its own next. Null texts count as empty; an empty text is edited to
-    itself. Repeated rows follow each other. Ids are whole numbers (other types are cast to
-    long, and null ids rank lowest). An empty table gives no rows.
+    itself. Very long texts are taken whole. Repeated rows follow each other. Ids are whole numbers: other types are cast to
+    long, which raises for text that is no number, and null ids rank lowest. Other columns are left out. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(with_signatures(rows, "text", "sigs"), "id", ["text", "sigs"])
