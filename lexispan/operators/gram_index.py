@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, strip
@@ -38,11 +39,16 @@ class GramIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 1024):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path, self.buckets, self._schemas = spark, path, buckets, {}
 
     def _bucket(self, *columns) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
 
+    def _buckets_of(self, grams: list[str]) -> list[int]:
+        """What `_bucket` gives for some runs."""
+        hashes = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
+        return sorted({(h - (h >> 63 << 64)) % self.buckets for h in hashes})
+
     def segments(self) -> list[int]:
         known = versions(self.spark, f"{self.path}/manifest")
         return sorted(r["segment"] for r in self.spark.read.parquet(f"{self.path}/manifest/version={known[-1]}").collect()) if known else []
@@ -57,12 +63,16 @@ class GramIndex:
     def _read(self, table: str, segments: list[int] | None = None) -> DataFrame:
         """The live rows of a table with their segment."""
         live = self.segments() if segments is None else segments
-        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*[f"{self.path}/{table}/version={s}" for s in live])
+        reader = self.spark.read.option("basePath", f"{self.path}/{table}")
+        reader = reader.schema(self._schemas[table]) if table in self._schemas else reader
+        rows = reader.parquet(*[f"{self.path}/{table}/version={s}" for s in live])
+        self._schemas[table] = rows.schema
+        return rows
 
     def _write(self, entries: DataFrame, postings: DataFrame | None, segment: int) -> None:
         place = f"{self.path}/entries/version={segment}"
         entries.withColumn("bucket", self._bucket("key")).repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(place)
-        kept = self.spark.read.parquet(place)
+        kept = self._read("entries", [segment])
         if postings is None:
             w, b = F.col("norm_word"), F.col("norm_body")
             start = F.transform(F.sequence(F.lit(1), F.lit(LETTERS)), lambda n: F.left(w, n))
@@ -100,13 +110,11 @@ class GramIndex:
 
     def postings(self, grams: list[str], least_bound: int = 0) -> DataFrame:
         """(gram, key, bound) of some runs: only their buckets are opened."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(self._bucket("gram")).distinct().collect()]
-        rows = self._read("postings").where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
+        rows = self._read("postings").where(F.col("bucket").isin(self._buckets_of(grams)) & F.col("gram").isin(grams))
         return rows.where(F.col("bound") >= least_bound).select("gram", "key", "bound")
 
     def _rarest(self, grams: list[str], most: int = 2) -> list[str]:
-        buckets = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(self._bucket("gram")).distinct().collect()]
-        rows = self._read("counts").where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams)).groupBy("gram").agg(F.sum("count").alias("n")).collect()
+        rows = self._read("counts").where(F.col("bucket").isin(self._buckets_of(grams)) & F.col("gram").isin(grams)).groupBy("gram").agg(F.sum("count").alias("n")).collect()
         if len(rows) < len(grams):
             return []  # a run that no entry holds
         return [r["gram"] for r in sorted(rows, key=lambda r: (r["n"], r["gram"]))[:most]]

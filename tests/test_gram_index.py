@@ -72,3 +72,10 @@ def test_a_failed_batch_is_never_named(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert sorted((r["key"], r["score"]) for r in index.matches("bw").collect()) == before
     assert index.add(rows(spark, 5, range(10)), "k", F.col("w"), F.col("b")) == 3
+
+
+def test_buckets_are_told_without_a_job(spark, tmp_path):
+    index = gram_index.GramIndex(spark, str(tmp_path / "i"), buckets=64)
+    grams = ["a", "bw", "wès", "å b", "œ", "\U0001f600"]
+    rows = spark.createDataFrame([(g,) for g in grams], "gram string").select("gram", index._bucket("gram").alias("b")).collect()
+    assert {r["b"] for r in rows} == set(index._buckets_of(grams))
