@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import SharedTable, unit_hash
+from ._spark import SALTS, SharedTable, unit_hash
 from ._text import WORD, RangeHash, byte_view, chunks, mixed, runs, text_of
 
 BUCKETS = 10_000
@@ -147,8 +147,11 @@ def resample(docs: DataFrame, model: Model, fraction: float = 0.5, seed: int = 8
     chosen = (F.col("key") > border) | ((F.col("key") == border) & (F.col("tie") > last))
     # rows at the border differ in nothing that is returned: they are counted, and as many as are left are selected
     left = k - above - before
-    equal = rows.where(at_border).groupBy(id_col, "log_weight", "key").count()
-    behind = Window.orderBy(F.col("log_weight").desc(), F.col(id_col).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    equal = equal.withColumn("passed", F.coalesce(F.sum("count").over(behind), F.lit(0))).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    # (by salts, so that many repeats of one row, or rows without an id, are written out again in as many tasks)
+    dealt = rows.where(at_border).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    equal = dealt.groupBy(id_col, "log_weight", "key", "salt").count()
+    behind = Window.orderBy(F.col("log_weight").desc(), F.col(id_col).asc(), "salt").rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("passed", F.coalesce(F.sum("count").over(behind), F.lit(0))).repartition(SALTS, "salt")
+    equal = equal.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
     rest = equal.select(id_col, "log_weight", score, (F.col("passed") + F.col("n") <= left).alias("selected"))
     return rows.where(~at_border).select(id_col, "log_weight", score, chosen.alias("selected")).union(rest)
