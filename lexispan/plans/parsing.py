@@ -185,7 +185,8 @@ def p14_pattern_entries(spark, sf_dir):
     """Headwords and definitions of whole files by the pattern that fits most."""
     whole = _files(spark, sf_dir).select("doc_id", text.clean(F.regexp_replace("text", parsing.PAGE_BREAK, "\n\n")).alias("text"))
     found = parsing.with_pattern_entries(whole, "text", "found")
-    return found.select("doc_id", F.posexplode("found").alias("place", "e")).select("doc_id", "place", "e.word", "e.definition")
+    # an expression, not the column: for a column Spark would infer a filter that runs the patterns again
+    return found.select("doc_id", F.posexplode(F.array_compact("found")).alias("place", "e")).select("doc_id", "place", "e.word", "e.definition")
 
 
 @query(SQL_FILE_ENTRIES + """, c AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN 'patterns' ELSE 'blocks' END AS parser, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS es FROM e),
