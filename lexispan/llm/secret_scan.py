@@ -43,8 +43,8 @@ IDENTIFIERS = (
 STRING, PIECE = re.compile(r"[!#-&*-;=?-Z^-z|~]+"), re.compile(r"[A-Za-z0-9+/_.=~$!-]+")
 MARKS = "+/_.=~$!-%@#&*^:;,?"
 ORDER = {"assign": 0, "access": 1, "hex": 2, "novel": 3}
-#: Documents from which common identifiers are learned, in expectation, and most bytes of them.
-SAMPLE, LEARNED_BYTES = 2_000, 8_192
+#: In how many documents an identifier stands that counts as common: so many at least, and this share of all; and most bytes of identifiers that are kept.
+LEAST_DOCUMENTS, LEAST_SHARE, LEARNED_BYTES = 3, 0.0015, 8_192
 
 
 @dataclass(frozen=True)
@@ -77,16 +77,15 @@ class Settings:
 DEFAULT = Settings()
 
 
-def learned(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Settings:
-    """The settings with a dictionary of the corpus's own: the identifiers that most documents of a sample hold, up to LEARNED_BYTES.
+def learned(docs: DataFrame, settings: Settings = DEFAULT, text: str = "text") -> Settings:
+    """The settings with a dictionary of the corpus's own: the identifiers that most documents hold, up to LEARNED_BYTES.
 
-    The sample has about `sample` documents, drawn by a hash of their ids; it bounds what is counted, whatever the table's size.
-    Identifiers are runs of 6 to 40 letters, digits and underscores in three documents or more.
+    Every document is counted, whatever the table's size; only the identifiers that are kept come to the driver.
+    Identifiers are runs of 6 to 40 letters, digits and underscores in LEAST_DOCUMENTS documents and in LEAST_SHARE of all or more.
     """
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(max(1, n // sample))) == 0)
-    names = drawn.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]{6,40}"), 0))).alias("name"))
-    often = names.groupBy("name").count().where("count >= 3").orderBy(F.desc("count"), "name").limit(LEARNED_BYTES // 7).collect()
+    least = max(LEAST_DOCUMENTS, math.ceil(docs.count() * LEAST_SHARE))
+    names = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]{6,40}"), 0))).alias("name"))
+    often = names.groupBy("name").count().where(F.col("count") >= least).orderBy(F.desc("count"), "name").limit(LEARNED_BYTES // 7).collect()
     kept, size = [], 0
     for r in often:
         size += len(r["name"]) + 1

@@ -170,3 +170,17 @@ def test_a_corpus_teaches_its_identifiers(spark):
     settings = secret_scan.learned(df)
     assert b"buildX9Kq2_v71Zt8" in settings.identifiers and secret_scan.spans_of(text, settings) == []
     assert secret_scan.learned(df.limit(0)).identifiers.endswith(secret_scan.IDENTIFIERS)
+
+
+def test_identifiers_are_counted_in_all_documents(spark):
+    """A name in six of 4,000 documents is common, one in five isn't, wherever they stand."""
+    n = 4000
+    often, seldom = ([f"{kind}_{k:02}_X9Kq2" for k in range(40)] for kind in ("often", "seldom"))
+    held = {i: [] for i in range(n)}
+    for times, names in ((6, often), (5, seldom)):
+        for k, name in enumerate(names):
+            for j in range(times):
+                held[(97 * k + 613 * j) % n].append(name)
+    df = spark.createDataFrame([(i, " ".join(["word", *names])) for i, names in held.items()], "doc_id long, text string")
+    kept = secret_scan.learned(df).identifiers.removesuffix(secret_scan.IDENTIFIERS).decode().split()
+    assert sorted(kept) == often
