@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,12 +89,16 @@ def salt(value: str) -> F.Column:
     return F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")
 
 
+#: Edges that one task joins at once. Up to so many take no rounds, each of which is some ten stages that the driver plans.
+EDGES_A_TASK = 1 << 18
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each is two joins on a partially
+    Up to EDGES_A_TASK edges are joined in one task. More take alternating large-star and small-star rounds: each is two joins on a partially
     aggregated minimum, and each round is a table in the shared folder, so neither
-    the driver nor one task ever holds a component or the neighbours of a hub. An empty
+    the driver nor one task ever holds a component or the neighbours of a hub beyond that bound. An empty
     input gives no rows. Rounds grow with the logarithm of the longest path; if `max_rounds`
     aren't enough, RuntimeError is raised and no result is returned.
     """
@@ -100,7 +106,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     table = SharedTable(_ordered(edges).distinct(), "edges")
     for _ in range(max_rounds):
         seen = table.read().agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == state or seen[0] == 0:
+        few = 0 < seen[0] <= EDGES_A_TASK
+        if few:
+            rows = table.read()
+            after = SharedTable(rows.coalesce(1).mapInPandas(_stars, rows.schema), "edges")
+            table.drop()
+            table = after
+        if few or seen == state or seen[0] == 0:
             stars = table.read()
             members = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
             roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
@@ -112,6 +124,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _stars(frames):
+    """(a, b) for every node but the least of its component, which is b; of edges that fit in a task."""
+    held = list(frames)
+    if not held:
+        return
+    rows = pd.concat(held, ignore_index=True)
+    nodes, ends = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
+    a, b = np.split(ends, 2)
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # only roots are hung on lesser ones
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pd.DataFrame({"a": nodes[below], "b": nodes[root[below]]})
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Edges as (larger, smaller), without loops."""
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexispan.llm import simhash
+from lexispan.llm import _spark, simhash
 from lexispan.llm._spark import connected_components
 
 
@@ -88,6 +88,29 @@ def test_components(spark):
     assert connected_components(chain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 40, 1 << 18])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(_spark, "EDGES_A_TASK", most)
+    rng = random.Random(most)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(1000 - i, 999 - i) for i in range(60)] + [(-5, 10**18)]
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = {n: r for n, r in root.items() if any(n in p and p[0] != p[1] for p in pairs)}
+    found = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(found) == len(expected) and {r["node"]: r["root"] for r in found} == expected
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Each job's plan, threads and classes weigh on the driver."""
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "")
+    connected_components(spark.range(200).selectExpr("id as a", "id + 1 as b")).count()
+    assert len(context.statusTracker().getJobIdsForGroup("few-edges")) <= 12
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_edges(edge, none):
     rows = simhash.simhash_components(edge).collect()
     assert len(rows) == 13
