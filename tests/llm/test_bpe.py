@@ -56,6 +56,46 @@ def test_queue_gives_the_lowest_rank():
     assert [queue.take() for _ in ranks] == [(r, [1, 2, 3]) for r in sorted(ranks)] and queue.take() is None
 
 
+def test_short_pre_tokens_are_merged_together():
+    """Tables with any order of ranks, ranks far apart and bytes that are no tokens: as by the single queue."""
+    rng = random.Random(6)
+    for _ in range(60):
+        ranks, n = {bytes([i]): i for i in range(256) if i != ord("q")}, 300
+        for _ in range(rng.randint(1, 60)):
+            ranks.setdefault("".join(rng.choice("abcq") for _ in range(rng.randint(2, 5))).encode(), n)
+            n += rng.choice([1, 1, 300, 2000])
+        encoder = bpe.Encoder(ranks, r"\S+")
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 64))).encode() for _ in range(20)]
+        assert encoder.merged_together(words) == encoder.merged(words)
+        held = "".join(rng.choice("abcq") for _ in range(12)).encode()
+        results = []
+        for merge in (encoder.merged, encoder.merged_together):
+            try:
+                results.append(merge([held]))
+            except KeyError:
+                results.append(None)
+        assert results[0] == results[1]
+
+
+def test_many_new_words_open_few_buckets(pair, monkeypatch):
+    """What is done for each bucket is Python's; the words of a slice share it."""
+    ours, theirs = pair
+    opened, put = [], bpe.RankQueue.put
+    monkeypatch.setattr(bpe.RankQueue, "put", lambda self, *a: (opened.append(1), put(self, *a))[1])
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("aeionrstlzkv") for _ in range(rng.randint(5, 12))) for _ in range(5000))
+    assert ids(ours, text) == theirs.encode_ordinary(text)
+    assert 0 < len(opened) < 500
+
+
+def test_decode_refuses_unknown_ids(pair):
+    encoder = pair[0]
+    rows = encoder.encode(["one two", "", "été 😀"])
+    assert encoder.decode(rows) == [x.encode() for x in ("one two", "", "été 😀")] and encoder.decode([]) == []
+    with pytest.raises(KeyError):
+        encoder.decode([np.array([encoder.most + 1], "<u4").tobytes()])
+
+
 def test_round_trip_and_edges(edge, none, pair):
     texts = {r["doc_id"]: r["text"] or "" for r in edge.collect()}
     rows = bpe.round_trip(edge, FILE, public_tokenizers.PATTERN).collect()
