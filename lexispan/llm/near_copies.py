@@ -21,6 +21,8 @@ LIMIT, REORDERS = 1024, 2
 PIVOT_ROUNDS, PIVOTS, FULL = 2, 8, 64
 #: Sets of a share of a group that is compared in full.
 SHARE = 512
+#: Sets that choose the centre of a large group, at most: the choice changes the work, never the result.
+CENTRE = 64
 #: Shingles of a bucket of a set's histogram, at most, and least and most bits of its buckets' numbers.
 FILLED, LEAST_BITS, MOST_BITS = 4, 6, 13
 #: Bytes of text that are worked on at once.
@@ -179,8 +181,9 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
     Candidates are the SimHash links, and sets that share a shingle of their prefixes at places
     that allow the likeness. Histograms rule out most of those that are too unlike, and the
     rest is verified on the whole sets. A group that shares a shingle is compared with one, then with some,
-    of its sets first. Sets that are linked by then aren't compared with each other; all pairs
-    that remain open are.
+    of its sets first. Sets that are linked by then aren't compared with each other. What stays open of large groups is
+    indexed anew by what sets each set apart from its group; there, too, groups are compared with some of their sets first, and all pairs
+    that remain open are compared.
     """
     need = lambda m, n: (F.col(m) + F.col(n)) * F.lit(least / (1 + least)) - 1e-6
 
@@ -189,10 +192,9 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         both = pairs.join(one, "a").join(two, "b")
         return both.where(most_shared("a_buckets", "b_buckets") >= need("a_n", "b_n")).select("a", "b")
 
-    def near(pairs):
-        candidates = SharedTable(likely(pairs), "candidates")
-        pairs = candidates.read()
-        named = SharedTable(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "ends")
+    def whole(ends):
+        """A table (fp, set) of the sets that are named."""
+        named = SharedTable(ends.distinct(), "ends")
         ends = named.read()
         # written tables: the planner knows their sizes, and texts are only shuffled where many are wanted
         asked = SharedTable(sets.join(ends, "fp", "left_semi").select(F.col("first").alias("id")).distinct(), "wanted")
@@ -200,53 +202,107 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi")
         held = _sets(texts, "text", shingle, "fp", "set").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("__sigs").alias("set"))
         held = SharedTable(held, "sets")
+        for table in (named, asked):
+            table.drop()
+        return held
+
+    def near(pairs):
+        candidates = SharedTable(likely(pairs), "candidates")
+        pairs = candidates.read()
+        held = whole(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")))
         one, two = (held.read().select(F.col("fp").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
         found = SharedTable(pairs.join(one, "a").join(two, "b").where(pruned_jaccard("a_set", "b_set", least) >= least).select("a", "b"), "near").read()
-        for table in (candidates, named, asked, held):
+        for table in (candidates, held):
             table.drop()
         return found
 
-    def pairs_of(groups, other, *share):
-        x, y = groups.select("sig", *share, member.alias("x")), other.select("sig", *share, F.col("p").alias("y"))
-        size, rest = (lambda s: F.col(s)["n"]), (lambda s: F.col(s)["n"] - F.col(s)["pos"])
-        fits = (F.least(size("x"), size("y")) >= F.greatest(size("x"), size("y")) * F.lit(least) - 1e-6) & (F.least(rest("x"), rest("y")) >= (size("x") + size("y")) * F.lit(least / (1 + least)) - 1e-6)
-        return _ordered(x.join(y, ["sig", *share]).where((F.col("x")["root"] != F.col("y")["root"]) & fits).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
-
-    def with_pivots(groups, turn, n):
-        if n == 1:
-            return pairs_of(groups, groups.groupBy("sig").agg(F.min_by(member, F.xxhash64("fp", F.lit(turn))).alias("p")))
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("fp", F.lit(turn)))  # a rank limit: each task passes on n rows a group
-        return pairs_of(groups, groups.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).select("sig", member.alias("p")))
-
-    def in_full(groups):
-        """A group is dealt over shares of SHARE sets, and all its sets are sent to each share, so a hot shingle's pairs are made in many tasks."""
-        shares = F.ceil(F.col("rows") / SHARE).cast("int")
-        dealt = groups.withColumn("share", F.pmod(F.xxhash64("fp"), shares).cast("int"))
-        every = groups.select("sig", member.alias("p"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-        return pairs_of(dealt, every, "share")
-
-    member = F.struct("fp", "n", "pos", "root")
-    first = with_pivots(index.withColumn("root", F.col("fp")), 0, 1).union(simhash_pairs(sets, distance))
-    edges = near(first.distinct())
-    for turn in range(1, PIVOT_ROUNDS + 1):
-        roots = SharedTable(connected_components(edges), "roots").read()
-        rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        large = F.count("*") > FULL
-        still = rooted.groupBy("sig").agg((F.min("root") != F.max("root")).alias("open"), large.alias("large"), F.count("*").alias("rows")).where("open and large" if turn > 1 else "open")
-        opened = SharedTable(still.select("sig", "large", "rows"), "open")
-        still = opened.read()
-        if still.isEmpty():
-            return roots
-        gathered = SharedTable(rooted.join(still, "sig"), "groups")
-        groups = gathered.read()
-        last = turn == PIVOT_ROUNDS
-        more = in_full(groups if last else groups.where("not large"))
-        more = more if last else more.union(with_pivots(groups.where("large"), turn, PIVOTS))
-        # the roots stand for all links so far
-        edges = near(more.distinct()).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        opened.drop()
-        gathered.drop()
-    return connected_components(edges)
+    def settled(index, edges, member, fits, apart):
+        """The roots of the edges and of all pairs of the index; with `apart`, large groups that stay open go on to another index."""
+
+        def pairs_of(groups, other, *share):
+            x, y = groups.select("sig", *share, member.alias("x")), other.select("sig", *share, F.col("p").alias("y"))
+            return _ordered(x.join(y, ["sig", *share]).where((F.col("x")["root"] != F.col("y")["root"]) & fits).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
+
+        def with_pivots(groups, turn, n):
+            order = Window.partitionBy("sig").orderBy(F.xxhash64("fp", F.lit(turn)))  # a rank limit: each task passes on n rows a group
+            return pairs_of(groups, groups.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).select("sig", member.alias("p")))
+
+        def in_full(groups):
+            """A group is dealt over shares of SHARE sets, and all its sets are sent to each share, so a hot shingle's pairs are made in many tasks."""
+            shares = F.ceil(F.col("rows") / SHARE).cast("int")
+            dealt = groups.withColumn("share", F.pmod(F.xxhash64("fp"), shares).cast("int"))
+            every = groups.select("sig", member.alias("p"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+            return pairs_of(dealt, every, "share")
+
+        if edges is None:
+            pivots = index.withColumn("root", F.col("fp"))
+            pivots = pairs_of(pivots, pivots.groupBy("sig").agg(F.min_by(member, F.xxhash64("fp", F.lit(0))).alias("p")))
+            edges = near(pivots.union(simhash_pairs(sets, distance)).distinct())
+        for turn in range(1, PIVOT_ROUNDS + 1):
+            roots = SharedTable(connected_components(edges), "roots").read()
+            rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+            large = F.count("*") > FULL
+            still = rooted.groupBy("sig").agg((F.min("root") != F.max("root")).alias("open"), large.alias("large"), F.count("*").alias("rows")).where("open and large" if turn > 1 else "open")
+            opened = SharedTable(still.select("sig", "large", "rows"), "open")
+            still = opened.read()
+            if still.isEmpty():
+                return roots
+            gathered = SharedTable(rooted.join(still, "sig"), "groups")
+            groups = gathered.read()
+            # the roots stand for all links so far
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            if turn == PIVOT_ROUNDS and apart:
+                return again(groups, known)
+            more = in_full(groups if turn == PIVOT_ROUNDS else groups.where("not large"))
+            more = more if turn == PIVOT_ROUNDS else more.union(with_pivots(groups.where("large"), turn, PIVOTS))
+            edges = near(more.distinct()).union(known)
+            opened.drop()
+            gathered.drop()
+        return connected_components(edges)
+
+    def again(groups, known):
+        """The roots of what stays open of large groups: sets are compared by how they differ from their group's centre.
+
+        Let d be a set's symmetric difference to the centre, whatever that is, c = (1 - least) / (1 + least) and s = |d| - c * n. Two sets are `least` alike where their
+        differences share (s + s') / 2 values or more. So if s + s' is at most 0, both are like the set of the least s, and one comparison with that
+        one serves them all. All other pairs share a value, and one of the rarest of each, which few sets of a group of near copies do.
+        """
+        c = F.lit((1 - least) / (1 + least))
+        first = SharedTable(groups.groupBy("sig").agg(F.min_by("fp", F.xxhash64("fp")).alias("of")), "first")
+        members = SharedTable(groups.join(first.read(), "sig").select("of", "fp", "n", "root").distinct(), "members")
+        held = whole(members.read().select("fp"))
+        drawn = members.read().withColumn("__n", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("fp")))).where(F.col("__n") <= CENTRE)
+        drawn = SharedTable(drawn.join(held.read(), "fp").select("of", "set"), "drawn")
+        often = drawn.read().select("of", F.explode("set").alias("value")).groupBy("of", "value").count()
+        often = often.join(drawn.read().groupBy("of").agg(F.count("*").alias("all")), "of").where(2 * F.col("count") > F.col("all"))
+        centres = SharedTable(often.groupBy("of").agg(F.collect_list("value").alias("centre")), "centres")
+        beside = members.read().join(held.read(), "fp").join(centres.read(), "of", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+        beside = beside.withColumn("d", F.concat(F.array_except("set", "centre"), F.array_except("centre", "set"))).withColumn("s", F.size("d") - c * F.col("n"))
+        beside = SharedTable(beside.select("of", "fp", "n", "root", "d", "s"), "beside")
+        bounds = SharedTable(beside.read().groupBy("of").agg(F.min_by(F.struct("fp", "root"), F.struct("s", "fp")).alias("best"), F.min("s").alias("least_s")), "bounds")
+        far = F.col("s") + F.col("least_s") > 1e-6
+        marked = beside.read().join(bounds.read(), "of")
+        stars = _ordered(marked.where(~far & (F.col("root") != F.col("best.root"))).select(F.col("fp").alias("x"), F.col("best.fp").alias("y")))
+        values = SharedTable(beside.read().select("of", "fp", F.explode("d").alias("value")), "values")
+        shared = SharedTable(values.read().groupBy("of", "value").count().where("count > 1"), "shared")
+        rare = values.read().join(shared.read(), ["of", "value"]).groupBy("of", "fp").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("rare"))
+        rare = marked.withColumn("far", far).drop("d").join(rare, ["of", "fp"]).withColumn("m", F.size("rare"))
+        # what a set shares at least with any that it is like, which has no more than n / least members
+        need = F.greatest(F.lit(1), F.ceil(F.greatest((F.col("s") + F.col("least_s")) / 2, F.col("s") - c * F.col("n") / least) - 1e-6))
+        index = rare.withColumn("taken", (F.col("m") - need + 1).cast("int")).where("taken > 0").select("of", "fp", "n", "m", "s", "far", F.posexplode(F.slice("rare", F.lit(1), F.col("taken"))).alias("pos", "value"))
+        index = SharedTable(index.select(F.xxhash64("of", "value.value").alias("sig"), "fp", "n", "pos", "m", "s", "far"), "differences")
+        for table in (first, members, held, drawn, centres, values, shared):
+            table.drop()
+        member = F.struct("fp", "n", "pos", "root", "m", "s", "far")
+        x, y = F.col("x"), F.col("y")
+        fits = (x["far"] | y["far"]) & sizes_fit & (F.least(x["m"] - x["pos"], y["m"] - y["pos"]) >= (x["s"] + y["s"]) / 2 - 1e-6)
+        edges = near(stars.distinct()).union(known)
+        return settled(index.read(), edges, member, fits, apart=False)
+
+    x, y = F.col("x"), F.col("y")
+    sizes_fit = F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * F.lit(least) - 1e-6
+    rest_fits = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= (x["n"] + y["n"]) * F.lit(least / (1 + least)) - 1e-6
+    return settled(index, None, F.struct("fp", "n", "pos", "root"), sizes_fit & rest_fits, apart=True)
 
 
 def components(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,6 +54,39 @@ def test_components_equal_brute_force(spark, monkeypatch, limit, rounds, full):
     assert {r["doc_id"]: r["component_id"] for r in near_copies.components(docs).collect()} == expected
 
 
+def test_a_large_group_of_edited_copies_makes_few_candidates(spark, monkeypatch):
+    """Copies too unlike each other aren't paired, far copies are linked to their own copies, and components are those of all pairs."""
+    rng, rows = random.Random(11), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+
+    def edited(words, n):
+        copy = list(words)
+        for _ in range(n):
+            copy[rng.randrange(len(copy))] = word()
+        return copy
+
+    for k in range(400):
+        rows.append(edited(base, rng.randint(0, 12)))
+        if k % 40 == 0:
+            rows += [edited(rows[-1], rng.randint(1, 3)) for _ in range(5)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    compared, reindexed = [], []
+
+    class Counted(near_copies.SharedTable):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if name in ("candidates", "differences"):
+                (compared if name == "candidates" else reindexed).append(self.read().count())
+
+    monkeypatch.setattr(near_copies, "SharedTable", Counted)
+    expected = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.components(docs).collect()} == expected
+    assert 150 < len(set(expected.values())) < len(rows) - 100
+    assert reindexed and sum(compared) < 8 * len(rows), (compared, reindexed)
+
+
 def test_shingles_sets_and_names():
     texts = ["a b c d e f", "A\tb  c d e f ", "a b", "", "  ", "b a", "x y z u v " * 3000, "é É w1 w2 w3"]
     rows, hashes = near_copies.shingles(pa.array(texts))
