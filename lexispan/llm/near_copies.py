@@ -23,6 +23,8 @@ PIVOT_ROUNDS, PIVOTS, FULL = 2, 8, 64
 SHARE = 512
 #: Sets that choose the centre of a large group, at most: the choice changes the work, never the result.
 CENTRE = 64
+#: Shingles of a set's sketch, about, and the share of them that a set near the centre of its group holds of it, at least, as 1 / NEAR: the choice changes the work, never the result.
+SKETCH, NEAR = 24, 3
 #: Shingles of a bucket of a set's histogram, at most, and least and most bits of its buckets' numbers.
 FILLED, LEAST_BITS, MOST_BITS = 4, 6, 13
 #: Bytes of text that are worked on at once.
@@ -103,6 +105,13 @@ class Sets:
         offsets = np.concatenate([[0], np.cumsum(np.where(full, 0, 1 << bits))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts[kept].astype(np.int8)))
 
+    def sketches(self) -> pa.ListArray:
+        """Of each set the shingles of the least hashes, about SKETCH of them, as the hashes' low halves. Sets of like sizes that share most shingles share most of these."""
+        bound = np.where(self.sizes <= SKETCH, 2.0**64 - 2048, SKETCH / np.maximum(self.sizes, 1) * 2.0**64).astype(np.uint64)
+        chosen = self.hashes <= bound[self.rows]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(self.rows[chosen], minlength=len(self.sizes)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.hashes[chosen].astype(np.uint32).view(np.int32)))
+
     def lists(self, least: float | None = None) -> pa.ListArray:
         """The whole sets, or their prefixes: two sets that are `least` alike share one of these first shingles."""
         taken = self.sizes if least is None else prefix_length(self.sizes, least)
@@ -117,7 +126,7 @@ def prefix_length(n, least: float):
 
 def named(docs: DataFrame, text: str = "text", shingle: int = 5, into: str = "fp") -> DataFrame:
     """The input's columns without the text, and the name of its shingle set. Null text counts as empty."""
-    return _sets(docs, text, shingle, into).drop("__n", "__sim", "__buckets", "__sigs")
+    return _sets(docs, text, shingle, into).drop("__n", "__sim", "__buckets", "__sketch", "__sigs")
 
 
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> dict[int, int]:
@@ -134,11 +143,11 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> dict[int, int]:
 
 
 def _sets(docs: DataFrame, text: str, shingle: int, into: str, keep: str = "", least: float = 0.8, common: dict[int, int] | None = None) -> DataFrame:
-    """Without the text, with `into`, `__n`, and as `__sigs` the whole set, or its prefix along with `__sim` and `__buckets`, or nothing."""
+    """Without the text, with `into`, `__n`, and as `__sigs` the whole set, or its prefix along with `__sim`, `__buckets` and `__sketch`, or nothing."""
     others = [c for c in docs.columns if c not in (text, into)]
     schema = T.StructType(
         [docs.schema[c] for c in others]
-        + [T.StructField(into, T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__sim", T.LongType()), T.StructField("__buckets", T.ArrayType(T.ByteType())), T.StructField("__sigs", T.ArrayType(T.LongType()))]
+        + [T.StructField(into, T.LongType()), T.StructField("__n", T.IntegerType()), T.StructField("__sim", T.LongType()), T.StructField("__buckets", T.ArrayType(T.ByteType())), T.StructField("__sketch", T.ArrayType(T.IntegerType())), T.StructField("__sigs", T.ArrayType(T.LongType()))]
     )
 
     def apply(batches):
@@ -147,8 +156,9 @@ def _sets(docs: DataFrame, text: str, shingle: int, into: str, keep: str = "", l
             n = batch.num_rows
             sims = sets.fingerprints() if keep == "prefix" else np.zeros(n, np.int64)
             buckets = sets.histograms() if keep == "prefix" else pa.nulls(n, pa.list_(pa.int8()))
+            sketch = sets.sketches() if keep == "prefix" else pa.nulls(n, pa.list_(pa.int32()))
             sigs = sets.lists(None if keep == "set" else least) if keep else pa.nulls(n, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sets.names()), pa.array(sets.sizes, pa.int32()), pa.array(sims), buckets, sigs], schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(sets.names()), pa.array(sets.sizes, pa.int32()), pa.array(sims), buckets, sketch, sigs], schema.names)
 
     return docs.select(*others, text).mapInArrow(apply, schema)
 
@@ -219,20 +229,20 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
     def settled(index, edges, member, fits, apart):
         """The roots of the edges and of all pairs of the index; with `apart`, large groups that stay open go on to another index."""
 
-        def pairs_of(groups, other, *share):
+        def pairs_of(groups, other, *share, once=F.lit(True)):
             x, y = groups.select("sig", *share, member.alias("x")), other.select("sig", *share, F.col("p").alias("y"))
-            return _ordered(x.join(y, ["sig", *share]).where((F.col("x")["root"] != F.col("y")["root"]) & fits).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
+            return _ordered(x.join(y, ["sig", *share]).where((F.col("x")["root"] != F.col("y")["root"]) & fits & once).select(F.col("x.fp").alias("x"), F.col("y.fp").alias("y")))
 
         def with_pivots(groups, turn, n):
             order = Window.partitionBy("sig").orderBy(F.xxhash64("fp", F.lit(turn)))  # a rank limit: each task passes on n rows a group
             return pairs_of(groups, groups.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).select("sig", member.alias("p")))
 
-        def in_full(groups):
-            """A group is dealt over shares of SHARE sets, and all its sets are sent to each share, so a hot shingle's pairs are made in many tasks."""
+        def in_full(groups, close=F.lit(False)):
+            """All pairs but those of two close sets. A group is dealt over shares of SHARE sets, and all its sets are sent to each share, so a hot shingle's pairs are made in many tasks."""
             shares = F.ceil(F.col("rows") / SHARE).cast("int")
-            dealt = groups.withColumn("share", F.pmod(F.xxhash64("fp"), shares).cast("int"))
-            every = groups.select("sig", member.alias("p"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-            return pairs_of(dealt, every, "share")
+            dealt = groups.where(~close).withColumn("share", F.pmod(F.xxhash64("fp"), shares).cast("int"))
+            every = groups.select("sig", member.withField("close", close).alias("p"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+            return pairs_of(dealt, every, "share", once=F.col("y")["close"] | (F.col("x")["fp"] < F.col("y")["fp"]))
 
         if edges is None:
             pivots = index.withColumn("root", F.col("fp"))
@@ -252,7 +262,7 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
             # the roots stand for all links so far
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             if turn == PIVOT_ROUNDS and apart:
-                return again(groups, known)
+                return again(groups, known, in_full)
             more = in_full(groups if turn == PIVOT_ROUNDS else groups.where("not large"))
             more = more if turn == PIVOT_ROUNDS else more.union(with_pivots(groups.where("large"), turn, PIVOTS))
             edges = near(more.distinct()).union(known)
@@ -260,16 +270,35 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
             gathered.drop()
         return connected_components(edges)
 
-    def again(groups, known):
-        """The roots of what stays open of large groups: sets are compared by how they differ from their group's centre.
+    def near_centre(members):
+        """Those whose sketch holds enough of what over half of up to CENTRE sketches of their group hold, if they are over FULL of it."""
+        sketched = members.join(sets.select("fp", "sketch"), "fp")
+        drawn = sketched.withColumn("__n", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("fp")))).where(F.col("__n") <= CENTRE)
+        drawn = SharedTable(drawn.select("of", "sketch"), "sketches")
+        often = drawn.read().select("of", F.explode("sketch").alias("value")).groupBy("of", "value").count()
+        often = often.join(drawn.read().groupBy("of").agg(F.count("*").alias("all")), "of").where(2 * F.col("count") > F.col("all"))
+        centres = often.groupBy("of").agg(F.collect_list("value").alias("centre"))
+        close = sketched.join(centres, "of").where(NEAR * F.size(F.array_intersect("sketch", "centre")) >= F.size("sketch"))
+        close = SharedTable(close.select(*members.columns), "close")
+        many = close.read().groupBy("of").count().where(F.col("count") > FULL).select("of")
+        return close.read().join(many, "of")
+
+    def again(groups, known, in_full):
+        """The roots of what stays open of large groups. Sets that are near the centre of their group are compared by how they differ from it, and all other pairs in full.
 
-        Let d be a set's symmetric difference to the centre, whatever that is, c = (1 - least) / (1 + least) and s = |d| - c * n. Two sets are `least` alike where their
+        Sketches tell which sets are near; the choice changes the work, never the result, as sets that share a common passage and little else differ from any centre by most of what they hold.
+        Let d be a near set's symmetric difference to the centre, whatever that is, c = (1 - least) / (1 + least) and s = |d| - c * n. Two sets are `least` alike where their
         differences share (s + s') / 2 values or more. So if s + s' is at most 0, both are like the set of the least s, and one comparison with that
         one serves them all. All other pairs share a value, and one of the rarest of each, which few sets of a group of near copies do.
         """
         c = F.lit((1 - least) / (1 + least))
         first = SharedTable(groups.groupBy("sig").agg(F.min_by("fp", F.xxhash64("fp")).alias("of")), "first")
-        members = SharedTable(groups.join(first.read(), "sig").select("of", "fp", "n", "root").distinct(), "members")
+        grouped = groups.join(first.read(), "sig")
+        members = SharedTable(near_centre(grouped.select("of", "fp", "n", "root").distinct()), "members")
+        marked = grouped.join(members.read().select("of", "fp", F.lit(True).alias("close")), ["of", "fp"], "left")
+        apart = SharedTable(in_full(marked.withColumn("close", F.coalesce("close", F.lit(False))), F.col("close")).distinct(), "apart")
+        if members.read().isEmpty():
+            return connected_components(near(apart.read()).union(known))
         held = whole(members.read().select("fp"))
         drawn = members.read().withColumn("__n", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("fp")))).where(F.col("__n") <= CENTRE)
         drawn = SharedTable(drawn.join(held.read(), "fp").select("of", "set"), "drawn")
@@ -296,7 +325,7 @@ def likeness_roots(docs: DataFrame, sets: DataFrame, index: DataFrame, least: fl
         member = F.struct("fp", "n", "pos", "root", "m", "s", "far")
         x, y = F.col("x"), F.col("y")
         fits = (x["far"] | y["far"]) & sizes_fit & (F.least(x["m"] - x["pos"], y["m"] - y["pos"]) >= (x["s"] + y["s"]) / 2 - 1e-6)
-        edges = near(stars.distinct()).union(known)
+        edges = near(stars.union(apart.read()).distinct()).union(known)
         return settled(index.read(), edges, member, fits, apart=False)
 
     x, y = F.col("x"), F.col("y")
@@ -327,7 +356,7 @@ def components(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance:
         common |= {s: common.get(s, 0) + n for s, n in more.items()}
         marked.drop()
         index.drop()
-    sets = marked.read().groupBy("fp").agg(F.min("id").alias("first"), F.first("__n").alias("n"), F.first("__sim").alias("sim"), F.first("__buckets").alias("buckets"))
+    sets = marked.read().groupBy("fp").agg(F.min("id").alias("first"), F.first("__n").alias("n"), F.first("__sim").alias("sim"), F.first("__buckets").alias("buckets"), F.first("__sketch").alias("sketch"))
     sets = SharedTable(sets, "values").read()
     names = SharedTable(marked.read().select("id", "fp"), "names").read()
     marked.drop()

@@ -87,6 +87,44 @@ def test_a_large_group_of_edited_copies_makes_few_candidates(spark, monkeypatch)
     assert reindexed and sum(compared[2:]) < len(rows), (compared, reindexed)
 
 
+def test_sets_that_share_a_passage_alone_are_not_indexed_by_differences(spark, monkeypatch):
+    """Texts with one passage and little else in common aren't held against a centre, which they differ from by all they hold."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, rows = [word() for _ in range(40)], []
+    for k in range(150):
+        base = [word() for _ in range(120)] + passage + [word() for _ in range(120)]
+        rows.append(base)
+        if k % 10 == 0:
+            rows += [base[: 30 + i] + [word()] + base[31 + i :] for i in range(3)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    exploded, reached = [], []
+
+    class Counted(near_copies.SharedTable):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if name == "values" and "value" in df.columns:
+                exploded.append(self.read().count())
+            if name == "groups":
+                reached.append(self.read().where("large").count())
+
+    monkeypatch.setattr(near_copies, "SharedTable", Counted)
+    monkeypatch.setattr(near_copies, "COMMON", 10**6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.components(docs).collect()} == brute_components(rows)
+    assert len(reached) > 1 and reached[1] > 64 and sum(exploded) < len(rows), (reached, exploded)
+
+
+def test_sketches_hold_the_least_hashes():
+    column = pa.array([" ".join(f"w{i}" for i in range(1004)), " ".join(f"w{i}" for i in range(1054)), "a b", ""])
+    sets = near_copies.Sets(column, 5)
+    whole = [np.sort(sets.hashes[sets.rows == i]) for i in range(4)]
+    found = [np.array(x, np.int64) & 0xFFFFFFFF for x in sets.sketches().to_pylist()]
+    for held, all_ in zip(found, whole):
+        assert sorted(held) == sorted((all_[: len(held)] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    assert [len(x) for x in found[2:]] == [1, 1] and all(8 < len(x) < 48 for x in found[:2]) and len(np.intersect1d(*found[:2])) > 8
+
+
 def test_shingles_sets_and_names():
     texts = ["a b c d e f", "A\tb  c d e f ", "a b", "", "  ", "b a", "x y z u v " * 3000, "é É w1 w2 w3"]
     rows, hashes = near_copies.shingles(pa.array(texts))
