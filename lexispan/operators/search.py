@@ -11,6 +11,8 @@ from ..functions.text import col, fold, strip
 
 #: The scores of a whole headword, its beginning, its inside, and the body.
 EQUAL, PREFIX, INSIDE, BODY = 100, 80, 50, 20
+#: Most queries that are broadcast to the letter runs of an index.
+BROADCAST_QUERIES = 100_000
 
 
 def search_index(rows: DataFrame, word: Column, body: Column) -> DataFrame:
@@ -105,14 +107,16 @@ def search_many(index: DataFrame, queries: DataFrame, query: str, key: str, n: i
     A text that holds a query holds its first n letters, or all of a shorter one, so an equi-join
     on runs of up to n letters finds the candidates. Only the unique `key` of a row is repeated for
     its runs; texts are joined to the candidates, and the tiers are checked on these alone.
+    Texts are always shuffled for that: by the size of a compressed file the planner would send whole indexes through the driver.
     Empty queries have no letters and no hits: what they show isn't a search but `results`.
     """
     folded = queries.select(query).distinct().withColumn("__q", fold(strip(F.col(query))))
     wanted = folded.where(F.length("__q") >= 1).withColumn("__gram", F.left("__q", F.lit(n)))
     texts = F.concat_ws("\n", "norm_word", "norm_body")
-    lengths = sorted(r[0] for r in wanted.select(F.length("__gram")).distinct().collect())  # at most n of them
-    grams = index.select(key, F.explode(F.concat(F.array().cast("array<string>"), *[_grams(texts, k) for k in lengths])).alias("__gram"))
-    hits = grams.join(wanted, "__gram").drop("__gram").join(index, key)
+    counts = dict(tuple(r) for r in wanted.groupBy(F.length("__gram")).count().collect())  # at most n of them
+    wanted = wanted.hint("broadcast" if sum(counts.values()) <= BROADCAST_QUERIES else "merge")
+    grams = index.select(key, F.explode(F.concat(F.array().cast("array<string>"), *[_grams(texts, k) for k in sorted(counts)])).alias("__gram"))
+    hits = grams.join(wanted, "__gram").drop("__gram").join(index.hint("merge"), key)
     w, b, q = F.col("norm_word"), F.col("norm_body"), F.col("__q")
     score = F.when(w == q, EQUAL).when(F.startswith(w, q), PREFIX).when(F.contains(w, q), INSIDE).when(F.contains(b, q), BODY).otherwise(0)
     return hits.withColumn("score", score).where("score > 0").select(*index.columns, query, "score")
