@@ -20,8 +20,10 @@ from ._text import RangeHash, byte_view, chunks, mixed, text_of
 LEAST, GRAM = 50, 16
 #: Text bytes whose anchors share a bucket, fewest buckets, and anchors or segments that a task gathers before it sends them.
 BUCKET_BYTES, LEAST_BUCKETS, GATHERED = 8 << 20, 96, 1 << 18
-#: Documents in expectation that show which anchors are hot, and in how many documents an anchor is hot.
-SAMPLE, HOT = 1_000_000, 1_000_000
+#: Documents in expectation that show which anchors are hot or crowded, and in how many documents an anchor is hot.
+SAMPLE, HOT = 20_000, 1_000_000
+#: Documents of an anchor that share a task; an anchor of more is crowded, and its documents are cut in shares at some of so many quantiles of the ids.
+CROWDED, QUANTILES = 50_000, 64
 #: Text bytes that are hashed or cut at once (a longer text stands alone).
 SLICE = 1 << 19
 #: Symbols beyond the 256 bytes: what lies outside a text (never indexed), and the first group of an anchor.
@@ -245,13 +247,18 @@ def _shared_places(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def hot_anchors(rows: DataFrame, n: int, least: int, gram: int) -> np.ndarray:
-    """Hashes of the anchors that about HOT documents or more hold, by a sample of about SAMPLE of the n documents, in order.
+    """Hashes of the anchors that about HOT documents or more hold, in order. A table of fewer documents has none."""
+    return frequent_anchors(rows, n, HOT, least, gram)[0]
 
-    A table of fewer documents has none. What comes to the driver is bounded by the sample's anchors over the count that makes one of them hot.
+
+def frequent_anchors(rows: DataFrame, n: int, bound: int, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchors that about `bound` documents or more hold, by a sample of about SAMPLE of the n documents, in order, and in about how many they stand.
+
+    A table of fewer documents has none. What comes to the driver is bounded by the sample's anchors over the count that is asked for.
     The choice moves work, never results.
     """
-    if n < HOT:
-        return np.zeros(0, np.uint64)
+    if n < bound:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     share = max(1, n // SAMPLE)
 
     def apply(batches):
@@ -261,8 +268,46 @@ def hot_anchors(rows: DataFrame, n: int, least: int, gram: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], ["hash"])
 
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), "__doc", "__sig"), F.lit(share)) == 0).mapInArrow(apply, "hash long")
-    found = drawn.groupBy("hash").count().where(F.col("count") >= max(1, HOT // share)).select("hash").collect()
-    return np.sort(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
+    found = drawn.groupBy("hash").count().where(F.col("count") >= max(1, bound // share)).collect()
+    hashes, counts = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], counts[order] * share
+
+
+class Shares:
+    """How the documents of crowded anchors are dealt: an anchor's shares are ranges of ids, and each two of them, or one alone, have a bucket behind the others."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, quantiles: np.ndarray, buckets: int):
+        self.hashes, self.quantiles, self.buckets = hashes, quantiles, buckets
+        self.shares = np.clip(-(-counts // CROWDED), 2, QUANTILES).astype(np.int64)
+        self.base = buckets + np.cumsum(self.shares * (self.shares + 1) // 2) - self.shares * (self.shares + 1) // 2
+
+    def cuts(self, shares: int) -> np.ndarray:
+        """The least ids of all shares but the first."""
+        return self.quantiles[np.arange(1, shares) * len(self.quantiles) // shares]
+
+    def dealt(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, bucket) for each share that a row of a crowded anchor meets."""
+        of = np.searchsorted(self.hashes, hashes)
+        own = np.zeros(len(doc), np.int64)
+        for n in np.unique(self.shares[of]):
+            rows = self.shares[of] == n
+            own[rows] = np.searchsorted(self.cuts(n), doc[rows], "right")
+        count = self.shares[of]
+        row = np.repeat(np.arange(len(doc)), count)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        low, high = np.minimum(own[row], other), np.maximum(own[row], other)
+        return row, self.base[of[row]] + high * (high + 1) // 2 + low
+
+    def cut(self, bucket: int) -> int | None:
+        """The least id of the later one of a bucket's two shares; None for a bucket whose documents are all compared."""
+        if bucket < self.buckets or not len(self.base):
+            return None
+        of = int(np.searchsorted(self.base, bucket, "right")) - 1
+        pair, high = bucket - int(self.base[of]), 0
+        while (high + 1) * (high + 2) // 2 <= pair:
+            high += 1
+        return None if pair - high * (high + 1) // 2 == high else int(self.cuts(int(self.shares[of]))[high - 1])
 
 
 def _strings(block, left, right, place, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,12 +322,13 @@ def _strings(block, left, right, place, least: int, gram: int) -> tuple[np.ndarr
     return row, place[row].astype(np.int64) - side + at, names
 
 
-def _segments(rows: DataFrame, buckets: int, least: int, gram: int, hot: np.ndarray) -> DataFrame:
+def _segments(rows: DataFrame, buckets: int, least: int, gram: int, hot: np.ndarray, shares: Shares) -> DataFrame:
     """The surroundings of shared anchors as blobs by anchor; of equal ones in a task the least document's is sent (kind 0), the others are spans to remove (kind 1).
 
+    Those of crowded anchors are sent to each bucket in which their share of the documents meets a share.
     Those of hot anchors are sent as the strings that they consist of (kind 2), which need no company.
     """
-    side = least - gram
+    side, hashed = least - gram, len(hot) > 0 or len(shares.hashes) > 0
 
     def sent(held):
         block, left, right, doc, sig, place, hashes = (np.concatenate(h) for h in zip(*held))
@@ -300,6 +346,12 @@ def _segments(rows: DataFrame, buckets: int, least: int, gram: int, hot: np.ndar
             later = np.flatnonzero(~first)
         bucket = (_row_hash(block[:, side : side + gram]) % np.uint64(buckets)).astype(np.int64)
         columns = {"block": block, "left": left, "right": right, "doc": doc, "sig": sig, "place": place}
+        if len(shares.hashes):
+            crowded = np.flatnonzero(first & np.isin(hashes, shares.hashes))
+            for part in np.array_split(crowded, -(-len(crowded) // 8192) or 1):
+                row, to = shares.dealt(hashes[part], doc[part])
+                yield _batch(_blobs(to, 0, {k: c[part[row]] for k, c in columns.items()}))
+            first = first & ~np.isin(hashes, shares.hashes)
         yield _batch(_blobs(bucket[first], 0, {k: c[first] for k, c in columns.items()}))
         spans = {"doc": doc[later], "sig": sig[later], "start": (place[later] - left[later]).astype("<u4"), "stop": (place[later] + gram + right[later]).astype("<u4")}
         yield _batch(_blobs(_spread(buckets, len(later), int(doc[0]) % buckets), 1, spans))
@@ -314,7 +366,7 @@ def _segments(rows: DataFrame, buckets: int, least: int, gram: int, hot: np.ndar
         around = np.arange(2 * side + gram)
         block = data[(offsets[row] + place)[:, None] + around]
         block = np.where((around >= (side - left)[:, None]) & (around < (side + gram + right)[:, None]), block, 0).astype(np.uint8)
-        hashes = RangeHash(data)(at := offsets[row] + place + side, at + gram) if len(hot) else np.zeros(len(row), np.uint64)
+        hashes = RangeHash(data)(at := offsets[row] + place + side, at + gram) if hashed else np.zeros(len(row), np.uint64)
         return block, left.astype("u1"), right.astype("u1"), doc[row].astype("<i8"), sig[row].astype("<i4"), place.astype("<u4"), hashes
 
     def apply(batches):
@@ -360,13 +412,14 @@ def _cut(block, left, right, doc, side, gram):
     return of, block[one], left[one].astype(np.int64), right[one].astype(np.int64), _least(of, doc, n)
 
 
-def repeated(block: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated(block: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, least: int, gram: int, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of each segment (bytes around an anchor, cut at the text's ends) the range around the anchor that earlier documents' segments hold in strings of `least` bytes; start and end alike if none.
 
     Equal segments are one kind with their least document; the others' range is the whole segment. Kinds are then cut to what they share at most with another
     kind of their anchor on either side, which drops most of them or makes them equal again. What is left is
     ranked by document within its anchor, and for each bit of the rank the segments
     without it are indexed and those with it are streamed, so every pair meets once, as an earlier and a later one.
+    With `cut`, documents from that id on are streamed against those before, all at once, and others of their own side may be left out.
     In index and stream an anchor is one symbol of its own for each group that may match, so no match leaves its group.
     """
     side = least - gram
@@ -379,15 +432,15 @@ def repeated(block: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nda
     around = np.arange(2 * side + gram)
     inside = (around >= (side - before[kept])[:, None]) & (around < (side + gram + after[kept])[:, None])
     kind, text, before, after, first = _cut(np.where(inside, text[kept], 0).astype(np.uint8), before[kept], after[kept], owner[kept], side, gram)
-    low, high = _streamed(text, before, after, first, side, gram)
+    low, high = _streamed(text, before, after, first, side, gram, cut)
     later = owner[kept] > first[kind]
     start[kept], stop[kept] = np.where(later, -before[kind], low[kind]), np.where(later, gram + after[kind], high[kind])
     later = doc > owner[of]
     return np.where(later, -left.astype(np.int64), start[of]), np.where(later, gram + right.astype(np.int64), stop[of])
 
 
-def _streamed(text: np.ndarray, before: np.ndarray, after: np.ndarray, owner: np.ndarray, side: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the range of each distinct segment that segments of smaller documents hold."""
+def _streamed(text: np.ndarray, before: np.ndarray, after: np.ndarray, owner: np.ndarray, side: int, gram: int, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the range of each distinct segment that segments of smaller documents hold, or those of documents below `cut`."""
     start, stop = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
     group = _groups(text[:, side : side + gram])
     order = np.lexsort((owner, group))
@@ -396,9 +449,12 @@ def _streamed(text: np.ndarray, before: np.ndarray, after: np.ndarray, owner: np
     number = np.cumsum(new_doc)
     rank = number - np.maximum.accumulate(np.where(new_group, number, 0))
     around = np.arange(2 * side + gram)
-    for bit in range(int(rank.max()).bit_length() if len(rank) else 0):
-        cell = _groups(np.column_stack([group[order], rank >> (bit + 1)]).astype("<i8").view(np.uint8).reshape(len(order), 16))
-        late = (rank >> bit) & 1 == 1
+    for bit in range(int(rank.max()).bit_length() if cut is None and len(rank) else int(len(rank) > 0)):
+        if cut is None:
+            cell = _groups(np.column_stack([group[order], rank >> (bit + 1)]).astype("<i8").view(np.uint8).reshape(len(order), 16))
+            late = (rank >> bit) & 1 == 1
+        else:
+            cell, late = group[order], owner[order] >= cut
         both = (np.bincount(cell[late], minlength=cell.max() + 1) > 0) & (np.bincount(cell[~late], minlength=cell.max() + 1) > 0)
 
         def symbols(rows, outside):
@@ -425,13 +481,13 @@ def _streamed(text: np.ndarray, before: np.ndarray, after: np.ndarray, owner: np
     return start, stop
 
 
-def _spans(least: int, gram: int):
+def _spans(least: int, gram: int, shares: Shares):
     def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[1] == 1:
             doc, sig, start, stop = _unpacked(pdf["blob"], **SPAN)
         else:
             block, left, right, doc, sig, place = _unpacked(pdf["blob"], block=("u1", 2 * least - gram), left="u1", right="u1", doc="<i8", sig="<i4", place="<u4")
-            low, high = repeated(block, left, right, doc, least, gram)
+            low, high = repeated(block, left, right, doc, least, gram, shares.cut(key[0]))
             some = high > low
             doc, sig, place = doc[some], sig[some], place[some].astype(np.int64)
             start, stop = place + low[some], place + high[some]
@@ -483,20 +539,26 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, least: int = LEAST, gram:
     anchor. Anchors are dealt to buckets by hash; those that one document alone holds go no further. The surroundings of the others, all that a string of `least`
     bytes around the anchor can hold, are dealt to buckets again and compared there through run-length indexes.
     A task sends an anchor and equal surroundings once, however many of its documents hold them, so a passage that a third of all
-    documents share weighs as many records in its bucket as tasks hold it; surroundings that differ are all sent. Those of hot anchors don't meet in a bucket: their
+    documents share weighs as many records in its bucket as tasks hold it; surroundings that differ are all sent. Those of anchors that a sample shows in more than CROWDED documents are
+    cut in shares of the documents, and each two shares meet in a bucket of their own, the earlier one indexed and the later one streamed. Those of hot anchors don't meet in a bucket: their
     strings of `least` bytes find their least documents by partial minima over salts.
     """
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
-    hot = hot_anchors(rows, n, least, gram)
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    common, counts = frequent_anchors(rows, n, min(HOT, CROWDED), least, gram) if n >= min(HOT, 2 * CROWDED) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    crowded = counts < HOT
+    hot, quantiles = common[~crowded], np.zeros(0, np.int64)
+    if crowded.any():
+        quantiles = np.array(rows.agg(F.percentile_approx("__doc", [k / QUANTILES for k in range(QUANTILES)])).first()[0], np.int64)
+    shares = Shares(common[crowded], counts[crowded], quantiles, buckets)
     entries = _entries(rows, buckets, least, gram)
     shared = entries.groupBy("bucket", "kind").applyInPandas(_shared_places, "__doc long, __sig int, place int")
     places = shared.groupBy("__doc", "__sig").agg(F.collect_set("place").alias("places"))
     joined = packed.join(places, ["__doc", "__sig"]).select("__doc", "__sig", "packed", "places")
-    segments = _segments(joined, buckets, least, gram, hot)
+    segments = _segments(joined, buckets, least, gram, hot, shares)
     if len(hot):
         segments = SharedTable(segments, "segments").read()  # read twice
-    found = segments.where("kind < 2").groupBy("bucket", "kind").applyInPandas(_spans(least, gram), "__doc long, __sig int, span long")
+    found = segments.where("kind < 2").groupBy("bucket", "kind").applyInPandas(_spans(least, gram, shares), "__doc long, __sig int, span long")
     if len(hot):
         strings = _earlier_strings(segments.where("kind = 2"))
         found = found.union(strings.select("__doc", "__sig", (F.shiftleft("start", 32) + F.col("start") + least).alias("span")))
